@@ -6,6 +6,8 @@ FIXED VALUES (must stay exactly as written, in this order):
   "Findings consistent with {label}", "Findings suggesting {label}",
   "Findings are most compatible with {label}", "{label} seen"
 * single prompt template: "{label} seen"
+* negative prompt templates: "{label} is not seen", "Findings not consistent with {label}",
+  "Findings not suggesting {label}", "Findings are not compatible with {label}"
 * score measure names: cosine_similarity_1 .. cosine_similarity_4,
   average_embedding, average_cosine_similarity, max_cosine_similarity
 * second naming of the measures: query_1 .. query_4, avg_emb, max_cossim
@@ -37,6 +39,12 @@ POSITIVE_TEMPLATES = (
     "{label} seen",
 )
 SINGLE_TEMPLATE = ("{label} seen",)
+NEGATIVE_TEMPLATES = (
+    "{label} is not seen",
+    "Findings not consistent with {label}",
+    "Findings not suggesting {label}",
+    "Findings are not compatible with {label}",
+)
 
 PROMPT_MEASURES = ("cosine_similarity_1", "cosine_similarity_2",
                    "cosine_similarity_3", "cosine_similarity_4")

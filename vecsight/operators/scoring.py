@@ -36,7 +36,7 @@ from vecsight.functions.vectors import dot
 class PromptBlock:
     labels: list            # distinct labels of the block, sorted
     prompt_label: np.ndarray  # label index of every prompt row
-    prompt_pos: np.ndarray    # 1-based position of the prompt inside its label
+    prompt_pos: np.ndarray    # prompt number inside its label (cosine_similarity_<n>)
     qn: np.ndarray            # normalised prompt vectors, P x d
     avg: np.ndarray           # normalised mean prompt vector per label, L x d
 
@@ -75,9 +75,7 @@ def collect_block(prompts: DataFrame, labels: list, label_col: str, prompt_col:
     lab_index = {lab: i for i, lab in enumerate(labels)}
     q = np.array([np.asarray(r[vec_col], dtype=np.float64) for r in rows])
     pl = np.array([lab_index[r[label_col]] for r in rows])
-    pos = np.zeros(len(rows), dtype=np.int64)
-    for i in range(len(rows)):
-        pos[i] = 1 if i == 0 or pl[i] != pl[i - 1] else pos[i - 1] + 1
+    pos = np.array([int(r[prompt_col]) for r in rows], dtype=np.int64)
     avg = np.stack([q[pl == j].mean(axis=0) for j in range(len(labels))])
     return PromptBlock(list(labels), pl, pos, _normalise(q), _normalise(avg))
 

@@ -17,7 +17,7 @@ SELECT vec_id // 6 AS subject_id, vec_id // 3 AS study_id, vec_id AS dicom_id, l
             WHEN (vec_id // 6) % 10 BETWEEN 1 AND 3 THEN 'validate' ELSE 'train' END AS split
 FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM prompts)""", ("prompts",)),
     ("truth", """
-SELECT DISTINCT subject_id, study_id, label, 1.0 AS value FROM corpus""", ("corpus",)),
+SELECT DISTINCT subject_id, study_id, label, CAST(1.0 AS DOUBLE) AS value FROM corpus""", ("corpus",)),
     ("labelset", "SELECT DISTINCT label FROM prompts", ("prompts",)),
     ("pnorm", """
 SELECT label, prompt_id, qvec::DOUBLE[] AS q,

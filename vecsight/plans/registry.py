@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vecsight.plans import q_retrieval
+from vecsight.plans import q_data, q_retrieval
 
-_MODULES = (q_retrieval,)
+_MODULES = (q_retrieval, q_data)
 
 
 def queries() -> dict:
