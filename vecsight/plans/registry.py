@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vecsight.plans import q_data, q_retrieval
+from vecsight.plans import q_data, q_retrieval, q_tables
 
-_MODULES = (q_retrieval, q_data)
+_MODULES = (q_retrieval, q_data, q_tables)
 
 
 def queries() -> dict:
