@@ -18,11 +18,13 @@ FIXED VALUES (must stay exactly as written, in this order):
   Fracture, Lung Lesion, Lung Opacity, No Finding, Pleural Effusion,
   Pleural Other, Pneumonia, Pneumothorax, Support Devices
 * label display replacement: "Enlarged Cardiomediastinum" -> "Enl Card"
-* pooling display names: average_cosine_similarity -> "Average Cosine Similarity",
-  max_cosine_similarity -> "Max Cosine Similarity",
-  average_embedding -> "Average Embedding", anything else keeps its name
-* skipped pooling methods in the comparison view: cosine_similarity_1 .. _4
-  (only the pooled ones are drawn)
+* pooling display names of the comparison view:
+  average_cosine_similarity_max_accuracy -> "Avg Similarity/Study Max",
+  average_cosine_similarity_mean_accuracy -> "Avg Similarity/Study Avg",
+  max_cosine_similarity_max_accuracy -> "Max Similarity/Study Max",
+  max_cosine_similarity_mean_accuracy -> "Max Similarity/Study Avg"
+* skipped pooling methods in the comparison view:
+  average_embedding_max_accuracy, average_embedding_mean_accuracy
 * threshold of the percent-above report: 0.25
 * normalisation epsilon: 1e-12
 * number of chunks 6, overlap 5 words
@@ -72,11 +74,12 @@ FINDING_LABELS = (
 )
 LABEL_DISPLAY = {"Enlarged Cardiomediastinum": "Enl Card"}
 POOLING_DISPLAY = {
-    AVG_COSINE: "Average Cosine Similarity",
-    MAX_COSINE: "Max Cosine Similarity",
-    AVG_EMBEDDING: "Average Embedding",
+    "average_cosine_similarity_max_accuracy": "Avg Similarity/Study Max",
+    "average_cosine_similarity_mean_accuracy": "Avg Similarity/Study Avg",
+    "max_cosine_similarity_max_accuracy": "Max Similarity/Study Max",
+    "max_cosine_similarity_mean_accuracy": "Max Similarity/Study Avg",
 }
-SKIPPED_POOLING = PROMPT_MEASURES
+SKIPPED_POOLING = ("average_embedding_max_accuracy", "average_embedding_mean_accuracy")
 
 THRESHOLD = 0.25
 NORM_EPS = 1e-12

@@ -32,11 +32,6 @@ def resume(queue_df: DataFrame, ledger: DataFrame, id_col: str = "obj_id") -> Da
     return queue_df.join(ledger.select(id_col), id_col, "left_anti")
 
 
-def append_ledger(ids: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append ids to the error ledger (created on first write)."""
-    ids.write.mode("append").format(fmt).option("header", "true").save(path)
-
-
 def uid_of(name_col: str = "fname") -> F.Column:
     """I8: the single uid of an annotation name, NULL unless exactly one match."""
     m = uid_matches(name_col)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vecsight.plans import q_analytics, q_data, q_notes, q_retrieval, q_tables
+from vecsight.plans import q_analytics, q_data, q_notes, q_pipelines, q_retrieval, q_tables
 
-_MODULES = (q_retrieval, q_data, q_tables, q_notes, q_analytics)
+_MODULES = (q_retrieval, q_data, q_tables, q_notes, q_analytics, q_pipelines)
 
 
 def queries() -> dict:
