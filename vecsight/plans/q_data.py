@@ -86,7 +86,7 @@ def vector_text_roundtrip(spark, sf):
                                               V.vector_to_text("embedding", 4).alias("txt"))
     p = e.select("vec_id", "embedding", V.parse_vector_text("txt").alias("parsed"))
     return p.select(
-        "vec_id", F.size("parsed").alias("n_values"),
+        "vec_id", F.size("parsed").cast("long").alias("n_values"),
         F.round(F.aggregate("parsed", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("checksum"),
         F.round(F.array_max(F.zip_with("parsed", "embedding",
                                        lambda a, b: F.abs(a.cast("double") - F.round(b.cast("double"), 4)))),
@@ -162,7 +162,7 @@ FROM (SELECT vec_id, nrm, list_transform(e, lambda x: x / greatest(nrm, 1e-12))
 @query("mean_vector")
 def mean_vector_q(spark, sf):
     m = mean_vector(table(spark, sf, "embeddings"), ["label"], "embedding")
-    return m.select("label", F.size("mean_vec").alias("dims"),
+    return m.select("label", F.size("mean_vec").cast("long").alias("dims"),
                     F.round(F.aggregate("mean_vec", F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"),
                     F.round(V.l2_norm("mean_vec"), 6).alias("mean_norm"),
                     F.round(F.element_at("mean_vec", 1), 6).alias("first"))

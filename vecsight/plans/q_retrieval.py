@@ -92,7 +92,7 @@ def search_topk(spark, sf, k: int = 10):
     pr = I.prompts(spark, sf).where(F.col("prompt_id") == 1)
     s = I.scores(spark, sf, measures=("cosine_similarity_1",), prompt_table=pr)
     return top_k(s, ["label"], order_desc("cosine_similarity", "dicom_id"), k) \
-        .select("label", "rank", "dicom_id", "study_id", "cosine_similarity")
+        .select("label", F.col("rank").cast("long").alias("rank"), "dicom_id", "study_id", "cosine_similarity")
 
 
 SQL["search_topk"] = with_ctes("""

@@ -209,7 +209,7 @@ _UID = r"'__([0-9.]*?)__seg.dcm'"
 def uid_extract(spark, sf):
     n = _names(spark, sf)
     from vecsight.functions.text import uid_matches
-    return n.select("l_orderkey", "l_linenumber", "fname", F.size(uid_matches("fname")).alias("n_matches"),
+    return n.select("l_orderkey", "l_linenumber", "fname", F.size(uid_matches("fname")).cast("long").alias("n_matches"),
                     MF.uid_of("fname").alias("uid"))
 
 
