@@ -76,3 +76,16 @@ def test_overlap_empty_union_is_zero(spark):
     pos = spark.createDataFrame([], "label string, study_id long")
     n = spark.createDataFrame([("A", 0)], "label string, n long")
     assert ev.top_n_overlap(scored, pos, n).first()["overlap_pct"] == 0.0
+
+
+def test_precision_paths_agree(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(i, "A" if i % 4 else "B", "m", float(rnd.randint(0, 20))) for i in range(2000)]
+    pooled = spark.createDataFrame(rows, "study_id long, label string, embedding_type string, cosine_similarity double")
+    pos = spark.createDataFrame([("A", i) for i in range(0, 2000, 3)] + [("B", i) for i in range(0, 2000, 8)],
+                                "label string, study_id long")
+    n = pos.groupBy("label").count().withColumnRenamed("count", "n")
+    a = sorted(tuple(r) for r in ev.precision_at_n(pooled, pos, n, small_n=10**9).collect())
+    b = sorted(tuple(r) for r in ev.precision_at_n(pooled, pos, n, small_n=0).collect())
+    assert a == b

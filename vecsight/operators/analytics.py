@@ -7,6 +7,8 @@ into ``VectorUDT`` only at this boundary (``array_to_vector``).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -65,26 +67,34 @@ def assign_nearest(df: DataFrame, vec_col: str, centres: DataFrame, id_col: str
 
 
 def covariance_entries(df: DataFrame, vec_col: str, dims: int) -> DataFrame:
-    """Sample covariance of the vector components as (i, j, cov), in one pass.
+    """Sample covariance of the vector components as (i, j, cov).
 
-    Per row the outer product (d*d values) is summed with ``Summarizer`` (one
-    partial vector per task, merged as an aggregate) next to the component
-    means; cov_ij = (sum x_i x_j - n m_i m_j) / (n - 1).  No join, no pairs of rows.
+    Each Arrow batch contributes one partial Gram matrix X^T X, its column sums
+    and its row count (one numpy product per batch); the partials are summed as
+    vectors by ``Summarizer`` (a regular partial + final aggregate), so only
+    d*d numbers per batch leave a task.  cov = (G - n m m^T) / (n - 1).
     """
     if dims * dims > MAX_BROADCAST_ROWS:
         raise ValueError("dimension too large for a dense covariance")
     d = dims
-    v = F.col(vec_col).cast("array<double>")
-    outer = F.transform(F.sequence(F.lit(0), F.lit(d * d - 1)),
-                        lambda k: F.element_at(v, (k / d).cast("int") + 1) * F.element_at(v, (k % d).cast("int") + 1))
-    x = df.select(array_to_vector(v).alias("_v"), array_to_vector(outer).alias("_o"))
-    s = x.agg(Summarizer.metrics("sum", "count").summary(F.col("_o")).alias("so"),
-              Summarizer.mean(F.col("_v")).alias("m"))
-    s = s.select(vector_to_array("so.sum").alias("sxy"), F.col("so.count").alias("n"),
-                 vector_to_array("m").alias("m"))
-    e = s.select(F.posexplode("sxy").alias("k", "sxy"), "n", "m")
+    schema = "n long, s array<double>, g array<double>"
+
+    def partial(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+            yield pd.DataFrame({"n": [len(X)], "s": [X.sum(axis=0)], "g": [(X.T @ X).reshape(-1)]})
+
+    parts = df.select(vec_col).mapInPandas(partial, schema)
+    tot = parts.agg(F.sum("n").alias("n"),
+                    Summarizer.sum(array_to_vector("s")).alias("s"),
+                    Summarizer.sum(array_to_vector("g")).alias("g"))
+    tot = tot.select("n", vector_to_array("s").alias("s"), vector_to_array("g").alias("g"))
+    e = tot.select("n", "s", F.posexplode("g").alias("k", "sxy"))
     i = (F.col("k") / d).cast("int")
     j = (F.col("k") % d).cast("int")
+    n = F.col("n").cast("double")
     return e.select(i.alias("i"), j.alias("j"),
-                    ((F.col("sxy") - F.col("n") * F.element_at("m", i + 1) * F.element_at("m", j + 1))
-                     / (F.col("n") - 1)).alias("cov"))
+                    ((F.col("sxy") - F.element_at("s", i + 1) * F.element_at("s", j + 1) / n)
+                     / (n - 1)).alias("cov"))

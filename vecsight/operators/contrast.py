@@ -12,6 +12,8 @@ scored in its own group (cogroup), so no bound ever drops pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,9 +52,8 @@ def info_nce_items(first: DataFrame, second: DataFrame, temperature: float = 1.0
     out_schema = T.StructType([T.StructField("_batch", batch_type), T.StructField("_pair", pair_type),
                                T.StructField("loss", T.DoubleType())])
     t = float(temperature)
-    n_means = means.count()
-    if n_means <= max_pairs:
-        rows = means.collect()
+    rows = means.limit(max_pairs + 1).collect() if max_pairs > 0 else [None]
+    if len(rows) <= max_pairs:
         by_batch: dict = {}
         for r in rows:
             by_batch.setdefault(r["_batch"], []).append((r["_pair"], r["_m"]))
@@ -90,11 +91,22 @@ def info_nce(first: DataFrame, second: DataFrame, temperature: float = 1.0, **kw
     return info_nce_items(first, second, temperature, **kw).agg(F.avg("loss").alias("loss"))
 
 
-def two_way_local(patch: DataFrame, text: DataFrame, temperature: float = 0.1, **kw) -> DataFrame:
+def _directions(pairs: list[tuple[str, DataFrame, DataFrame]], temperature: float, pair_col: str,
+                vec_col: str, **kw) -> DataFrame:
+    """Several InfoNCE directions in one pass: the direction name is the batch key, so logits
+    never mix directions; returns (direction, loss)."""
+    firsts = [f.select(F.lit(name).alias("_dir"), pair_col, vec_col) for name, f, _ in pairs]
+    seconds = [s.select(F.lit(name).alias("_dir"), pair_col, vec_col) for name, _, s in pairs]
+    items = info_nce_items(reduce(DataFrame.unionByName, firsts), reduce(DataFrame.unionByName, seconds),
+                           temperature, pair_col=pair_col, vec_col=vec_col, batch_col="_dir", **kw)
+    return items.groupBy(F.col("_dir").alias("direction")).agg(F.avg("loss").alias("loss"))
+
+
+def two_way_local(patch: DataFrame, text: DataFrame, temperature: float = 0.1,
+                  pair_col: str = "pair", vec_col: str = "vec", **kw) -> DataFrame:
     """(J6(patch, text) + J6(text, patch)) / 2."""
-    a = info_nce(patch, text, temperature, **kw).select(F.col("loss").alias("a"))
-    b = info_nce(text, patch, temperature, **kw).select(F.col("loss").alias("b"))
-    return a.unionByName(b.select(F.col("b").alias("a"))).agg((F.sum("a") / 2).alias("loss"))
+    d = _directions([("p2t", patch, text), ("t2p", text, patch)], temperature, pair_col, vec_col, **kw)
+    return d.agg(F.avg("loss").alias("loss"))
 
 
 EIGHT_DIRECTIONS = (
@@ -105,14 +117,13 @@ EIGHT_DIRECTIONS = (
 )
 
 
-def eight_way(sets: dict[str, DataFrame], temperature: float = 1.0, **kw) -> DataFrame:
+def eight_way(sets: dict[str, DataFrame], temperature: float = 1.0, pair_col: str = "pair",
+              vec_col: str = "vec", **kw) -> DataFrame:
     """The eight local/global x image/text directions and their mean (``combined``)."""
-    parts = None
-    for name, a, b in EIGHT_DIRECTIONS:
-        d = info_nce(sets[a], sets[b], temperature, **kw).select(F.lit(name).alias("direction"), "loss")
-        parts = d if parts is None else parts.unionByName(d)
-    combined = parts.agg(F.lit("combined").alias("direction"), F.avg("loss").alias("loss"))
-    return parts.unionByName(combined)
+    d = _directions([(name, sets[a], sets[b]) for name, a, b in EIGHT_DIRECTIONS], temperature,
+                    pair_col, vec_col, **kw)
+    combined = d.agg(F.lit("combined").alias("direction"), F.avg("loss").alias("loss"))
+    return d.unionByName(combined)
 
 
 def flatten_grid(df: DataFrame, grid_col: str, out_col: str = "vec") -> DataFrame:

@@ -83,18 +83,29 @@ def _flag_hits(pooled: DataFrame, pos: DataFrame, key: str) -> DataFrame:
         .withColumn("_hit", F.coalesce(F.col("_hit"), F.lit(0)))
 
 
+SMALL_N = 1000
+
+
 def precision_at_n(pooled: DataFrame, pos: DataFrame, n_counts: DataFrame,
                    key: str = "study_id", group_cols=("label", "embedding_type"),
                    score_col: str = "cosine_similarity", scale: float = 1.0,
-                   skip_empty: bool = False) -> DataFrame:
+                   skip_empty: bool = False, small_n: int = SMALL_N) -> DataFrame:
     """Hits among the first n (n = positives of the label) divided by n.
 
-    Ranking is exact and distributed (``rank_in_groups``); ties go to the smaller key.
-    n = 0 gives NULL (0/0), or the row is dropped with ``skip_empty``.
+    Ties go to the smaller key.  When the largest n is at most ``small_n`` (one
+    number read from the per-label count table) the rows are cut with a literal
+    ``row_number() <= max_n`` (partial ``WindowGroupLimit``: every task keeps at
+    most max_n rows per group); otherwise the exact distributed ranking is used,
+    so no group is ever held whole by one task.  n = 0 gives NULL (0/0), or the
+    row is dropped with ``skip_empty``.
     """
     group_cols = list(group_cols)
     flagged = _flag_hits(pooled, pos, key)
-    ranked = rank_in_groups(flagged, group_cols, order_desc(score_col, key))
+    max_n = n_counts.agg(F.max("n")).first()[0] or 0
+    if max_n <= small_n:
+        ranked = top_k(flagged, group_cols, order_desc(score_col, key), max(int(max_n), 1))
+    else:
+        ranked = rank_in_groups(flagged, group_cols, order_desc(score_col, key))
     top = ranked.join(n_counts, "label").where(F.col("rank") <= F.col("n"))
     hits = top.groupBy(*group_cols).agg(F.sum("_hit").alias("hits"))
     groups = pooled.select(*group_cols).distinct().join(n_counts, "label")
