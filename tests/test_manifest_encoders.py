@@ -77,3 +77,17 @@ def test_ledger_append(spark):
     IO.append_ledger(spark.createDataFrame([("a",)], "obj_id string"), path)
     IO.append_ledger(spark.createDataFrame([("b",)], "obj_id string"), path)
     assert sorted(r[0] for r in spark.read.parquet(path).collect()) == ["a", "b"]
+
+
+def test_keyed_csv_and_whole_text(spark):
+    """A result with a named key column through CSV, read back; whole-file text."""
+    from vecsight.operators.prevalence import prevalence_percent
+    from vecsight.sources.tables import table
+    root = IO.scratch_dir(spark, "keyed")
+    prev = prevalence_percent(table(spark, SF1, "labels"), ["quality", "toxic"])
+    IO.write_csv(prev.select("Label", "prevalence_pct").coalesce(1), root)
+    back = IO.read_csv(spark, root, "Label STRING, prevalence_pct DOUBLE")
+    assert sorted(r["Label"] for r in back.collect()) == ["quality", "toxic"]
+    text = IO.read_text_whole(spark, root).where(F.col("path").endswith(".csv"))
+    lines = text.select(F.explode(F.split(F.trim("value"), "\n"))).count()
+    assert lines == 3

@@ -14,11 +14,20 @@ from pyspark.sql import functions as F
 from vecsight.functions.text import uid_matches
 
 
+def _once(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs exactly once (count per key is a partial aggregate)."""
+    single = df.groupBy(key).count().where(F.col("count") == 1).select(key)
+    return df.join(single, key, "left_semi")
+
+
 def manifest(ann: DataFrame, img: DataFrame, key: str = "series_uid") -> DataFrame:
-    """C1 + W1: inner join on the series, then drop *every* row of a series that repeats."""
-    joined = ann.join(img, key, "inner")
-    single = joined.groupBy(key).count().where(F.col("count") == 1).select(key)
-    return joined.join(single, key, "left_semi")
+    """C1 + W1: inner join on the series, dropping *every* row of a series that repeats.
+
+    A series appears exactly once in the join iff it has exactly one annotation row
+    and one image row, so both sides are reduced to such series first and the join
+    is then one-to-one: a hot series never fans out into a many-to-many product.
+    """
+    return _once(ann, key).join(_once(img, key), key, "inner")
 
 
 def queue(manifest_df: DataFrame, key: str = "series_uid",

@@ -31,6 +31,8 @@ from vecsight.constants import (ALL_MEASURES, AVG_COSINE, AVG_EMBEDDING, MAX_COS
                                 MAX_PROMPTS_PER_BLOCK, NORM_EPS, PROMPT_MEASURES)
 from vecsight.functions.vectors import dot
 
+MAX_NATIVE_PROMPTS = 256   # prompt vectors become plan literals on the JVM-only path
+
 
 @dataclass
 class PromptBlock:
@@ -176,6 +178,8 @@ def score_library(library: DataFrame, prompts: DataFrame, id_cols: list[str],
         if m not in ALL_MEASURES:
             raise ValueError(f"unknown measure {m!r}")
     label_type = prompts.schema[label_col].dataType
+    if method == "native":
+        max_prompts = min(max_prompts, MAX_NATIVE_PROMPTS)
     lib = library.where(F.col(emb_col).isNotNull())
     parts = []
     for labels in _label_blocks(prompts, label_col, max_prompts):
