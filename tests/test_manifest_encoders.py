@@ -89,5 +89,5 @@ def test_keyed_csv_and_whole_text(spark):
     back = IO.read_csv(spark, root, "Label STRING, prevalence_pct DOUBLE")
     assert sorted(r["Label"] for r in back.collect()) == ["quality", "toxic"]
     text = IO.read_text_whole(spark, root).where(F.col("path").endswith(".csv"))
-    lines = text.select(F.explode(F.split(F.trim("value"), "\n"))).count()
+    lines = text.select(F.explode(F.split("value", "\n")).alias("l")).where(F.col("l") != "").count()
     assert lines == 3
