@@ -69,11 +69,7 @@ def _label_blocks(prompts: DataFrame, label_col: str, max_prompts: int) -> list[
     return blocks
 
 
-def collect_block(prompts: DataFrame, labels: list, label_col: str, prompt_col: str,
-                  vec_col: str) -> PromptBlock:
-    rows = (prompts.where(F.col(label_col).isin(labels))
-            .select(label_col, prompt_col, vec_col)
-            .orderBy(label_col, prompt_col).collect())
+def _block_from_rows(rows, labels: list, label_col: str, prompt_col: str, vec_col: str) -> PromptBlock:
     lab_index = {lab: i for i, lab in enumerate(labels)}
     q = np.array([np.asarray(r[vec_col], dtype=np.float64) for r in rows])
     pl = np.array([lab_index[r[label_col]] for r in rows])
@@ -82,6 +78,28 @@ def collect_block(prompts: DataFrame, labels: list, label_col: str, prompt_col:
     return PromptBlock(list(labels), pl, pos, _normalise(q), _normalise(avg))
 
 
+def collect_block(prompts: DataFrame, labels: list, label_col: str, prompt_col: str,
+                  vec_col: str) -> PromptBlock:
+    rows = (prompts.where(F.col(label_col).isin(labels))
+            .select(label_col, prompt_col, vec_col)
+            .orderBy(label_col, prompt_col).collect())
+    return _block_from_rows(rows, labels, label_col, prompt_col, vec_col)
+
+
+def prompt_blocks(prompts: DataFrame, label_col: str, prompt_col: str, vec_col: str,
+                  max_prompts: int) -> list[PromptBlock]:
+    """The prompt table in broadcastable blocks: one bounded collect when it fits in one
+    block, otherwise label blocks collected one at a time."""
+    small = (prompts.select(label_col, prompt_col, vec_col).limit(max_prompts + 1)
+             .collect())
+    if len(small) <= max_prompts:
+        rows = sorted(small, key=lambda r: (r[label_col], r[prompt_col]))
+        labels = sorted({r[label_col] for r in rows})
+        return [_block_from_rows(rows, labels, label_col, prompt_col, vec_col)] if rows else []
+    return [collect_block(prompts, labels, label_col, prompt_col, vec_col)
+            for labels in _label_blocks(prompts, label_col, max_prompts)]
+
+
 def _measure_matrix(block: PromptBlock, S: np.ndarray, V: np.ndarray, measure: str) -> np.ndarray:
     """n x L matrix of one measure."""
     L = len(block.labels)
@@ -181,11 +199,9 @@ def score_library(library: DataFrame, prompts: DataFrame, id_cols: list[str],
     if method == "native":
         max_prompts = min(max_prompts, MAX_NATIVE_PROMPTS)
     lib = library.where(F.col(emb_col).isNotNull())
-    parts = []
-    for labels in _label_blocks(prompts, label_col, max_prompts):
-        block = collect_block(prompts, labels, label_col, prompt_col, vec_col)
-        fn = _arrow_scores if method == "arrow" else _native_scores
-        parts.append(fn(lib, block, id_cols, emb_col, measures, names, label_type))
+    fn = _arrow_scores if method == "arrow" else _native_scores
+    parts = [fn(lib, block, id_cols, emb_col, measures, names, label_type)
+             for block in prompt_blocks(prompts, label_col, prompt_col, vec_col, max_prompts)]
     if not parts:
         raise ValueError("empty prompt table")
     return reduce(DataFrame.unionByName, parts)

@@ -17,12 +17,28 @@ from vecsight.sources.tables import table
 ID_COLS = ["subject_id", "study_id", "dicom_id"]
 
 
+MAX_PROMPT_ROWS = 100_000
+_PROMPTS: dict = {}
+
+
 def prompts(spark: SparkSession, sf_dir: str, per_label: int = 4) -> DataFrame:
-    """The ``per_label`` vectors with the lowest vec_id of each label."""
-    emb = table(spark, sf_dir, "embeddings")
-    return (top_k(emb, ["label"], [F.col("vec_id").asc()], per_label, "prompt_id")
-            .select("label", F.col("prompt_id").cast("int").alias("prompt_id"), "vec_id",
-                    F.col("embedding").alias("qvec")))
+    """The ``per_label`` vectors with the lowest vec_id of each label.
+
+    The table is small (labels x per_label) but derived from a scan of the whole
+    library, and many plans use it.  It is computed once per session and folder,
+    its size checked, and reused as a local relation; beyond the bound the lazy
+    plan is returned instead.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), per_label)
+    if key not in _PROMPTS:
+        emb = table(spark, sf_dir, "embeddings")
+        df = (top_k(emb, ["label"], [F.col("vec_id").asc()], per_label, "prompt_id")
+              .select("label", F.col("prompt_id").cast("int").alias("prompt_id"), "vec_id",
+                      F.col("embedding").alias("qvec")))
+        rows = df.limit(MAX_PROMPT_ROWS + 1).collect()
+        _PROMPTS[key] = (rows, df.schema, None) if len(rows) <= MAX_PROMPT_ROWS else (None, None, df)
+    rows, schema, lazy = _PROMPTS[key]
+    return lazy if lazy is not None else spark.createDataFrame(rows, schema)
 
 
 def negative_prompts(spark: SparkSession, sf_dir: str, n_labels: int = 10) -> DataFrame:
