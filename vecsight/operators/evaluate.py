@@ -84,6 +84,19 @@ def _flag_hits(pooled: DataFrame, pos: DataFrame, key: str) -> DataFrame:
 
 
 SMALL_N = 1000
+MAX_LABELS = 100_000
+
+
+def _n_lookup(n_counts: DataFrame, label_col: str = "label"):
+    """The per-label n table (one row per label, size-checked) as a map literal and its
+    maximum: n is attached to rows without a join."""
+    rows = n_counts.select(label_col, "n").limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    if not rows:
+        return F.lit(None).cast("long"), 0
+    m = F.create_map(*[x for r in rows for x in (F.lit(r[label_col]), F.lit(int(r["n"])))])
+    return F.element_at(m, F.col(label_col)), max(int(r["n"]) for r in rows)
 
 
 def precision_at_n(pooled: DataFrame, pos: DataFrame, n_counts: DataFrame,
@@ -92,23 +105,23 @@ def precision_at_n(pooled: DataFrame, pos: DataFrame, n_counts: DataFrame,
                    skip_empty: bool = False, small_n: int = SMALL_N) -> DataFrame:
     """Hits among the first n (n = positives of the label) divided by n.
 
-    Ties go to the smaller key.  When the largest n is at most ``small_n`` (one
-    number read from the per-label count table) the rows are cut with a literal
-    ``row_number() <= max_n`` (partial ``WindowGroupLimit``: every task keeps at
-    most max_n rows per group); otherwise the exact distributed ranking is used,
-    so no group is ever held whole by one task.  n = 0 gives NULL (0/0), or the
-    row is dropped with ``skip_empty``.
+    Ties go to the smaller key.  When the largest n is at most ``small_n`` the rows
+    are cut with a literal ``row_number() <= max_n`` (partial ``WindowGroupLimit``:
+    every task keeps at most max_n rows per group); otherwise the exact distributed
+    ranking is used, so no group is ever held whole by one task.  Labels missing
+    from ``n_counts`` are dropped; n = 0 gives NULL (0/0), or the row is dropped with
+    ``skip_empty``.
     """
     group_cols = list(group_cols)
+    n_of, max_n = _n_lookup(n_counts)
     flagged = _flag_hits(pooled, pos, key)
-    max_n = n_counts.agg(F.max("n")).first()[0] or 0
     if max_n <= small_n:
         ranked = top_k(flagged, group_cols, order_desc(score_col, key), max(int(max_n), 1))
     else:
         ranked = rank_in_groups(flagged, group_cols, order_desc(score_col, key))
-    top = ranked.join(n_counts, "label").where(F.col("rank") <= F.col("n"))
+    top = ranked.where(F.col("rank") <= n_of)
     hits = top.groupBy(*group_cols).agg(F.sum("_hit").alias("hits"))
-    groups = pooled.select(*group_cols).distinct().join(n_counts, "label")
+    groups = pooled.select(*group_cols).distinct().withColumn("n", n_of).where(F.col("n").isNotNull())
     out = groups.join(hits, group_cols, "left").select(
         *group_cols, F.col("n"),
         (F.try_divide(F.coalesce(F.col("hits"), F.lit(0)).cast("double"), F.col("n").cast("double"))
@@ -148,9 +161,9 @@ def top_n_overlap(scored: DataFrame, pos: DataFrame, n_counts: DataFrame,
     The first n rows of ``scored`` (n = positives of the label, ties to the smaller
     ``tie_col``) give a set of ``key`` values that is compared with the positives.
     """
+    n_of, _ = _n_lookup(n_counts)
     ranked = rank_in_groups(scored, ["label"], order_desc(score_col, tie_col or key))
-    top = ranked.join(n_counts, "label").where(F.col("rank") <= F.col("n")) \
-        .select("label", key).distinct().withColumn("_top", F.lit(1))
+    top = ranked.where(F.col("rank") <= n_of).select("label", key).distinct().withColumn("_top", F.lit(1))
     both = top.join(pos.select("label", key).withColumn("_pos", F.lit(1)), ["label", key], "full")
     agg = both.groupBy("label").agg(
         F.count_if(F.col("_top").isNotNull() & F.col("_pos").isNotNull()).alias("inter"),

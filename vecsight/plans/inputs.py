@@ -50,7 +50,8 @@ def negative_prompts(spark: SparkSession, sf_dir: str, n_labels: int = 10) -> Da
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     p = prompts(spark, sf_dir).select("vec_id")
-    rest = emb.join(p, "vec_id", "left_anti")
+    # the prompt table is size-checked (MAX_PROMPT_ROWS), so its ids may be broadcast
+    rest = emb.join(F.broadcast(p), "vec_id", "left_anti")
     subj = F.floor(F.col("vec_id") / 6).cast("long")
     return rest.select(
         subj.alias("subject_id"),
