@@ -155,14 +155,16 @@ def precision_at_k(pooled: DataFrame, pos: DataFrame, ks, key: str = "study_id",
 
 def top_n_overlap(scored: DataFrame, pos: DataFrame, n_counts: DataFrame,
                   key: str = "study_id", tie_col: str | None = None,
-                  score_col: str = "cosine_similarity") -> DataFrame:
+                  score_col: str = "cosine_similarity", small_n: int = SMALL_N) -> DataFrame:
     """D19 (with G3, H5, H6): 100 * |truth & top-n| / |truth | top-n| per label, 0 if empty.
 
     The first n rows of ``scored`` (n = positives of the label, ties to the smaller
     ``tie_col``) give a set of ``key`` values that is compared with the positives.
     """
-    n_of, _ = _n_lookup(n_counts)
-    ranked = rank_in_groups(scored, ["label"], order_desc(score_col, tie_col or key))
+    n_of, max_n = _n_lookup(n_counts)
+    order = order_desc(score_col, tie_col or key)
+    ranked = top_k(scored, ["label"], order, max(max_n, 1)) if max_n <= small_n \
+        else rank_in_groups(scored, ["label"], order)
     top = ranked.where(F.col("rank") <= n_of).select("label", key).distinct().withColumn("_top", F.lit(1))
     both = top.join(pos.select("label", key).withColumn("_pos", F.lit(1)), ["label", key], "full")
     agg = both.groupBy("label").agg(

@@ -7,7 +7,7 @@
   the table).  The rows are range-partitioned on (group, order) so one group is
   spread over many tasks; each task numbers its rows, and the per-task counts
   (one row per task and group) give every task its offset.  No task ever holds a
-  whole group.
+  whole group.  The numbered rows are written once (shared folder), so both uses agree.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecsight.sources.files import scratch_dir
+
 
 def order_desc(score_col: str, tie_col: str) -> list[Column]:
     """Score descending, missing last, ties to the smaller id."""
@@ -64,7 +66,13 @@ def rank_in_groups(df: DataFrame, group_cols: list[str], order: list[Column],
             count = int(pdf["_lrn"].iloc[-1])
             yield pdf
 
-    numbered = ranged.mapInPandas(number, schema)
+    # The numbered rows are used twice (per-task counts, then the join).  They are written
+    # once as a table in the shared folder of spark.checkpoint.dir: both uses read the same
+    # numbers, the Python pass runs once, and the lineage is cut there.
+    spark = df.sparkSession
+    path = scratch_dir(spark, "rank")
+    ranged.mapInPandas(number, schema).write.parquet(path)
+    numbered = spark.read.parquet(path)
     counts = numbered.groupBy("_pid", *group_cols).agg(F.max("_lrn").alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
