@@ -46,12 +46,22 @@ def _last(arr: Column, o: int) -> Column:
 
 def overlap_chunks(df: DataFrame, text_col: str, out_col: str = "chunks", m: int = 6, o: int = 5,
                    keep_tail: bool = False) -> DataFrame:
-    """Adds ``out_col`` (array of m strings).  Staged projections: every sentence and
-    word split runs once per row."""
+    """Adds ``out_col`` (array of m strings).
+
+    Staged projections; the sentence split runs once per row.  The whole text is split
+    into words only for short notes (the word branch).  The prefix of part i is the last
+    o words of parts 0..i-1; every sentence holds at least one word, so the last o words
+    of a part lie in its last o sentences and only those are split.
+    """
     keep = [c for c in df.columns]
-    x = df.select(*keep, sentences(F.col(text_col)).alias("_S"), words(F.col(text_col)).alias("_W"))
-    S, W = F.col("_S"), F.col("_W")
-    nS, nW = F.size(S), F.size(W)
+    x = df.select(*keep, sentences(F.col(text_col)).alias("_S"))
+    S = F.col("_S")
+    nS = F.size(S)
+    short = nS <= m
+    y = x.select(*keep, "_S", short.alias("_short"),
+                 F.when(short, words(F.col(text_col))).alias("_W"))
+    W = F.col("_W")
+    nW = F.size(W)
     c = F.floor(nW / F.lit(m)).cast("int")
     word_parts = []
     for i in range(m):
@@ -59,17 +69,21 @@ def overlap_chunks(df: DataFrame, text_col: str, out_col: str = "chunks", m: int
         end = F.least(start + c + F.lit(o), nW)
         word_parts.append(_join(F.slice(W, start + 1, F.greatest(end - start, F.lit(0)))))
     cs = F.floor(nS / F.lit(m)).cast("int")
-    texts = []
+    texts, tails = [], []
     for i in range(m):
         start = cs * F.lit(i)
         if i < m - 1:
             end = F.least(start + cs + F.lit(1), nS)
         else:
             end = nS if keep_tail else start + cs
-        texts.append(_join(F.slice(S, start + 1, F.greatest(end - start, F.lit(0)))).alias(f"_t{i}"))
-    y = x.select(*keep, (nS <= m).alias("_short"), F.array(*word_parts).alias("_wp"), *texts)
-    z = y.select(*keep, "_short", "_wp", *[f"_t{i}" for i in range(m)],
-                 *[words(F.col(f"_t{i}")).alias(f"_tw{i}") for i in range(m - 1)])
+        length = F.greatest(end - start, F.lit(0))
+        texts.append(_join(F.slice(S, start + 1, length)).alias(f"_t{i}"))
+        if i < m - 1:
+            last_sents = F.slice(S, F.greatest(end - F.lit(o - 1), start + 1), F.least(length, F.lit(o)))
+            tail_words = F.flatten(F.transform(last_sents, lambda s: F.split(s, r"\s+")))
+            tails.append(_last(tail_words, o).alias(f"_tw{i}"))
+    z = y.select(*keep, "_short", F.when(F.col("_short"), F.array(*word_parts)).alias("_wp"),
+                 *texts, *tails)
     sent_parts = [F.col("_t0")]
     for i in range(1, m):
         prev = F.flatten(F.array(*[F.col(f"_tw{j}") for j in range(i)]))
