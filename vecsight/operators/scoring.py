@@ -32,6 +32,7 @@ from vecsight.constants import (ALL_MEASURES, AVG_COSINE, AVG_EMBEDDING, MAX_COS
 from vecsight.functions.vectors import dot
 
 MAX_NATIVE_PROMPTS = 256   # prompt vectors become plan literals on the JVM-only path
+MAX_OUT_ROWS = 500_000     # rows per pandas frame yielded by the Arrow scorer
 
 
 @dataclass
@@ -135,23 +136,25 @@ def _arrow_scores(library: DataFrame, block: PromptBlock, id_cols: list[str], em
         b = bc.value
         L = len(b.labels)
         labels = np.array(b.labels, dtype=object)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            V = np.stack(pdf[emb_col].to_numpy()).astype(np.float64)
-            S = V @ b.qn.T
-            parts = []
-            for m, name in zip(measures, out_names):
-                M = _measure_matrix(b, S, V, m)          # n x L
-                part = pdf[id_cols].loc[pdf.index.repeat(L)].reset_index(drop=True)
-                part["label"] = np.tile(labels, len(pdf))
-                part["embedding_type"] = name
-                part["cosine_similarity"] = M.reshape(-1)
-                parts.append(part)
-            out = pd.concat(parts, ignore_index=True)
-            out["cosine_similarity"] = out["cosine_similarity"].where(
-                ~np.isnan(out["cosine_similarity"].to_numpy()), None)
-            yield out
+        # input rows per output frame, so one yielded frame holds at most MAX_OUT_ROWS rows
+        step = max(1, MAX_OUT_ROWS // max(1, L * len(measures)))
+        for whole in batches:
+            for lo in range(0, len(whole), step):
+                pdf = whole.iloc[lo:lo + step].reset_index(drop=True)
+                V = np.stack(pdf[emb_col].to_numpy()).astype(np.float64)
+                S = V @ b.qn.T
+                parts = []
+                for m, name in zip(measures, out_names):
+                    M = _measure_matrix(b, S, V, m)          # n x L
+                    part = pdf[id_cols].loc[pdf.index.repeat(L)].reset_index(drop=True)
+                    part["label"] = np.tile(labels, len(pdf))
+                    part["embedding_type"] = name
+                    part["cosine_similarity"] = M.reshape(-1)
+                    parts.append(part)
+                out = pd.concat(parts, ignore_index=True)
+                out["cosine_similarity"] = out["cosine_similarity"].where(
+                    ~np.isnan(out["cosine_similarity"].to_numpy()), None)
+                yield out
 
     return library.select(*id_cols, emb_col).mapInPandas(score, out_schema)
 
