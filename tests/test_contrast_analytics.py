@@ -63,3 +63,22 @@ def test_covariance_matches_numpy(spark):
     got = AN.covariance_entries(e, "embedding", m.shape[1]).collect()
     for r in got[:200]:
         assert r["cov"] == pytest.approx(c[r["i"], r["j"]], abs=1e-9)
+
+
+def test_flatten_patch_grid(spark):
+    df = spark.createDataFrame([(0, [[[1.0], [2.0]], [[3.0], [4.0]], [[5.0], [6.0]]])],
+                               "pair int, grid array<array<array<double>>>")
+    out = CT.flatten_grid(df, "grid")
+    assert out.count() == 6 and sorted(r["vec"][0] for r in out.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_cluster_size_check_and_means(spark):
+    import __spark_entry__ as E
+    from vecsight.operators.prevalence import column_means, size_check
+    from vecsight.plans import inputs as I
+    prev = E.queries()["cluster_prevalence_rollup"](spark, SF1)
+    chk = size_check(prev, I.corpus(spark, SF1)).first()
+    assert chk["clustered"] == chk["library_rows"] and chk["equal"]
+    means = column_means(prev, ["label_0", "Total_Samples"]).first()
+    rows = prev.collect()
+    assert means["label_0"] == pytest.approx(sum(r["label_0"] for r in rows) / len(rows))

@@ -91,3 +91,32 @@ def test_keyed_csv_and_whole_text(spark):
     text = IO.read_text_whole(spark, root).where(F.col("path").endswith(".csv"))
     lines = text.select(F.explode(F.split("value", "\n")).alias("l")).where(F.col("l") != "").count()
     assert lines == 3
+
+
+def test_hot_series_is_dropped_without_fan_out(spark):
+    """One series holds a third of the annotation rows and many image rows: W1 drops it,
+    and the plan joins only series that occur once on each side (no many-to-many join)."""
+    ann = spark.range(0, 3000).select((F.when(F.col("id") < 1000, F.lit(0)).otherwise(F.col("id"))).alias("series_uid"),
+                                      F.col("id").cast("string").alias("ann_id"))
+    img = spark.range(0, 3000).select((F.when(F.col("id") < 500, F.lit(0)).otherwise(F.col("id"))).alias("series_uid"),
+                                      F.concat(F.lit("i"), F.col("id").cast("string")).alias("im_id"))
+    m = MF.manifest(ann, img)
+    assert m.where("series_uid = 0").count() == 0
+    assert m.count() == 2000          # series 1000..2999 occur once on both sides
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 2
+
+
+def test_pairing_with_hot_series(spark):
+    rows = [("hot", "a__5.5__seg.dcm", None, "d/hot/a__5.5__seg.dcm")]
+    rows += [("hot", f"x{i}.dcm", None, f"d/hot/x{i}.dcm") for i in range(3000)]
+    rows += [("hot", "img_5.5.dcm", None, "d/hot/img_5.5.dcm")]
+    files = spark.createDataFrame(rows, "series_uid string, fname string, sop_uid string, fpath string")
+    r = MF.pair_files(files).first()
+    assert (r["fpath"], r["tier"], r["reject_reason"]) == ("d/hot/img_5.5.dcm", 1, None)
+
+
+def test_explode_segment_labels(spark):
+    df = spark.createDataFrame([("s", "u", ["A", "B"]), ("t", "v", ["A"])], "series_uid string, image_uid string, labels array<string>")
+    rows = MF.explode_labels(df, ["series_uid", "image_uid"]).collect()
+    assert sorted((r["series_uid"], r["label"]) for r in rows) == [("s", "A"), ("s", "B"), ("t", "A")]
