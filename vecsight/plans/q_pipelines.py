@@ -285,6 +285,16 @@ def decode_job(spark, sf):
                       F.aggregate("u8", F.lit(0).cast("long"), lambda a, x: a + x).alias("u8_sum"))
 
 
+SQL["decode_job"] = """
+WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * 4096) AS px FROM embeddings),
+q AS (SELECT *, list_max(px) AS mx FROM p)
+SELECT 'series' || label AS folder_name, 'img' || vec_id || '.npy' AS image_name, [8, 8]::INTEGER[] AS shape,
+       true AS shape_ok, round(mx, 1) AS px_max,
+       CASE WHEN mx > 0 THEN CAST(list_sum(list_transform(px, lambda x:
+            CAST(least(floor(greatest(x, 0.0) / mx * 255), 255) AS INTEGER))) AS BIGINT) END AS u8_sum
+FROM q"""
+
+
 @query("csv_roundtrip")
 def csv_roundtrip(spark, sf):
     """A1, A4: the labels table through plain and gzip CSV and back (explicit schema)."""

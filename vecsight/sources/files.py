@@ -24,8 +24,9 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 
 
 def scratch_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh, unique folder below the shared folder."""
-    return shared_dir(spark, "scratch", f"{tag}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique folder below the shared folder, grouped by application id so a
+    finished run's scratch data can be removed as a whole."""
+    return shared_dir(spark, "scratch", spark.sparkContext.applicationId, f"{tag}-{uuid.uuid4().hex[:12]}")
 
 
 def stage_dir(spark: SparkSession, *key: str) -> str:
