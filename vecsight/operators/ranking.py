@@ -7,15 +7,14 @@
   the table).  The rows are range-partitioned on (group, order) so one group is
   spread over many tasks; each task numbers its rows, and the per-task counts
   (one row per task and group) give every task its offset.  No task ever holds a
-  whole group.  The numbered rows are written once (shared folder), so both uses agree.
+  whole group.  The numbered rows are written once (shared folder), so both uses agree;
+  no Python runs in the ranking.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vecsight.sources.files import scratch_dir
 
@@ -38,44 +37,29 @@ def _num_partitions(df: DataFrame) -> int:
 
 def rank_in_groups(df: DataFrame, group_cols: list[str], order: list[Column],
                    rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """Exact ``row_number()`` over (partition by group order by ``order``), distributed."""
+    """Exact ``row_number()`` over (partition by group order by ``order``), distributed.
+
+    After the range exchange each task holds its rows sorted by (group, order);
+    ``monotonically_increasing_id`` numbers them in that order inside the task.  The
+    numbered rows are written once as a table in the shared folder of
+    spark.checkpoint.dir, so the two uses below (per-task group sizes, then the join)
+    read the same numbers and the lineage is cut there.  rank = id - first id of the
+    group in the task + 1 + rows of the group in earlier tasks.
+    """
     P = num_partitions or _num_partitions(df)
     sort_spec = [F.col(g).asc_nulls_first() for g in group_cols] + list(order)
-    ranged = (df.repartitionByRange(P, *sort_spec)
-              .sortWithinPartitions(*sort_spec)
-              .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(list(ranged.schema.fields) + [T.StructField("_lrn", T.LongType(), False)])
-
-    def number(batches):
-        # rows of one task arrive sorted by (group, order); number them per group
-        last_key, count = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            g = pdf[group_cols].astype(object)
-            prev = g.shift(1)
-            if last_key is not None:
-                prev.iloc[0] = list(last_key)
-            changed = g.ne(prev).any(axis=1)
-            grp = changed.cumsum()
-            lrn = grp.groupby(grp).cumcount() + 1
-            if not changed.iloc[0]:
-                lrn[grp == grp.iloc[0]] += count
-            pdf["_lrn"] = lrn.to_numpy().astype("int64")
-            last_key = tuple(g.iloc[-1])
-            count = int(pdf["_lrn"].iloc[-1])
-            yield pdf
-
-    # The numbered rows are used twice (per-task counts, then the join).  They are written
-    # once as a table in the shared folder of spark.checkpoint.dir: both uses read the same
-    # numbers, the Python pass runs once, and the lineage is cut there.
+    numbered_plan = (df.repartitionByRange(P, *sort_spec)
+                     .sortWithinPartitions(*sort_spec)
+                     .withColumn("_pid", F.spark_partition_id())
+                     .withColumn("_mid", F.monotonically_increasing_id()))
     spark = df.sparkSession
     path = scratch_dir(spark, "rank")
-    ranged.mapInPandas(number, schema).write.parquet(path)
+    numbered_plan.write.parquet(path)
     numbered = spark.read.parquet(path)
-    counts = numbered.groupBy("_pid", *group_cols).agg(F.max("_lrn").alias("_cnt"))
+    stats = numbered.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"),
+                                                      F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    offsets = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
     return (numbered.join(offsets, ["_pid", *group_cols])
-            .withColumn(rank_col, F.col("_off") + F.col("_lrn"))
-            .drop("_pid", "_lrn", "_off"))
+            .withColumn(rank_col, F.col("_mid") - F.col("_first") + 1 + F.col("_off"))
+            .drop("_pid", "_mid", "_first", "_off"))
