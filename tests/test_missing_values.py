@@ -89,3 +89,15 @@ def test_precision_paths_agree(spark):
     a = sorted(tuple(r) for r in ev.precision_at_n(pooled, pos, n, small_n=10**9).collect())
     b = sorted(tuple(r) for r in ev.precision_at_n(pooled, pos, n, small_n=0).collect())
     assert a == b
+
+
+def test_many_labels_join_path(spark, monkeypatch):
+    from vecsight.operators import evaluate as ev2
+    pooled = spark.createDataFrame([(1, "A", "m", 0.9), (2, "A", "m", 0.1), (1, "B", "m", 0.2), (2, "B", "m", 0.8)],
+                                   "study_id long, label string, embedding_type string, cosine_similarity double")
+    pos = spark.createDataFrame([("A", 1), ("B", 1)], "label string, study_id long")
+    n = spark.createDataFrame([("A", 1), ("B", 1)], "label string, n long")
+    want = sorted(tuple(r) for r in ev2.precision_at_n(pooled, pos, n).collect())
+    monkeypatch.setattr(ev2, "MAX_LABELS", 1)
+    got = sorted(tuple(r) for r in ev2.precision_at_n(pooled, pos, n).collect())
+    assert got == want == [("A", "m", 1, 1.0), ("B", "m", 1, 0.0)]

@@ -88,17 +88,24 @@ MAX_LABELS = 100_000
 
 
 def _n_lookup(n_counts: DataFrame, label_col: str = "label"):
-    """The per-label n table (one row per label, size-checked) as a map literal and its
-    maximum: n is attached to rows without a join."""
+    """The per-label n table (one row per label) as a map literal and its maximum, so n
+    is attached to rows without a join.  Beyond ``MAX_LABELS`` labels the map is not
+    built (None) and callers join the n table instead; the maximum is then one aggregate."""
     rows = n_counts.select(label_col, "n").limit(MAX_LABELS + 1).collect()
     if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+        return None, int(n_counts.agg(F.max("n")).first()[0] or 0)
     if not rows:
         return F.lit(None).cast("long"), 0
     m = F.create_map(*[x for r in rows for x in (F.lit(r[label_col]), F.lit(int(r["n"])))])
     return F.element_at(m, F.col(label_col)), max(int(r["n"]) for r in rows)
 
 
+def _with_n(df: DataFrame, n_of, n_counts: DataFrame) -> DataFrame:
+    if n_of is not None:
+        return df.withColumn("n", n_of)
+    return df.join(n_counts.select("label", "n"), "label", "left")
+
+
 def precision_at_n(pooled: DataFrame, pos: DataFrame, n_counts: DataFrame,
                    key: str = "study_id", group_cols=("label", "embedding_type"),
                    score_col: str = "cosine_similarity", scale: float = 1.0,
@@ -119,9 +126,9 @@ def precision_at_n(pooled: DataFrame, pos: DataFrame, n_counts: DataFrame,
         ranked = top_k(flagged, group_cols, order_desc(score_col, key), max(int(max_n), 1))
     else:
         ranked = rank_in_groups(flagged, group_cols, order_desc(score_col, key))
-    top = ranked.where(F.col("rank") <= n_of)
+    top = _with_n(ranked, n_of, n_counts).where(F.col("rank") <= F.col("n"))
     hits = top.groupBy(*group_cols).agg(F.sum("_hit").alias("hits"))
-    groups = pooled.select(*group_cols).distinct().withColumn("n", n_of).where(F.col("n").isNotNull())
+    groups = _with_n(pooled.select(*group_cols).distinct(), n_of, n_counts).where(F.col("n").isNotNull())
     out = groups.join(hits, group_cols, "left").select(
         *group_cols, F.col("n"),
         (F.try_divide(F.coalesce(F.col("hits"), F.lit(0)).cast("double"), F.col("n").cast("double"))
@@ -165,7 +172,8 @@ def top_n_overlap(scored: DataFrame, pos: DataFrame, n_counts: DataFrame,
     order = order_desc(score_col, tie_col or key)
     ranked = top_k(scored, ["label"], order, max(max_n, 1)) if max_n <= small_n \
         else rank_in_groups(scored, ["label"], order)
-    top = ranked.where(F.col("rank") <= n_of).select("label", key).distinct().withColumn("_top", F.lit(1))
+    top = _with_n(ranked, n_of, n_counts).where(F.col("rank") <= F.col("n")) \
+        .select("label", key).distinct().withColumn("_top", F.lit(1))
     both = top.join(pos.select("label", key).withColumn("_pos", F.lit(1)), ["label", key], "full")
     agg = both.groupBy("label").agg(
         F.count_if(F.col("_top").isNotNull() & F.col("_pos").isNotNull()).alias("inter"),
