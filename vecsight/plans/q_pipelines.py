@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecsight import __version__
 from vecsight.constants import (AVG_COSINE, AVG_EMBEDDING, MAX_COSINE, POOLING_DISPLAY,
                                 POSITIVE_TEMPLATES, RUN_NAME_PATTERN, SKIPPED_POOLING)
 from vecsight.functions.text import fill_template, image_path, run_name_parts
@@ -133,7 +134,7 @@ def model_grid(spark, sf):
     pos, n = _truth_validate(spark, sf)
     staged = []
     for name, subset in MODELS:
-        path = IO.stage_dir(spark, STAGE_VERSION, sf, name)
+        path = IO.stage_dir(spark, STAGE_VERSION, __version__, sf, name)
         s = IO.materialize(spark, path, lambda subset=subset: _model_scores(spark, sf, subset))
         staged.append(s.withColumn("model", F.lit(name)))
     scores = reduce(DataFrame.unionByName, staged)
