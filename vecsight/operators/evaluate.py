@@ -91,7 +91,8 @@ def _n_lookup(n_counts: DataFrame, label_col: str = "label"):
     """The per-label n table (one row per label) as a map literal and its maximum, so n
     is attached to rows without a join.  Beyond ``MAX_LABELS`` labels the map is not
     built (None) and callers join the n table instead; the maximum is then one aggregate."""
-    rows = n_counts.select(label_col, "n").limit(MAX_LABELS + 1).collect()
+    rows = n_counts.where(F.col(label_col).isNotNull()).select(label_col, "n") \
+        .limit(MAX_LABELS + 1).collect()
     if len(rows) > MAX_LABELS:
         return None, int(n_counts.agg(F.max("n")).first()[0] or 0)
     if not rows:
