@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecsight.constants import (ALL_MEASURES, AVG_COSINE, AVG_EMBEDDING, MAX_COSINE,
+from vecsight.constants import (ALL_MEASURES, AVG_COSINE, AVG_EMBEDDING, MAX_BROADCAST_ROWS, MAX_COSINE,
                                 MAX_PROMPTS_PER_BLOCK, NORM_EPS, PROMPT_MEASURES)
 from vecsight.functions.vectors import dot
 
@@ -54,7 +54,9 @@ def _label_blocks(prompts: DataFrame, label_col: str, max_prompts: int) -> list[
 
     Only the per-label prompt counts reach the driver (one row per label).
     """
-    counts = prompts.groupBy(label_col).count().orderBy(label_col).collect()
+    counts = prompts.groupBy(label_col).count().orderBy(label_col).limit(MAX_BROADCAST_ROWS + 1).collect()
+    if len(counts) > MAX_BROADCAST_ROWS:
+        raise ValueError(f"more than {MAX_BROADCAST_ROWS} labels in the prompt table")
     blocks, cur, size = [], [], 0
     for r in counts:
         c = r["count"]
