@@ -82,3 +82,25 @@ def test_cluster_size_check_and_means(spark):
     means = column_means(prev, ["label_0", "Total_Samples"]).first()
     rows = prev.collect()
     assert means["label_0"] == pytest.approx(sum(r["label_0"] for r in rows) / len(rows))
+
+
+def test_kmeans_cost_not_above_fixed_assignment(spark):
+    """The fitted k-means cost is at most the cost of assigning every vector to the
+    per-label mean vectors (a valid 10-centre solution)."""
+    from vecsight.operators.scoring import mean_vector
+    e = table(spark, SF1, "embeddings")
+    _, model = AN.kmeans(e, "embedding", k=10, seed=0)
+    centres = mean_vector(e, ["label"], "embedding", "centre").withColumnRenamed("label", "cluster")
+    fixed = AN.assign_nearest(e, "embedding", centres).agg(F.sum(F.col("dist") * F.col("dist"))).first()[0]
+    assert model.summary.trainingCost <= fixed + 1e-9
+
+
+def test_pca_variance_matches_covariance_eigenvalues(spark):
+    """The variance of each projected coordinate equals the top eigenvalues of the sample
+    covariance (PCA after centring)."""
+    e = table(spark, SF1, "embeddings")
+    m = np.array([r["embedding"] for r in e.orderBy("vec_id").collect()], dtype=np.float64)
+    eig = np.sort(np.linalg.eigvalsh(np.cov(m, rowvar=False)))[::-1]
+    out = AN.pca(e.select("vec_id", "embedding"), "embedding")
+    r = out.agg(F.var_samp("x"), F.var_samp("y")).first()
+    assert r[0] == pytest.approx(eig[0], rel=1e-6) and r[1] == pytest.approx(eig[1], rel=1e-6)
