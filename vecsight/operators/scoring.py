@@ -239,10 +239,17 @@ def mean_vector(df: DataFrame, group_cols: list[str], vec_col: str,
 
 
 def search_topk(library: DataFrame, prompts: DataFrame, id_cols: list[str], k: int,
-                tie_col: str, measure: str = "cosine_similarity_1", **kw) -> DataFrame:
-    """For each query label, the k best images (ties to the smaller ``tie_col``)."""
+                tie_col: str, measure: str = "cosine_similarity_1", digits: int | None = None,
+                **kw) -> DataFrame:
+    """For each query label, the k best images (ties to the smaller ``tie_col``).
+
+    ``digits`` rounds the score before ranking (ties are then decided on the rounded score).
+    A literal k plans as a partial ``WindowGroupLimit``: each task keeps k rows per label.
+    """
     s = score_library(library, prompts, id_cols, measures=(measure,), **kw)
+    if digits is not None:
+        s = s.withColumn("cosine_similarity", F.round("cosine_similarity", digits))
     w = Window.partitionBy("label").orderBy(F.col("cosine_similarity").desc_nulls_last(),
                                             F.col(tie_col).asc())
-    return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(int(k)))
             .drop("embedding_type"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vecsight.constants import (AVG_COSINE, AVG_EMBEDDING, K_VALUES, K_VALUES_PERCENT, MAX_COSINE,
                                 POOLED_MEASURES, PROMPT_MEASURES, SECOND_NAMING, THRESHOLD)
 from vecsight.operators import evaluate as ev
-from vecsight.operators.ranking import order_desc, top_k
+from vecsight.operators import scoring as sc
 from vecsight.operators.scoring import pool_prompt_scores, score_library
 from vecsight.plans import inputs as I
 from vecsight.plans.oracle_ctes import with_ctes
@@ -98,9 +98,9 @@ GROUP BY p.label""", "pscore")
 @query("search_topk")
 def search_topk(spark, sf, k: int = 10):
     pr = I.prompts(spark, sf).where(F.col("prompt_id") == 1)
-    s = I.scores(spark, sf, measures=("cosine_similarity_1",), prompt_table=pr)
-    return top_k(s, ["label"], order_desc("cosine_similarity", "dicom_id"), k) \
-        .select("label", F.col("rank").cast("long").alias("rank"), "dicom_id", "study_id", "cosine_similarity")
+    out = sc.search_topk(I.corpus(spark, sf), pr, I.ID_COLS, k, "dicom_id", digits=5)
+    return out.select("label", F.col("rank").cast("long").alias("rank"), "dicom_id", "study_id",
+                      "cosine_similarity")
 
 
 SQL["search_topk"] = with_ctes("""
