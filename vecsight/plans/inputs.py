@@ -41,6 +41,11 @@ def prompts(spark: SparkSession, sf_dir: str, per_label: int = 4) -> DataFrame:
     return lazy if lazy is not None else spark.createDataFrame(rows, schema)
 
 
+def _prompts_local(spark: SparkSession, sf_dir: str, per_label: int = 4) -> bool:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), per_label)
+    return key in _PROMPTS and _PROMPTS[key][2] is None
+
+
 def negative_prompts(spark: SparkSession, sf_dir: str, n_labels: int = 10) -> DataFrame:
     """Per label the four prompts of label (label + 1) mod n_labels."""
     p = prompts(spark, sf_dir)
@@ -50,8 +55,11 @@ def negative_prompts(spark: SparkSession, sf_dir: str, n_labels: int = 10) -> Da
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     p = prompts(spark, sf_dir).select("vec_id")
-    # the prompt table is size-checked (MAX_PROMPT_ROWS), so its ids may be broadcast
-    rest = emb.join(F.broadcast(p), "vec_id", "left_anti")
+    # a prompt table within MAX_PROMPT_ROWS is a checked local relation: broadcast its ids;
+    # beyond the bound the join strategy is left to Spark (AQE)
+    if _prompts_local(spark, sf_dir):
+        p = F.broadcast(p)
+    rest = emb.join(p, "vec_id", "left_anti")
     subj = F.floor(F.col("vec_id") / 6).cast("long")
     return rest.select(
         subj.alias("subject_id"),
