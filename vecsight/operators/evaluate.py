@@ -98,7 +98,7 @@ def _n_lookup(n_counts: DataFrame, label_col: str = "label"):
     if not rows:
         return F.lit(None).cast("long"), 0
     m = F.create_map(*[x for r in rows for x in (F.lit(r[label_col]), F.lit(int(r["n"])))])
-    return F.element_at(m, F.col(label_col)), max(int(r["n"]) for r in rows)
+    return F.element_at(m, F.col(label_col)).cast("long"), max(int(r["n"]) for r in rows)
 
 
 def _with_n(df: DataFrame, n_of, n_counts: DataFrame) -> DataFrame:
