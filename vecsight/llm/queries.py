@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsight.llm import bpe, warc
+from vecsight.llm import bpe, mixing, warc
 from vecsight.llm.common import table
 from vecsight.sources.files import scratch_dir
 
@@ -39,11 +39,55 @@ FROM f
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every take of every document: source, epoch, block and the block's place in the permutation."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "epoch", "block", "place")
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS s, coalesce(doc_id::VARCHAR, '-') AS k,
+         ('0x' || substr(md5('0|doc|' || coalesce(doc_id::VARCHAR, '-')), 1, 15))::BIGINT % 65536 AS part,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS t
+  FROM documents),
+totals AS (SELECT s, sum(t)::BIGINT AS total FROM d GROUP BY s),
+shares AS (SELECT s, total, total::DOUBLE / sum(total) OVER () AS p FROM totals WHERE total > 0),
+grid AS (SELECT k, sum(pow(p, k / 1e6)) AS z, sum(pow(p, k / 1e6) * (k / 1e6) * ln(p)) AS e, max(pow(p, k / 1e6 - 1)) AS r
+         FROM shares, (SELECT unnest(range(1000001)) AS k) GROUP BY k),
+by_entropy AS (SELECT coalesce(max(k), 0) AS k FROM grid
+               WHERE ln(z) - e / z >= 0.98 * ln((SELECT count(*) FROM shares)) - 1e-9),
+chosen AS (SELECT CASE WHEN (SELECT r / z FROM grid WHERE k = (SELECT k FROM by_entropy)) <= 4 THEN (SELECT k FROM by_entropy)
+                  ELSE (SELECT min(k) FROM grid WHERE r / z <= 4) END AS k),
+budgets AS (SELECT s, total, floor(pow(p, c.k / 1e6) / g.z * (SELECT sum(total) FROM shares) + 0.5)::BIGINT AS budget
+            FROM shares, chosen c JOIN grid g USING (k)),
+own AS (SELECT t.s, coalesce(least(65536, ceil(total / 250000.0)), 1)::BIGINT AS blocks,
+               coalesce(budget // total, 0) AS epochs, coalesce(budget % total, 0) AS rest
+        FROM (SELECT s FROM totals) t LEFT JOIN budgets USING (s)),
+placed AS (SELECT d.*, o.epochs, o.rest, d.part % o.blocks AS block FROM d JOIN own o USING (s)),
+blocks AS (SELECT s, block, epochs, rest, sum(t) AS bt,
+                  ('0x' || substr(md5('0|' || s || '|' || block || '|' || epochs), 1, 15))::BIGINT AS place
+           FROM placed GROUP BY s, block, epochs, rest),
+summed AS (SELECT *, sum(bt) OVER (PARTITION BY s ORDER BY place, block) AS upto FROM blocks),
+takes AS (SELECT p.doc_id, p.source, p.s, p.block, unnest(range(p.epochs + (b.upto <= b.rest)::INT)) AS epoch
+          FROM placed p JOIN summed b USING (s, block)),
+edge AS (SELECT p.*, b.rest - b.upto + b.bt AS left_over,
+                sum(p.t) OVER (PARTITION BY p.s, p.block ORDER BY
+                  ('0x' || substr(md5('0|' || p.epochs || '|' || p.k), 1, 15))::BIGINT, p.doc_id) AS upto_doc
+         FROM placed p JOIN summed b USING (s, block) WHERE b.upto > b.rest AND b.upto - b.bt < b.rest),
+taken AS (SELECT doc_id, source, s, block, epoch FROM takes
+          UNION ALL SELECT doc_id, source, s, block, epochs FROM edge WHERE upto_doc <= left_over)
+SELECT doc_id, source, epoch::INTEGER AS epoch, block,
+       ('0x' || substr(md5('0|' || s || '|' || block || '|' || epoch), 1, 15))::BIGINT AS place
+FROM taken
+"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the round trip through the decoder."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
                               public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_warc": op1_warc, "op9_byte_bpe": op9_byte_bpe}
-SQL = {"op1_warc": OP1_SQL}
+QUERIES = {"op1_warc": op1_warc, "op6_mixing": op6_mixing, "op9_byte_bpe": op9_byte_bpe}
+SQL = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
