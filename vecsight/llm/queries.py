@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsight.llm import bpe, mixing, warc
+from vecsight.llm import bpe, importance, mixing, toxicity, warc
 from vecsight.llm.common import table
 from vecsight.sources.files import scratch_dir
 
@@ -39,6 +39,11 @@ FROM f
 """
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log importance weight, its Gumbel key and whether it is kept."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every take of every document: source, epoch, block and the block's place in the permutation."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -83,11 +88,20 @@ FROM taken
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the chain's probabilities and whether it is rejected as toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels, categories = toxicity.labelled(table(spark, sf_dir, "labels"))
+    chain = toxicity.fit(docs, labels, categories)
+    return toxicity.predict(docs, chain).drop("text")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the round trip through the decoder."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
                               public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_warc": op1_warc, "op6_mixing": op6_mixing, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_warc": op1_warc, "op5_importance": op5_importance, "op6_mixing": op6_mixing,
+           "op7_toxicity": op7_toxicity, "op9_byte_bpe": op9_byte_bpe}
 SQL = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
