@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsight.llm import bpe, importance, mixing, toxicity, warc
+from vecsight.llm import bpe, importance, mixing, shingles, toxicity, warc
 from vecsight.llm.common import table
 from vecsight.sources.files import scratch_dir
 
@@ -39,6 +39,11 @@ FROM f
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of 4-word shingles and its component at 85 of 100."""
+    return shingles.near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its log importance weight, its Gumbel key and whether it is kept."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -102,6 +107,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_warc": op1_warc, "op5_importance": op5_importance, "op6_mixing": op6_mixing,
+QUERIES = {"op1_warc": op1_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_importance": op5_importance, "op6_mixing": op6_mixing,
            "op7_toxicity": op7_toxicity, "op9_byte_bpe": op9_byte_bpe}
 SQL = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}

@@ -24,14 +24,15 @@ from pyspark.sql import functions as F
 
 from vecsight.llm.common import U64, Fingerprints, text_pieces
 
-SPACE = 1 << 20
+SPACE = 1 << 24
 _BEGINNINGS = (4, 5, 6)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[65:91] = _LETTER[128:] = True
 
 
 def _features(column, weights=None):
-    """(row, feature) pairs of the lowered texts: every word and its first 4, 5 and 6 bytes, hashed.
+    """(row, feature) pairs of the lowered texts: every word and its first 4, 5 and 6 bytes (a shorter
+    word stands for its beginnings, so that all words weigh alike), hashed.
     With ``weights``, only features that have one.  Each pair comes once."""
     for i, j, data, offsets in text_pieces(column):
         n = len(data)
@@ -44,16 +45,14 @@ def _features(column, weights=None):
         prints = Fingerprints(data)
         pairs = []
         for most in (*_BEGINNINGS, None):
-            enough = slice(None) if most is None else ends - starts > most
-            s, e = starts[enough], ends[enough]
-            found = (prints.of(s, e if most is None else s + most) + U64(most or 0)) % U64(SPACE)
-            r = rows[enough]
+            found = (prints.of(starts, ends if most is None else np.minimum(ends, starts + most)) + U64(most or 0)) % U64(SPACE)
+            r = rows
             if weights is not None:
                 used = weights[found]
                 found, r = found[used], r[used]
-            pairs.append((r.astype(U64) << U64(20)) | found)
+            pairs.append((r.astype(U64) << U64(24)) | found)
         both = np.unique(np.concatenate(pairs))
-        yield i, j, (both >> U64(20)).astype(np.int64), (both & U64(SPACE - 1)).astype(np.int64)
+        yield i, j, (both >> U64(24)).astype(np.int64), (both & U64(SPACE - 1)).astype(np.int64)
 
 
 class Logistic:
@@ -88,12 +87,16 @@ class Chain:
 
     def __init__(self, categories, chosen, models, threshold):
         self.categories, self.chosen, self.models, self.threshold = categories, chosen, models, threshold
-        self.column = np.full(SPACE, -1, np.int32)
-        self.column[chosen] = np.arange(len(chosen))
+
+    def used(self) -> np.ndarray:
+        """Which features have a weight, to look at no others."""
+        out = np.zeros(SPACE, bool)
+        out[self.chosen] = True
+        return out
 
     def odds(self, rows: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-        """Log odds (documents x categories) from (row, feature) pairs."""
-        at, out, m = self.column[features], np.zeros((n, len(self.models))), len(self.chosen)
+        """Log odds (documents x categories) from (row, feature) pairs of chosen features."""
+        at, out, m = np.searchsorted(self.chosen, features), np.zeros((n, len(self.models))), len(self.chosen)
         for k, model in enumerate(self.models):
             out[:, k] = np.bincount(rows, model.w[at], n) + model.b + _squash(out[:, :k]) @ model.w[m:]
         return out
@@ -120,21 +123,20 @@ def fit_rows(rows: list[tuple[list[float], np.ndarray]], categories: list[str],
     y = np.array([r[0] for r in rows], np.float32).reshape(n, len(categories))
     owner = np.repeat(np.arange(n), [len(r[1]) for r in rows]) if n else np.zeros(0, int)
     flat = np.concatenate([r[1] for r in rows]) if n else np.zeros(0, np.int64)
-    seen = np.bincount(flat, minlength=SPACE)
-    chosen = np.zeros(SPACE, bool)
+    names, flat, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    chosen = np.zeros(len(names), bool)
     for k in range(len(categories)):  # features by how far their share among the positives is from chance
-        positive = np.bincount(flat, y[owner, k] if n else None, SPACE)
+        positive = np.bincount(flat, y[owner, k], len(names)) if n else seen
         rate = y[:, k].mean() if n else 0.0
         score = np.abs(positive - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
         score[seen < 3] = 0
-        best = np.argsort(-score)[:per_category]
+        best = np.argsort(-score, kind="stable")[:per_category]
         chosen[best[score[best] > 2]] = True
-    chosen = np.flatnonzero(chosen)
-    x = np.zeros((n, len(chosen) + len(categories)), np.float32)
-    column = np.full(SPACE, -1, np.int64)
-    column[chosen] = np.arange(len(chosen))
-    kept = column[flat] >= 0
+    column = np.cumsum(chosen) - 1
+    x = np.zeros((n, int(chosen.sum()) + len(categories)), np.float32)
+    kept = chosen[flat]
     x[owner[kept], column[flat[kept]]] = 1
+    chosen = names[chosen]
     fold, m, models, apart = np.arange(n) % folds, len(chosen), [], np.zeros((n, len(categories)))
     for k in range(len(categories)):
         own = x[:, :m + k]
@@ -181,7 +183,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 
     def run(batches):
         chain = spread.value
-        used = chain.column >= 0
+        used = chain.used()
         for batch in batches:
             odds = np.zeros((batch.num_rows, len(names)))
             for i, j, rows, features in _features(batch.column("__lower"), used):
