@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsight.llm import bpe, importance, mixing, shingles, toxicity, warc
+from vecsight.llm import bpe, forest, importance, mixing, shingles, toxicity, warc
 from vecsight.llm.common import table
 from vecsight.sources.files import scratch_dir
 
@@ -44,6 +44,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links at cosine 0.9, its component and whether it is kept."""
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its log importance weight, its Gumbel key and whether it is kept."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -107,6 +112,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_importance": op5_importance, "op6_mixing": op6_mixing,
+QUERIES = {"op1_warc": op1_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_embedding_dedup": op4_embedding_dedup,
+           "op5_importance": op5_importance, "op6_mixing": op6_mixing,
            "op7_toxicity": op7_toxicity, "op9_byte_bpe": op9_byte_bpe}
 SQL = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
