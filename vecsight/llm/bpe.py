@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecsight.llm.common import schema_with
+
 
 class PrefixBPE:
     """Ranks of a byte-level vocabulary with what the prefix table needs."""
@@ -184,7 +186,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
                                              [*kept.schema.names, ids])
 
     own = docs.drop(ids)
-    schema = own.schema.add(ids, "array<int>")
+    schema = schema_with(own, f"`{ids}` array<int>")
     return own.withColumn("__text", F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
@@ -197,7 +199,7 @@ def decode_column(docs: DataFrame, path: str, pattern: str, ids: str = "ids", ou
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, out])
 
     own = docs.drop(out)
-    return own.mapInArrow(run, own.schema.add(out, "binary"))
+    return own.mapInArrow(run, schema_with(own, f"`{out}` binary"))
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,5 +220,5 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id"
                                              [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     own = docs.select(key, F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = own.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema_with(own.select(key), "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return own.mapInArrow(run, schema)

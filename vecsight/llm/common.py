@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecsight.sources.files import scratch_dir
 
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_with(df: DataFrame, added: str) -> T.StructType:
+    """The columns of ``df`` followed by those of a DDL string."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` below the session's shared folder and read it back: later stages start from
     files that every executor sees, so a lost executor costs only its running tasks."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import U64, Fingerprints, add_up, cut, kth_largest, mix, text_pieces, word_spans
+from vecsight.llm.common import U64, Fingerprints, add_up, cut, kth_largest, mix, schema_with, text_pieces, word_spans
 
 BUCKETS = 1 << 16
 _SLICES = 8
@@ -89,7 +89,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
 
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     rows = docs.select("doc_id", uniform.alias("noise"), F.col("text").cast("string").alias("text"))
-    schema = rows.select("doc_id", "noise").schema.add("log_weight", "double").add("n_grams", "long")
+    schema = schema_with(rows.select("doc_id", "noise"), "log_weight double, n_grams bigint")
     return (rows.mapInArrow(run, schema)
             .withColumn("key", F.col("log_weight") - F.log(-F.log("noise"))).drop("noise"))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsight.llm import bpe, forest, importance, mixing, shingles, toxicity, warc
+from vecsight.llm import ann, bpe, forest, importance, mixing, shingles, toxicity, warc
 from vecsight.llm.common import table
 from vecsight.sources.files import scratch_dir
 
@@ -112,7 +112,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.PATTERN)
 
 
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows, by Euclidean distance, of every row whose vec_id is divisible by 100."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES = {"op1_warc": op1_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_embedding_dedup": op4_embedding_dedup,
            "op5_importance": op5_importance, "op6_mixing": op6_mixing,
-           "op7_toxicity": op7_toxicity, "op9_byte_bpe": op9_byte_bpe}
+           "op7_toxicity": op7_toxicity, "op9_byte_bpe": op9_byte_bpe, "op10_learned_partitions": op10_learned_partitions}
 SQL = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import U64, Fingerprints, text_pieces
+from vecsight.llm.common import U64, Fingerprints, schema_with, text_pieces
 
 SPACE = 1 << 24
 _BEGINNINGS = (4, 5, 6)
@@ -193,10 +193,8 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
                 [*out.columns, *(pa.array(1 / (1 + np.exp(-odds[:, k]))) for k in range(len(names))),
                  pa.array(odds[:, -1] > chain.threshold)], [*out.schema.names, *names, "toxic"])
 
-    schema = kept.schema
-    for name in names:
-        schema = schema.add(name, "double")
-    return kept.withColumn("__lower", F.lower(F.col(f"`{text}`").cast("string"))).mapInArrow(run, schema.add("toxic", "boolean"))
+    schema = schema_with(kept, ", ".join(f"`{n}` double" for n in names) + ", toxic boolean")
+    return kept.withColumn("__lower", F.lower(F.col(f"`{text}`").cast("string"))).mapInArrow(run, schema)
 
 
 def labelled(labels: DataFrame) -> tuple[DataFrame, list[str]]:
