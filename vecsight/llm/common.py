@@ -85,6 +85,27 @@ class Fingerprints:
         out *= self.inverse[starts]
         return mix(out)
 
+    def every(self, length: int) -> np.ndarray:
+        """The fingerprints of all substrings of one length, by start."""
+        out = self.sums[length:] - self.sums[:-length]
+        out *= self.inverse[:len(out)]
+        return mix(out)
+
+
+def set_bits(keys: DataFrame) -> np.ndarray:
+    """2**26 bits, set for the values of the long column ``key``: a filter of fixed size that lets all
+    of them pass (``has_bit``) and most other values not, as long as there are few of them."""
+    words = keys.groupBy(F.shiftrightunsigned("key", 44).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 38) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << 20, U64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(U64)
+    return out
+
+
+def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    k = keys.view(U64)
+    return (bits[(k >> U64(44)).astype(int)] >> ((k >> U64(38)) & U64(63))) & U64(1) == 1
+
 
 def text_pieces(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``most`` bytes (a longer row stands

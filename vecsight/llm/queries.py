@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsight.llm import ann, bpe, forest, importance, mixing, shingles, toxicity, warc
+from vecsight.llm import ann, bpe, forest, importance, mixing, shingles, suffixes, toxicity, warc
 from vecsight.llm.common import table
 from vecsight.sources.files import scratch_dir
 
@@ -106,6 +106,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain).drop("text")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start anywhere else."""
+    return suffixes.removal_digests(table(spark, sf_dir, "documents"), length=400)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the round trip through the decoder."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
@@ -119,5 +124,5 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_warc": op1_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_embedding_dedup": op4_embedding_dedup,
            "op5_importance": op5_importance, "op6_mixing": op6_mixing,
-           "op7_toxicity": op7_toxicity, "op9_byte_bpe": op9_byte_bpe, "op10_learned_partitions": op10_learned_partitions}
+           "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_learned_partitions": op10_learned_partitions}
 SQL = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
