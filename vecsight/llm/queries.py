@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsight.llm import ann, bpe, forest, importance, mixing, shingles, suffixes, toxicity, warc
+from vecsight.llm import ann, bpe, forest, importance, maintext, mixing, shingles, suffixes, toxicity, warc
 from vecsight.llm.common import table
 from vecsight.sources.files import scratch_dir
 
@@ -39,6 +39,11 @@ FROM f
 """
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page and its length in code points."""
+    return maintext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set of 4-word shingles and its component at 85 of 100."""
     return shingles.near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
@@ -122,7 +127,7 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_embedding_dedup": op4_embedding_dedup,
+QUERIES = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_embedding_dedup": op4_embedding_dedup,
            "op5_importance": op5_importance, "op6_mixing": op6_mixing,
            "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_learned_partitions": op10_learned_partitions}
 SQL = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
