@@ -119,7 +119,7 @@ def _links(batches, least: float):
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label]), pa.array(counted @ copies)], ["a", "b", "n"])
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, trees: int = 6, leaf: int = 1500, spill: float = 0.35,
+def near_duplicates(vectors: DataFrame, least: float = 0.9, trees: int = 8, leaf: int = 2000, spill: float = 0.12,
                     seed: int = 0) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable), kept."""
     rows = cut(packed(vectors), "vectors")
