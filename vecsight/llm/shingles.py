@@ -1,19 +1,24 @@
 """N-gram Jaccard join by signature trees: sets of word shingles whose similarity reaches num/den.
 
-1. Routing.  A pair that links differs in few shingles (at most (den - num) / num of the smaller
-   set).  The range of shingle fingerprints is cut into more segments than that, so some segment
-   is the same and not empty in both; every set emits one key per segment.  The number of segments
-   depends on the size class; sets near a class border emit for both classes.  A set with so many
-   empty segments that the count fails also emits its prefix (the smallest fingerprints, as many
-   as a linking set must share one of), so no link is lost.
+1. Routing.  A pair that links differs in at most d = (den - num) / num of its smaller set's
+   shingles.  The range of shingle fingerprints is cut into more segments than that, the same ones
+   for all sets of a size class; a set emits a key for each of its first d + 1 segments that are
+   not empty (d for its own size).  Of the segments up to the first that two linked sets share, all
+   others differ, so both emit that one.  Sets near a class border emit for both classes.
+   Shingles that very many documents hold (by a sketch of fixed size, counted over all rows) are
+   left out of the segments, which is safe as the others differ no more; a set with too few
+   segments left emits its prefix as well (the smallest fingerprints, as many as two linked sets
+   must share one of).
 2. Keys held by two different sets give candidate edges to the smallest set of the key, and the
-   components of these edges are candidate groups: all links lie inside them.
+   components of these edges are candidate groups: all links lie inside them.  A first signature
+   tree over short bitmaps (256 bytes a set) drops sets without a possible partner and splits the
+   groups, so that only few sets are shipped whole.
 3. Every group is cut into blocks of bounded size.  Over a block a signature tree is built: leaves
    hold a bitmap of their shingles, inner nodes the OR of their children and the range of sizes.  A
    dual traversal drops node pairs whose sizes or whose largest possible overlap (common bits plus
    the shingles that share a bit) cannot reach the threshold; what is left is compared exactly.
 4. Between blocks, leaders of the classes found are joined the same way; then every set outside the
-   largest class of its group is carried to the blocks whose root node admits it.
+   largest class of its group is carried to the blocks that hold one of its keys.
 
 Equal sets are one class from the start, so copies are never paired.  The result is the connected
 component of every row; links between different sets are verified on the whole sets.
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import U64, Fingerprints, cut, mix, text_pieces, word_spans
+from vecsight.llm.common import U64, Fingerprints, cut, has_bit, mix, schema_with, set_bits, text_pieces, word_spans
 from vecsight.llm.components import components
 
 _STEPS = [U64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -71,7 +76,7 @@ class Threshold:
         self.num, self.den = num, den
         bounds = [self._apart_from()]
         while bounds[-1] < 1 << 40:
-            bounds.append(bounds[-1] * 3 // 2 + 1)
+            bounds.append(bounds[-1] * 7 // 4 + 1)
         self.bounds = np.array(bounds)  # upper ends of the size classes; sets up to the first link only if equal
 
     def _apart_from(self) -> int:
@@ -107,10 +112,45 @@ def digests(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def routing_keys(tokens: np.ndarray, at: np.ndarray, t: Threshold, rows: np.ndarray):
-    """(row, key) of the sets of ``rows``."""
+SKETCH = 1 << 20
+
+
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(7)).astype(np.int64) & (SKETCH - 1)
+
+
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Of a table of one text column: which of a fixed number of counters hold a shingle of very many rows.  Every task counts all
+    its rows, up to 255 a counter, so that it sends one byte per counter."""
+    def run(batches):
+        counts = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for _, _, tokens, _ in shingle_sets(batch.column(0), width):
+                counts += np.bincount(_counter(tokens), minlength=SKETCH)
+        own = np.minimum(counts, 255).astype(np.uint8).reshape(8, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([x.tobytes() for x in own])], ["key", "vec"])
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[key] = sums.get(key, 0) + np.frombuffer(raw, np.uint8).astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()])], ["key", "vec"])
+
+    rows = texts.mapInArrow(run, "key int, vec binary").repartition(8, "key").mapInArrow(total, "key int, vec binary")
+    parts = {r.key: np.frombuffer(r.vec, np.int64) for r in rows.collect()}
+    if not parts:
+        return np.zeros(SKETCH, bool)
+    counts = np.concatenate([parts[k] for k in range(8)])
+    return counts >= max(64, 4 * counts.mean())
+
+
+def routing_keys(tokens: np.ndarray, at: np.ndarray, t: Threshold, rows: np.ndarray, common: np.ndarray):
+    """(row, key) of the sets of ``rows``; ``common`` marks the counters of common shingles."""
     size = np.diff(at)
     salted = mix(tokens ^ _STEPS[1])
+    rare = ~common[_counter(tokens)]
     low, high = np.searchsorted(t.bounds, t.least(size)), np.searchsorted(t.bounds, size)
     out_rows, out_keys = [], []
     wanted = np.zeros(len(size), bool)
@@ -125,17 +165,23 @@ def routing_keys(tokens: np.ndarray, at: np.ndarray, t: Threshold, rows: np.ndar
         counts = size[own]
         span = np.repeat(at[own] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
         which = np.repeat(np.arange(len(own)), counts)
+        kept = rare[span]
+        span, which = span[kept], which[kept]
         segment = ((tokens[span] >> U64(32)) * parts[which].astype(U64)) >> U64(32)
         edge = np.ones(len(span), bool)
         edge[1:] = (segment[1:] != segment[:-1]) | (which[1:] != which[:-1])
         starts = np.flatnonzero(edge)
-        sums = _starts_sum(salted[span], starts)
-        kept = which[starts]
-        out_keys.append(mix(sums + segment[starts] * _STEPS[2] + level[own][kept].astype(U64) * _STEPS[3]))
-        out_rows.append(own[kept])
-        filled = np.bincount(kept, minlength=len(own))
-        for r in own[filled <= t.differs(size[own])]:
-            prefix = tokens[at[r]:at[r] + size[r] - int(t.least(size[r])) + 1]
+        sums, owner = _starts_sum(salted[span], starts), which[starts]
+        filled = np.bincount(owner, minlength=len(own))
+        need = t.differs(counts) + 1
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(filled) - filled, filled)
+        sent = nth < need[owner]
+        owner, sums, segment = owner[sent], sums[sent], segment[starts][sent]
+        out_keys.append(mix(sums + segment * _STEPS[2] + level[own][owner].astype(U64) * _STEPS[3]))
+        out_rows.append(own[owner])
+        for r in own[filled < need]:
+            order = np.argsort(~rare[at[r]:at[r + 1]], kind="stable")  # rare shingles first, then by fingerprint
+            prefix = tokens[at[r]:at[r + 1]][order][:size[r] - int(t.least(size[r])) + 1]
             out_keys.append(mix(prefix + _STEPS[4]))
             out_rows.append(np.full(len(prefix), r))
     if not out_keys:
@@ -143,31 +189,43 @@ def routing_keys(tokens: np.ndarray, at: np.ndarray, t: Threshold, rows: np.ndar
     return np.concatenate(out_rows), np.concatenate(out_keys).view(np.int64)
 
 
+def bitmap(tokens: np.ndarray, bits: int, deep: int = 1) -> tuple[np.ndarray, int]:
+    """The bitmap of a set and its number of shingles without a bit of their own.  A shingle belongs
+    to one of bits / deep buckets; the k-th shingle of a bucket sets the bucket's k-th bit, up to
+    ``deep``.  Common bits plus spare shingles thus bound an overlap, and the OR of bitmaps bounds
+    that of any of their sets."""
+    bucket = np.sort(((tokens >> U64(20)) % U64(bits // deep)).astype(np.int64))
+    rank = np.arange(len(bucket)) - np.searchsorted(bucket, bucket)
+    own = rank < deep
+    where = bucket[own] * deep + rank[own]
+    out = np.zeros(bits, bool)
+    out[where] = True
+    return np.packbits(out).view(U64), len(tokens) - len(where)
+
+
 class SignatureTree:
-    """Bitmaps and size ranges over ``sets`` (ascending fingerprints), level by level from the leaves."""
+    """Bitmaps and size ranges over sets, level by level from the leaves (ordered by ``near``, a
+    value that similar sets tend to share, then by size)."""
 
     FAN = 8
 
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets])
-        bits = 1 << int(np.clip(np.ceil(np.log2(4 * np.median(size) + 1)), 9, 14))
-        words = bits // 64
-        # near copies share their smallest fingerprint as a rule: they become neighbours
-        self.order = np.lexsort((size, np.array([s[0] for s in sets])))
-        self.sets = [sets[k] for k in self.order]
-        size = size[self.order]
-        maps = np.zeros((len(sets), words), U64)
-        for k, s in enumerate(self.sets):
-            where = (s >> U64(20)) % U64(bits)
-            np.bitwise_or.at(maps[k], (where >> U64(6)).astype(int), U64(1) << (where & U64(63)))
-        spare = size - np.bitwise_count(maps).sum(1).astype(int)  # shingles that share a bit
-        self.levels = [(maps, size, size, spare)]
+    def __init__(self, maps: np.ndarray, size: np.ndarray, spare: np.ndarray, near: np.ndarray):
+        self.order = np.lexsort((size, near))
+        self.levels = [(maps[self.order], size[self.order], size[self.order], spare[self.order])]
         while len(self.levels[-1][0]) > 1:
             maps, lo, hi, spare = self.levels[-1]
             at = np.arange(0, len(maps), self.FAN)
             self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(lo, at),
                                 np.maximum.reduceat(hi, at), np.maximum.reduceat(spare, at)))
 
+    @classmethod
+    def over(cls, sets: list[np.ndarray]) -> SignatureTree:
+        size = np.array([len(s) for s in sets])
+        bits = 1 << int(np.clip(np.ceil(np.log2(4 * np.median(size) + 1)), 9, 14))
+        maps, spare = zip(*(bitmap(s, bits) for s in sets))
+        # near copies share their smallest fingerprint as a rule: they become neighbours
+        return cls(np.stack(maps), size, np.array(spare), np.array([s[0] for s in sets]))
+
     def admitted(self, level: int, a: np.ndarray, b: np.ndarray, t: Threshold) -> np.ndarray:
         """Which node pairs of a level may hold a linking pair."""
         maps, lo, hi, spare = self.levels[level]
@@ -204,8 +262,8 @@ def join_block(keys: list[int], classes: list[int], sets: list[np.ndarray], t: T
     With ``probes``, only pairs that hold one of these classes are looked at."""
     if len(sets) < 2:
         return []
-    tree = SignatureTree(sets)
-    keys, classes = [keys[k] for k in tree.order], [classes[k] for k in tree.order]
+    tree = SignatureTree.over(sets)
+    keys, classes, sets = ([v[k] for k in tree.order] for v in (keys, classes, sets))
     above = {c: c for c in classes}
 
     def root(c):
@@ -219,7 +277,7 @@ def join_block(keys: list[int], classes: list[int], sets: list[np.ndarray], t: T
             continue
         a, b = root(classes[x]), root(classes[y])
         if a != b:
-            s, r = tree.sets[x], tree.sets[y]
+            s, r = sets[x], sets[y]
             if t.links(len(np.intersect1d(s, r, assume_unique=True)), len(s), len(r)):
                 above[max(a, b)] = min(a, b)
                 links.append((keys[x], keys[y]))
@@ -230,16 +288,46 @@ def _by_group(batches, columns: int):
     """Groups of rows whose first ``columns`` columns agree, from batches sorted by them."""
     held, key = [], None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:columns] != key:
-                if held:
-                    yield held
-                held, key = [], row[:columns]
-            held.append(row)
+        for lo in range(0, batch.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                if row[:columns] != key:
+                    if held:
+                        yield held
+                    held, key = [], row[:columns]
+                held.append(row)
     if held:
         yield held
 
 
+_SHORT_BITS, _SHORT_DEEP = 2048, 8
+
+
+def _refine(rows: DataFrame, t: Threshold) -> DataFrame:
+    """Edges that span the possible links inside every grp of (grp, c, n, spare, short)."""
+    def run(batches):
+        for group in _by_group(batches, 1):
+            own = list({r[1]: r for r in group}.values())
+            c, n, spare = (np.array([r[k] for r in own]) for k in (1, 2, 3))
+            tree = SignatureTree(np.stack([np.frombuffer(r[4], U64) for r in own]), n, spare, n)
+            label = np.arange(len(own))
+            a, b = tree.pairs(t)
+            while len(a):
+                new = label.copy()
+                np.minimum.at(new, a, label[b])
+                np.minimum.at(new, b, label[a])
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            c = c[tree.order]
+            other = np.flatnonzero(label != np.arange(len(own)))
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(c[other]), pa.array(c[label[other]])], ["a", "b"])
+
+    return (rows.select("grp", "c", "n", "spare", "short").repartition("grp").sortWithinPartitions("grp")
+            .mapInArrow(run, "a long, b long"))
+
+
 def _join_groups(rows: DataFrame, t: Threshold) -> DataFrame:
     """Links found inside every (grp, block) of (grp, block, c, cls, probe, tokens)."""
     def run(batches):
@@ -261,8 +349,9 @@ def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
             .withColumn("cls", F.coalesce("component", "c")).drop("component"))
 
 
-def _cross_blocks(members: DataFrame, links: DataFrame, found: DataFrame, t: Threshold, block: int) -> DataFrame:
-    """More links for groups of several blocks."""
+def _cross_blocks(members: DataFrame, keys: DataFrame, links: DataFrame, found: DataFrame, t: Threshold,
+                  block: int) -> DataFrame:
+    """More links for groups of several blocks; ``keys`` (c, key) are the keys that two sets hold."""
     spread = _with_class(members.where("blocks > 1"), found)
     for _ in range(4):  # leaders of the classes, until that joins no more
         leaders = spread.where("c = cls")
@@ -279,136 +368,113 @@ def _cross_blocks(members: DataFrame, links: DataFrame, found: DataFrame, t: Thr
     tops = sizes.groupBy("grp").agg(F.max(F.struct("n", "cls")).alias("top"), F.count("*").alias("classes"))
     tops = tops.where("classes > 1").select("grp", F.col("top.cls").alias("top"))
     rest = spread.join(tops, "grp")
-    probes = rest.where("cls <> top").withColumn("probe", F.lit(True))
-    nodes = cut(_block_nodes(rest), "nodes")
-    carried = _admit(probes.join(nodes, "grp"), t)
+    keys = keys.join(rest.select("c", "grp", "block", (F.col("cls") != F.col("top")).alias("probe")).distinct(), "c")
+    at = keys.select("grp", "key", F.col("block").alias("other")).distinct()
+    visits = keys.where("probe").join(at, ["grp", "key"]).where("block <> other").select("c", "other").distinct()
+    carried = rest.where("cls <> top").join(visits, "c")
     stay = rest.withColumn("probe", F.col("cls") != F.col("top"))
     both = stay.select("grp", "block", "c", "cls", "probe", "tokens").unionByName(
-        carried.select("grp", F.col("node_block").alias("block"), "c", "cls", "probe", "tokens"))
+        carried.select("grp", F.col("other").alias("block"), "c", "cls", F.lit(True).alias("probe"), "tokens"))
     return links.unionByName(cut(_join_groups(both, t), "cross"))
 
 
-_ROOT_BITS = 1 << 16
-
-
-def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    out = np.zeros(_ROOT_BITS // 64, U64)
-    where = (tokens >> U64(20)) % U64(_ROOT_BITS)
-    np.bitwise_or.at(out, (where >> U64(6)).astype(int), U64(1) << (where & U64(63)))
-    return out
-
-
-def _block_nodes(rows: DataFrame) -> DataFrame:
-    """The root of every block's tree: OR of the bitmaps and range of sizes."""
-    def run(batches):
-        for group in _by_group(batches, 2):
-            union, sizes = np.zeros(_ROOT_BITS // 64, U64), []
-            for row in group:
-                tokens = np.frombuffer(row[2], U64)
-                union |= _bitmap(tokens)
-                sizes.append(len(tokens))
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (group[0][0], group[0][1], min(sizes), max(sizes), union.tobytes())],
-                                             ["grp", "node_block", "lo", "hi", "bits"])
-
-    return (rows.select("grp", "block", "tokens").repartition("grp", "block").sortWithinPartitions("grp", "block")
-            .mapInArrow(run, "grp long, node_block long, lo long, hi long, bits binary"))
-
-
-def _admit(pairs: DataFrame, t: Threshold) -> DataFrame:
-    """Of (set, block node) pairs those that may hold a link: at most the bits in common plus the
-    shingles of the set that share a bit."""
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for tokens, lo, hi, bits in zip(*(batch.column(c).to_pylist() for c in ("tokens", "lo", "hi", "bits")), strict=True):
-                s = np.frombuffer(tokens, U64)
-                own = _bitmap(s)
-                common = int(np.bitwise_count(own & np.frombuffer(bits, U64)).sum())
-                spare = len(s) - int(np.bitwise_count(own).sum())
-                keep.append(hi >= t.least(len(s)) and len(s) >= t.least(lo) and common + spare >= t.overlap(len(s) + lo))
-            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["lo", "hi", "bits"])
-
-    out = pairs.where("block <> node_block").select("grp", "node_block", "c", "cls", "probe", "tokens", "lo", "hi", "bits")
-    return out.mapInArrow(run, out.drop("lo", "hi", "bits").schema)
-
-
-def _key_filter(keys: DataFrame) -> np.ndarray:
-    """2**26 bits, set for the keys that two sets hold: a filter of fixed size that lets all of them
-    pass and spares the second pass most others."""
-    words = keys.groupBy(F.shiftrightunsigned("key", 44).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 38) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << 20, U64)
-    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(U64)
-    return out
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 512) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id of its
-    component, itself included).
+def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (``columns``, n_shingles, c: the class of equal sets), written once, and
+    the component of every class that links to another (c, component).
 
     Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a text with fewer words than
     ``width`` has one shingle, all of them; a null text or one without words has none and links with
-    nothing, so its component is itself; equal sets link, repeated rows too; null ids are left out
-    of the smallest id, and a component of null ids only has a null id; extra columns are ignored; an
-    empty table gives no rows.
+    nothing (its c is 0); equal sets link, repeated rows too; an empty table gives no rows.
     """
     t = Threshold(num, den)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the text comes along once: under its own name if it is kept, else as a column that goes
+    column = "text" if "text" in columns else "__text"
+    texts = docs.select(*[F.col(f"`{x}`") for x in columns], *([] if column == "text" else [F.col("text").cast("string").alias(column)]))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts.select(column), width))  # 1 MB, whatever the input
 
     def keys_of(batches):
         seen: set = set()
         for batch in batches:
-            for i, j, tokens, at in shingle_sets(batch.column("text"), width):
+            for i, j, tokens, at in shingle_sets(batch.column(column), width):
                 c = digests(tokens, at)
                 fresh = [r for r, x in enumerate(c.tolist()) if x not in seen and not seen.add(x)]  # copies emit once a task
-                rows, keys = routing_keys(tokens, at, t, np.array(fresh, int))
+                rows, keys = routing_keys(tokens, at, t, np.array(fresh, int), common.value)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c[rows])], ["key", "c"])
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
 
-    rows = texts.select("text").mapInArrow(keys_of, "key long, c long")
+    rows = texts.select(column).mapInArrow(keys_of, "key long, c long")
     shared = cut(rows.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("other"))
                  .where("hub <> other").select("key", "hub"), "shared-keys")
-    passing = docs.sparkSession.sparkContext.broadcast(_key_filter(shared))  # 8 MB, whatever the input
+    passing = docs.sparkSession.sparkContext.broadcast(set_bits(shared))  # 8 MB, whatever the input
 
     def sets_of(batches):
         bits = passing.value
         seen: set = set()
         for batch in batches:
-            for i, j, tokens, at in shingle_sets(batch.column("text"), width):
+            for i, j, tokens, at in shingle_sets(batch.column(column), width):
                 c = digests(tokens, at)
                 fresh = [r for r, x in enumerate(c.tolist()) if x not in seen and not seen.add(x)]
-                owner, keys = routing_keys(tokens, at, t, np.array(fresh, int))
-                k = keys.view(U64)
-                hit = (bits[(k >> U64(44)).astype(int)] >> ((k >> U64(38)) & U64(63))) & U64(1) == 1
+                owner, keys = routing_keys(tokens, at, t, np.array(fresh, int), common.value)
+                hit = has_bit(bits, keys)
                 owner, keys = owner[hit], keys[hit]
                 order = np.argsort(owner, kind="stable")
                 owner, keys = owner[order], keys[order]
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
-                own = [tokens[at[r]:at[r + 1]].tobytes() if cuts[r + 1] > cuts[r] else None for r in range(j - i)]
+                held = [tokens[at[r]:at[r + 1]] if cuts[r + 1] > cuts[r] else None for r in range(j - i)]
+                own = [None if x is None else x.tobytes() for x in held]
+                short = [(None, None) if x is None else bitmap(x, _SHORT_BITS, _SHORT_DEEP) for x in held]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), pa.array(c),
-                     pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(keys)), pa.array(own, pa.binary())],
-                    ["doc_id", "n_shingles", "c", "keys", "tokens"])
-                if len(seen) > 1_000_000:
+                    [*(batch.column(x).slice(i, j - i) for x in columns), pa.array(np.diff(at).astype(np.int64)), pa.array(c),
+                     pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(keys)), pa.array(own, pa.binary()),
+                     pa.array([None if x is None else x.tobytes() for x, _ in short], pa.binary()), pa.array([x for _, x in short], pa.int64())],
+                    [*columns, "n_shingles", "c", "keys", "tokens", "short", "spare"])
+                if len(seen) > 200_000:
                     seen.clear()
 
-    sets = cut(texts.mapInArrow(sets_of, "doc_id long, n_shingles long, c long, keys array<long>, tokens binary"), "sets")
+    schema = schema_with(texts.drop("__text"), "n_shingles bigint, c bigint, keys array<bigint>, tokens binary, short binary, spare bigint")
+    sets = cut(texts.mapInArrow(sets_of, schema), "sets")
     held = sets.where("tokens IS NOT NULL")
-    edges = (held.select("c", F.explode("keys").alias("key")).join(shared, "key").where("c <> hub")
-             .select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct())
+    keys = cut(held.select("c", F.explode("keys").alias("key")).join(shared, "key").distinct(), "keys")
+    edges = keys.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
     groups = components(edges).select(F.col("node").alias("c"), F.col("component").alias("grp"))
-    weights = held.groupBy("c").agg(F.max(F.octet_length("tokens")).alias("bytes"))
-    sizes = (groups.join(weights, "c").groupBy("grp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-             .select("grp", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / (32 << 20))).alias("blocks")))
+    counts = groups.groupBy("grp").agg(F.count("*").alias("members"))
+    groups = cut(groups.join(counts, "grp"), "candidates")
+    few = groups.where(F.col("members") <= 8 * block)
+    possible = _refine(held.select("c", F.col("n_shingles").alias("n"), "spare", "short").join(few, "c"), t).unionByName(
+        groups.where((F.col("members") > 8 * block) & (F.col("c") != F.col("grp"))).select(F.col("c").alias("a"), F.col("grp").alias("b")))
+    groups = components(possible).select(F.col("node").alias("c"), F.col("component").alias("grp"))
+    weights = held.groupBy("c").agg(F.max("n_shingles").alias("n"))
+    sizes = (groups.join(weights, "c").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+             .select("grp", F.ceil(F.greatest(F.col("members") / block, F.col("n") / (4 << 20))).alias("blocks")))
     placed = cut(groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks"))), "groups")
-    members = cut(held.select("c", "tokens").join(placed, "c").withColumns({"cls": F.col("c"), "probe": F.lit(True)}), "members")
+    members = held.select("c", "tokens").join(placed, "c").withColumns({"cls": F.col("c"), "probe": F.lit(True)})
     links = cut(_join_groups(members, t), "links")
     if not placed.where("blocks > 1").isEmpty():
-        links = _cross_blocks(members, links, components(links), t, block)
-    found = components(links).select(F.col("node").alias("c"), "component")
-    joined = (sets.select("doc_id", "n_shingles", "c").join(found, "c", "left")
-              .withColumn("cls", F.coalesce("component", "c")))
+        links = _cross_blocks(members, keys.drop("hub"), links, components(links), t, block)
+    return sets.drop("keys", "tokens", "short", "spare"), components(links).select(F.col("node").alias("c"), "component")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 512) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id of its
+    component, itself included).  See ``classes``; a row without shingles is its own component; null
+    ids are left out of the smallest id, a component of null ids only has a null id; extra columns
+    are ignored."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, found = classes(docs, ["doc_id"], width, num, den, block)
+    joined = rows.join(found, "c", "left").withColumn("cls", F.coalesce("component", "c"))
     least = joined.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("component_id"))
     full = joined.where("n_shingles > 0").join(least, "cls").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(joined.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 512) -> DataFrame:
+    """``docs`` with one row of every component: the one with the smallest doc_id (a null id comes
+    last, of rows that share it any one).  Rows without shingles all stay."""
+    named = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows, found = classes(named, named.columns, width, num, den, block)
+    joined = (rows.where("n_shingles > 0").select("__row", "doc_id", "c").join(found, "c", "left")
+              .select("__row", "doc_id", F.coalesce("component", "c").alias("cls")))
+    first = joined.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("first"))
+    gone = joined.join(first, "cls").where("__row <> first").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
