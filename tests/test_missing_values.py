@@ -78,26 +78,68 @@ def test_overlap_empty_union_is_zero(spark):
     assert ev.top_n_overlap(scored, pos, n).first()["overlap_pct"] == 0.0
 
 
-def test_precision_paths_agree(spark):
+def test_precision_equals_one_window(spark):
     import random
+    from pyspark.sql import Window
     rnd = random.Random(5)
-    rows = [(i, "A" if i % 4 else "B", "m", float(rnd.randint(0, 20))) for i in range(2000)]
+    rows = [(i, "A" if i % 4 else "B", "m", None if i % 50 == 7 else rnd.choice([float(rnd.randint(0, 20)), rnd.gauss(0, 1e-3), rnd.gauss(0, 1e6)]))
+            for i in range(2000)]
+    rows += [(None, None, "m", 0.5), (1, None, "m", 0.7)]
     pooled = spark.createDataFrame(rows, "study_id long, label string, embedding_type string, cosine_similarity double")
-    pos = spark.createDataFrame([("A", i) for i in range(0, 2000, 3)] + [("B", i) for i in range(0, 2000, 8)],
+    pos = spark.createDataFrame([("A", i) for i in range(0, 2000, 3)] + [("B", i) for i in range(0, 2000, 8)] + [("C", 1)],
                                 "label string, study_id long")
-    n = pos.groupBy("label").count().withColumnRenamed("count", "n")
-    a = sorted(tuple(r) for r in ev.precision_at_n(pooled, pos, n, small_n=10**9).collect())
-    b = sorted(tuple(r) for r in ev.precision_at_n(pooled, pos, n, small_n=0).collect())
-    assert a == b
-
-
-def test_many_labels_join_path(spark, monkeypatch):
-    from vecsight.operators import evaluate as ev2
-    pooled = spark.createDataFrame([(1, "A", "m", 0.9), (2, "A", "m", 0.1), (1, "B", "m", 0.2), (2, "B", "m", 0.8)],
+    n = pos.groupBy("label").count().withColumnRenamed("count", "n").unionByName(spark.createDataFrame([(None, 1)], "label string, n long"))
+    got = sorted((tuple(r) for r in ev.precision_at_n(pooled, pos, n).collect()), key=str)
+    w = Window.partitionBy("label").orderBy(F.col("cosine_similarity").desc_nulls_last(), "study_id")
+    want = (pooled.withColumn("rank", F.row_number().over(w)).join(n, pooled.label.eqNullSafe(n.label)).drop(n.label)
+            .where("rank <= n").join(pos.withColumn("h", F.lit(1)), ["label", "study_id"], "left")
+            .groupBy("label", "embedding_type", "n").agg((F.coalesce(F.sum("h"), F.lit(0)) / F.col("n")).alias("p")))
+    assert got == sorted((tuple(r) for r in want.collect()), key=str)
+    assert [g[0] for g in got] == ["A", "B", None]  # C has no scores; a null label keeps its group
+
+
+def test_equal_scores_and_zero_n(spark):
+    pooled = spark.createDataFrame([(i, "A", "m", 0.25) for i in range(50)] + [(1, "B", "m", 0.1)],
                                    "study_id long, label string, embedding_type string, cosine_similarity double")
-    pos = spark.createDataFrame([("A", 1), ("B", 1)], "label string, study_id long")
-    n = spark.createDataFrame([("A", 1), ("B", 1)], "label string, n long")
-    want = sorted(tuple(r) for r in ev2.precision_at_n(pooled, pos, n).collect())
-    monkeypatch.setattr(ev2, "MAX_LABELS", 1)
-    got = sorted(tuple(r) for r in ev2.precision_at_n(pooled, pos, n).collect())
-    assert got == want == [("A", "m", 1, 1.0), ("B", "m", 1, 0.0)]
+    pos = spark.createDataFrame([("A", 3), ("A", 30)], "label string, study_id long")
+    n = spark.createDataFrame([("A", 10), ("B", 0)], "label string, n long")
+    assert sorted(tuple(r) for r in ev.precision_at_n(pooled, pos, n).collect()) == [("A", "m", 10, 0.1), ("B", "m", 0, None)]
+    assert [tuple(r) for r in ev.precision_at_n(pooled, pos, n, skip_empty=True).collect()] == [("A", "m", 10, 0.1)]
+
+
+def test_edge_values(spark):
+    from vecsight.functions.vectors import parse_vector_text
+    from vecsight.operators import prevalence as pv
+    from vecsight.operators.reshape import unpivot_scores
+    empty = spark.createDataFrame([], "a int, b int")
+    assert [r.prevalence_pct for r in pv.prevalence_percent(empty, ["a", "b"]).collect()] == [None, None]
+    assert pv.prevalence_sum(spark.createDataFrame([(1, None)], "k int, a int"), ["k"]).first().prevalence_pct == 0.0
+    assert spark.createDataFrame([("[\n0.5  1\n2 ]",)], "t string").select(parse_vector_text("t").alias("v")).first().v == [0.5, 1.0, 2.0]
+    wide = spark.createDataFrame([(1, 0.1, "x", "0.5")], "i int, `A m` float, `B m` string, `C m` string")
+    got = {r.label: r.cosine_similarity for r in unpivot_scores(wide, ["i"], ["A", "B", "C"], ["m"]).collect()}
+    import numpy as np
+    assert got == {"A": float(np.float32(0.1)), "B": None, "C": 0.5}
+    truth = spark.createDataFrame([(1, "A", 1.0), (2, "A", 0.0), (3, "A", None)], "study_id long, label string, value double")
+    assert [r.study_id for r in ev.positives(truth, value=0).collect()] == [2]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    import pytest
+    from vecsight.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())

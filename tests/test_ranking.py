@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vecsight.operators.ranking import order_desc, rank_in_groups, top_k
+from vecsight.operators.ranking import first_n, order_desc, slot_counts, top_k, with_slots
 
 
 def _data(spark):
@@ -18,14 +18,22 @@ def _data(spark):
     return spark.createDataFrame(rows, "grp string, id long, score double")
 
 
-def test_rank_in_groups_equals_row_number(spark):
+def test_first_n_equals_row_number(spark):
     df = _data(spark)
-    got = rank_in_groups(df, ["grp"], order_desc("score", "id"), num_partitions=13)
+    n = spark.createDataFrame([("hot", 1234), ("g0", 1), ("g1", 0), ("g2", 10_000), ("g3", 7)], "grp string, n long")
+    rows = with_slots(df, "score")
+    slots = slot_counts(rows, ["grp"], n, "grp")
     w = Window.partitionBy("grp").orderBy(*order_desc("score", "id"))
-    want = df.withColumn("rank", F.row_number().over(w))
-    a = sorted(tuple(r) for r in got.select("grp", "id", "rank").collect())
-    b = sorted(tuple(r) for r in want.select("grp", "id", "rank").collect())
+    want = df.withColumn("rank", F.row_number().over(w)).join(n, "grp").where("rank <= n")
+    got = first_n(rows, slots, ["grp"], "score", "id")
+    a, b = (sorted(tuple(r) for r in x.select("grp", "id").collect()) for x in (got, want))
     assert a == b
+    edge = first_n(rows, slots, ["grp"], "score", "id", edge_only=True)
+    whole = slots.where("_upto <= n").groupBy("grp").agg(F.sum("_slot_hits").alias("rows"))
+    counts = {r.grp: r["count"] for r in edge.groupBy("grp").count().collect()}
+    for r in whole.collect():
+        counts[r.grp] = counts.get(r.grp, 0) + r.rows
+    assert counts == {r.grp: r["count"] for r in want.groupBy("grp").count().collect()}
 
 
 def test_top_k(spark):

@@ -28,7 +28,7 @@ FIXED VALUES (must stay exactly as written, in this order):
 * threshold of the percent-above report: 0.25
 * normalisation epsilon: 1e-12
 * number of chunks 6, overlap 5 words
-* annotation uid pattern: ``__([0-9.]*?)__seg.dcm`` (the dot before dcm is a wildcard)
+* annotation uid pattern: ``__([\\d\\.]*?)__seg.dcm`` (the dot before dcm is a wildcard)
 * run name layout: ``model_run_{i}_{True|False}_{ig|igl}_{tg|tgl}``
 """
 
@@ -85,7 +85,7 @@ THRESHOLD = 0.25
 NORM_EPS = 1e-12
 NUM_CHUNKS = 6
 OVERLAP_WORDS = 5
-UID_PATTERN = r"__([0-9.]*?)__seg.dcm"
+UID_PATTERN = r"__([\d\.]*?)__seg.dcm"
 RUN_NAME_PATTERN = r"^model_run_(\d+)_(True|False)_(igl?)_(tgl?)$"
 
 # Size bounds for data that is broadcast or collected on the driver.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecsight.constants import POOLING_DISPLAY, RUN_NAME_PATTERN, UID_PATTERN
+from vecsight.constants import RUN_NAME_PATTERN, UID_PATTERN
 
 
 def _c(col) -> Column:
@@ -74,15 +74,6 @@ def run_name_parts(col) -> list[Column]:
             F.regexp_extract(c, RUN_NAME_PATTERN, 4).alias("text_loss")]
 
 
-def pooling_display(col) -> Column:
-    """Display name of a pooling method (unknown names are kept)."""
-    out = _c(col)
-    expr = None
-    for k, v in POOLING_DISPLAY.items():
-        expr = (F.when(out == k, v) if expr is None else expr.when(out == k, v))
-    return expr.otherwise(out)
-
-
 def fill_template(template, label) -> Column:
     """Replace ``{label}`` in a template."""
     return F.replace(_c(template), F.lit("{label}"), _c(label).cast("string"))

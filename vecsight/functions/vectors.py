@@ -17,7 +17,7 @@ def _c(col) -> Column:
 
 def parse_vector_text(col) -> Column:
     """``'[0.1 0.2\\n 0.3]'`` -> ``array<float>``; any whitespace separates values."""
-    inner = F.trim(F.regexp_replace(_c(col), r"^\s*\[|\]\s*$", ""))
+    inner = F.regexp_replace(_c(col), r"^\s*\[?\s*|\s*\]?\s*$", "")
     return F.when(inner == "", F.array().cast("array<float>")).otherwise(
         F.split(inner, r"\s+").cast("array<float>"))
 
@@ -30,10 +30,6 @@ def vector_to_text(col, digits: int | None = None) -> Column:
     return F.concat(F.lit("["), F.array_join(elems.cast("array<string>"), " "), F.lit("]"))
 
 
-def to_float32(col) -> Column:
-    return _c(col).cast("array<float>")
-
-
 def sq_norm(col) -> Column:
     return F.aggregate(_c(col), F.lit(0.0).cast("double"),
                        lambda acc, x: acc + x.cast("double") * x.cast("double"))
@@ -56,6 +52,3 @@ def dot(a, b) -> Column:
         F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),
         F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
-
-def is_unit(col, tol: float = 1e-3) -> Column:
-    return F.abs(l2_norm(col) - 1.0) < tol

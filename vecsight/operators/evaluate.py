@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.operators.ranking import order_desc, rank_in_groups, top_k
+from vecsight.operators.ranking import first_n, order_desc, slot_counts, top_k, with_slots
 
 
 def keep_split(df: DataFrame, split: str, split_col: str = "split") -> DataFrame:
@@ -33,9 +33,9 @@ def labels_in_split(truth: DataFrame, split_table: DataFrame, split: str,
 
 
 def positives(truth: DataFrame, key: str = "study_id", label_col: str = "label",
-              value_col: str = "value") -> DataFrame:
-    """Distinct (label, key) with value == 1 (a missing value is never 1)."""
-    return truth.where(F.col(value_col) == 1).select(label_col, key).distinct()
+              value_col: str = "value", value: float = 1) -> DataFrame:
+    """Distinct (label, key) with the value (1: present, 0: absent; missing is neither)."""
+    return truth.where(F.col(value_col) == value).select(label_col, key).distinct()
 
 
 def positive_counts(truth: DataFrame, all_labels: DataFrame, key: str = "study_id",
@@ -56,13 +56,14 @@ def pool_scores(scores: DataFrame, method: str, key: str = "study_id",
     elif method == "mean":
         agg = F.avg(score_col)
     else:
-        raise ValueError("Aggregation method must be 'max' or 'mean'")
+        raise ValueError(f"pool by max or mean, not {method!r}")
     return scores.groupBy(key, "label", "embedding_type").agg(agg.alias(score_col))
 
 
 def pool_both(scores: DataFrame, key: str = "study_id", score_col: str = "cosine_similarity",
-              digits: int | None = 6) -> DataFrame:
-    """Max and mean pooling in one aggregation, long over a ``pool`` column."""
+              digits: int | None = None) -> DataFrame:
+    """Max and mean pooling in one aggregation, long over a ``pool`` column; ``digits`` rounds
+    the pooled scores, which makes ties of scores that differ less."""
     g = scores.groupBy(key, "label", "embedding_type").agg(
         F.max(score_col).alias("max"), F.avg(score_col).alias("mean"))
     out = g.select(key, "label", "embedding_type",
@@ -83,54 +84,27 @@ def _flag_hits(pooled: DataFrame, pos: DataFrame, key: str) -> DataFrame:
         .withColumn("_hit", F.coalesce(F.col("_hit"), F.lit(0)))
 
 
-SMALL_N = 1000
-MAX_LABELS = 100_000
-
-
-def _n_lookup(n_counts: DataFrame, label_col: str = "label"):
-    """The per-label n table (one row per label) as a map literal and its maximum, so n
-    is attached to rows without a join.  Beyond ``MAX_LABELS`` labels the map is not
-    built (None) and callers join the n table instead; the maximum is then one aggregate."""
-    rows = n_counts.where(F.col(label_col).isNotNull()).select(label_col, "n") \
-        .limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        return None, int(n_counts.agg(F.max("n")).first()[0] or 0)
-    if not rows:
-        return F.lit(None).cast("long"), 0
-    m = F.create_map(*[x for r in rows for x in (F.lit(r[label_col]), F.lit(int(r["n"])))])
-    return F.element_at(m, F.col(label_col)).cast("long"), max(int(r["n"]) for r in rows)
-
-
-def _with_n(df: DataFrame, n_of, n_counts: DataFrame) -> DataFrame:
-    if n_of is not None:
-        return df.withColumn("n", n_of)
-    return df.join(n_counts.select("label", "n"), "label", "left")
-
-
 def precision_at_n(pooled: DataFrame, pos: DataFrame, n_counts: DataFrame,
                    key: str = "study_id", group_cols=("label", "embedding_type"),
                    score_col: str = "cosine_similarity", scale: float = 1.0,
-                   skip_empty: bool = False, small_n: int = SMALL_N) -> DataFrame:
+                   skip_empty: bool = False) -> DataFrame:
     """Hits among the first n (n = positives of the label) divided by n.
 
-    Ties go to the smaller key.  When the largest n is at most ``small_n`` the rows
-    are cut with a literal ``row_number() <= max_n`` (partial ``WindowGroupLimit``:
-    every task keeps at most max_n rows per group); otherwise the exact distributed
-    ranking is used, so no group is ever held whole by one task.  Labels missing
+    Ties go to the smaller key.  One aggregate counts rows and hits per group and score
+    slot; the slots above the n-th row count as a whole and only the rows of the slot it
+    falls into are ranked (see ``ranking.first_n``), whatever n is.  Labels missing
     from ``n_counts`` are dropped; n = 0 gives NULL (0/0), or the row is dropped with
     ``skip_empty``.
     """
     group_cols = list(group_cols)
-    n_of, max_n = _n_lookup(n_counts)
-    flagged = _flag_hits(pooled, pos, key)
-    if max_n <= small_n:
-        ranked = top_k(flagged, group_cols, order_desc(score_col, key), max(int(max_n), 1))
-    else:
-        ranked = rank_in_groups(flagged, group_cols, order_desc(score_col, key))
-    top = _with_n(ranked, n_of, n_counts).where(F.col("rank") <= F.col("n"))
-    hits = top.groupBy(*group_cols).agg(F.sum("_hit").alias("hits"))
-    groups = _with_n(pooled.select(*group_cols).distinct(), n_of, n_counts).where(F.col("n").isNotNull())
-    out = groups.join(hits, group_cols, "left").select(
+    rows = with_slots(_flag_hits(pooled, pos, key), score_col)
+    slots = slot_counts(rows, group_cols, n_counts, hit_col="_hit")
+    whole = slots.groupBy(*group_cols).agg(
+        F.max("n").alias("n"), F.sum(F.when(F.col("_upto") <= F.col("n"), F.col("_slot_hits"))).alias("hits"))
+    part = first_n(rows, slots, group_cols, score_col, key, edge_only=True).groupBy(*group_cols).agg(F.sum("_hit").alias("hits"))
+    both = whole.unionByName(part.withColumn("n", F.lit(None).cast("long")))
+    out = both.groupBy(*group_cols).agg(F.max("n").alias("n"), F.sum("hits").alias("hits"))
+    out = out.where(F.col("n").isNotNull()).select(
         *group_cols, F.col("n"),
         (F.try_divide(F.coalesce(F.col("hits"), F.lit(0)).cast("double"), F.col("n").cast("double"))
          * F.lit(scale)).alias("precision"))
@@ -144,37 +118,30 @@ def precision_at_k(pooled: DataFrame, pos: DataFrame, ks, key: str = "study_id",
                    scale: float = 1.0) -> DataFrame:
     """Hits among the first k divided by k (even if fewer rows exist).
 
-    One ``WindowGroupLimit`` with the largest k serves every k.
+    One ``WindowGroupLimit`` with the largest k serves every k, and every group has a first
+    row, so the hits need no second look at the scores for the list of groups.
     """
     group_cols = list(group_cols)
     ks = sorted({int(k) for k in ks})
     flagged = _flag_hits(pooled, pos, key)
     ranked = top_k(flagged, group_cols, order_desc(score_col, key), ks[-1])
-    per_k = ranked.withColumn("top_k", F.explode(F.array(*[F.lit(k) for k in ks]))) \
-        .where(F.col("rank") <= F.col("top_k"))
-    hits = per_k.groupBy(*group_cols, "top_k").agg(F.sum("_hit").alias("hits"))
-    groups = pooled.select(*group_cols).distinct() \
-        .withColumn("top_k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    return groups.join(hits, group_cols + ["top_k"], "left").select(
-        *group_cols, "top_k",
-        (F.coalesce(F.col("hits"), F.lit(0)).cast("double") / F.col("top_k") * F.lit(scale))
-        .alias("precision"))
+    per_k = ranked.withColumn("top_k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    return per_k.groupBy(*group_cols, "top_k").agg(
+        (F.sum(F.when(F.col("rank") <= F.col("top_k"), F.col("_hit")).otherwise(0)).cast("double")
+         / F.col("top_k") * F.lit(scale)).alias("precision"))
 
 
 def top_n_overlap(scored: DataFrame, pos: DataFrame, n_counts: DataFrame,
                   key: str = "study_id", tie_col: str | None = None,
-                  score_col: str = "cosine_similarity", small_n: int = SMALL_N) -> DataFrame:
+                  score_col: str = "cosine_similarity") -> DataFrame:
     """D19 (with G3, H5, H6): 100 * |truth & top-n| / |truth | top-n| per label, 0 if empty.
 
     The first n rows of ``scored`` (n = positives of the label, ties to the smaller
     ``tie_col``) give a set of ``key`` values that is compared with the positives.
     """
-    n_of, max_n = _n_lookup(n_counts)
-    order = order_desc(score_col, tie_col or key)
-    ranked = top_k(scored, ["label"], order, max(max_n, 1)) if max_n <= small_n \
-        else rank_in_groups(scored, ["label"], order)
-    top = _with_n(ranked, n_of, n_counts).where(F.col("rank") <= F.col("n")) \
-        .select("label", key).distinct().withColumn("_top", F.lit(1))
+    rows = with_slots(scored, score_col)
+    first = first_n(rows, slot_counts(rows, ["label"], n_counts), ["label"], score_col, tie_col or key)
+    top = first.select("label", key).distinct().withColumn("_top", F.lit(1))
     both = top.join(pos.select("label", key).withColumn("_pos", F.lit(1)), ["label", key], "full")
     agg = both.groupBy("label").agg(
         F.count_if(F.col("_top").isNotNull() & F.col("_pos").isNotNull()).alias("inter"),
@@ -191,5 +158,5 @@ def pct_above(scores: DataFrame, threshold: float, group_cols=("label",),
               score_col: str = "cosine_similarity") -> DataFrame:
     """100 * rows with score > t / all rows (missing scores stay in the denominator)."""
     return scores.groupBy(*group_cols).agg(
-        (F.count_if(F.col(score_col) > F.lit(threshold)) * F.lit(100.0) / F.count(F.lit(1)))
+        F.try_divide(F.count_if(F.col(score_col) > F.lit(threshold)) * F.lit(100.0), F.count(F.lit(1)))
         .alias("pct_above"))

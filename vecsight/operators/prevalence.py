@@ -17,17 +17,18 @@ def _long(agg_row: DataFrame, cols: list[str], label_out: str, value_out: str) -
 
 def prevalence_percent(df: DataFrame, label_cols: list[str], label_out: str = "Label",
                        value_out: str = "prevalence_pct") -> DataFrame:
-    """100 * rows with value == 1 / all rows (missing values stay in the denominator)."""
-    agg = df.agg(*[(F.count_if(F.col(c) == 1) * F.lit(100.0) / F.count(F.lit(1))).alias(c)
+    """100 * rows with value == 1 / all rows (missing values stay in the denominator); NULL
+    over no rows."""
+    agg = df.agg(*[F.try_divide(F.count_if(F.col(c) == 1) * F.lit(100.0), F.count(F.lit(1))).alias(c)
                    for c in label_cols])
     return _long(agg, label_cols, label_out, value_out)
 
 
 def prevalence_sum(df: DataFrame, key_cols: list[str], label_out: str = "Label",
                    value_out: str = "prevalence_pct") -> DataFrame:
-    """Every non-key column, 100 * sum / rows."""
+    """Every non-key column, 100 * sum / rows (a column without values sums to 0)."""
     cols = [c for c in df.columns if c not in key_cols]
-    agg = df.agg(*[(F.sum(F.col(c)).cast("double") * F.lit(100.0) / F.count(F.lit(1))).alias(c)
+    agg = df.agg(*[F.try_divide(F.coalesce(F.sum(F.col(c)), F.lit(0)).cast("double") * F.lit(100.0), F.count(F.lit(1))).alias(c)
                    for c in cols])
     return _long(agg, cols, label_out, value_out)
 

@@ -2,22 +2,23 @@
 
 * ``top_k`` - literal k: ``row_number() <= k`` which Spark plans as a partial
   ``WindowGroupLimit`` before the shuffle, so each task keeps k rows per group.
-* ``rank_in_groups`` - exact position of every row inside its group for groups
-  of any size (precision at n, n = positives of the label, can be a large part of
-  the table).  The rows are range-partitioned on (group, order) so one group is
-  spread over many tasks; each task numbers its rows, and the per-task counts
-  (one row per task and group) give every task its offset.  No task ever holds a
-  whole group.  The numbered rows are written once (shared folder), so both uses agree;
-  no Python runs in the ranking.
+* ``first_n`` - the first n rows of every group, n of any size (precision at n, n =
+  positives of the label, can be a large part of the table).  Scores fall into a fixed
+  number of slots; one aggregate counts the rows per group and
+  slot, a running sum over the slots finds the one that holds the n-th row, and only that
+  slot's rows are ranked.  Nothing is written, and no task holds a whole group unless all
+  its scores are equal.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecsight.sources.files import scratch_dir
-
 
 def order_desc(score_col: str, tie_col: str) -> list[Column]:
     """Score descending, missing last, ties to the smaller id."""
@@ -30,36 +31,47 @@ def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= F.lit(int(k)))
 
 
-def _num_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
-def rank_in_groups(df: DataFrame, group_cols: list[str], order: list[Column],
-                   rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """Exact ``row_number()`` over (partition by group order by ``order``), distributed.
-
-    After the range exchange each task holds its rows sorted by (group, order);
-    ``monotonically_increasing_id`` numbers them in that order inside the task.  The
-    numbered rows are written once as a table in the shared folder of
-    spark.checkpoint.dir, so the two uses below (per-task group sizes, then the join)
-    read the same numbers and the lineage is cut there.  rank = id - first id of the
-    group in the task + 1 + rows of the group in earlier tasks.
-    """
-    P = num_partitions or _num_partitions(df)
-    sort_spec = [F.col(g).asc_nulls_first() for g in group_cols] + list(order)
-    numbered_plan = (df.repartitionByRange(P, *sort_spec)
-                     .sortWithinPartitions(*sort_spec)
-                     .withColumn("_pid", F.spark_partition_id())
-                     .withColumn("_mid", F.monotonically_increasing_id()))
-    spark = df.sparkSession
-    path = scratch_dir(spark, "rank")
-    numbered_plan.write.parquet(path)
-    numbered = spark.read.parquet(path)
-    stats = numbered.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"),
-                                                      F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
-    return (numbered.join(offsets, ["_pid", *group_cols])
-            .withColumn(rank_col, F.col("_mid") - F.col("_first") + 1 + F.col("_off"))
-            .drop("_pid", "_mid", "_first", "_off"))
+SLOTS = 1 << 16
+
+
+def with_slots(df: DataFrame, score_col: str) -> DataFrame:
+    """``df`` with ``_slot``, which rises as scores fall: 0 holds the best, ``SLOTS`` the missing ones.
+    The arc tangent puts scores of any size into a fixed range without a look at the others."""
+    x = F.col(score_col).cast("double")
+    slot = F.floor((F.lit(0.5) - F.atan(x) / F.lit(math.pi)) * SLOTS)
+    return df.withColumn("_slot", F.when(x.isNull() | F.isnan(x), SLOTS).otherwise(
+        F.greatest(F.lit(0), F.least(F.lit(SLOTS - 1), slot))).cast("int"))
+
+
+def _same(columns: list[str]) -> Column:
+    return reduce(and_, (F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns))
+
+
+def slot_counts(rows: DataFrame, group_cols: list[str], n_counts: DataFrame, label_col: str = "label",
+                hit_col: str | None = None) -> DataFrame:
+    """Per group and slot: ``n`` of its label, ``_before`` and ``_upto`` (rows before the slot and up to
+    its end) and ``_slot_hits``.  Labels that ``n_counts`` lacks have no rows."""
+    hits = F.sum(hit_col) if hit_col else F.count(F.lit(1))
+    counts = rows.groupBy(*group_cols, "_slot").agg(F.count(F.lit(1)).alias("_rows"), hits.alias("_slot_hits"))
+    w = Window.partitionBy(*group_cols).orderBy("_slot")
+    known = n_counts.select(F.col(label_col).alias("_l"), "n")
+    return (counts.join(known, F.col(label_col).eqNullSafe(F.col("_l"))).drop("_l")
+            .withColumn("_upto", F.sum("_rows").over(w)).withColumn("_before", F.col("_upto") - F.col("_rows")).drop("_rows"))
+
+
+def first_n(rows: DataFrame, slots: DataFrame, group_cols: list[str], score_col: str, tie_col: str,
+            edge_only: bool = False) -> DataFrame:
+    """The first n rows of every group (ties to the smaller ``tie_col``), from rows with slots and
+    their ``slot_counts``; with ``edge_only`` those of the slot that n falls into.
+
+    Rows of slots that belong to the first n as a whole need no rank; they are dealt out by a hash
+    of ``tie_col`` so that no task holds a group."""
+    marks = slots.where(F.col("_before") < F.col("n")).select(
+        *group_cols, "_slot", (F.col("n") - F.col("_before")).alias("_left"), (F.col("_upto") <= F.col("n")).alias("_whole"))
+    if edge_only:
+        marks = marks.where(~F.col("_whole"))
+    joined = rows.alias("l").join(marks.alias("r"), _same([*group_cols, "_slot"])).select("l.*", "r._left", "r._whole")
+    lane = F.when(F.col("_whole"), F.pmod(F.xxhash64(tie_col), F.lit(1024)) + 1).otherwise(0)
+    w = Window.partitionBy(*group_cols, "_lane").orderBy(*order_desc(score_col, tie_col))
+    return (joined.withColumn("_lane", lane).withColumn("_place", F.row_number().over(w))
+            .where(F.col("_whole") | (F.col("_place") <= F.col("_left"))).drop("_slot", "_left", "_whole", "_lane", "_place"))

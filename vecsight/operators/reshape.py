@@ -40,7 +40,7 @@ def unpivot_scores(wide: DataFrame, id_cols: list[str], labels: list, measures:
             if name in present:
                 pairs.append((name, lab, m))
             elif on_missing == "error":
-                raise ValueError(f"Column {name} does not exist in cosine_df")
+                raise ValueError(f"the score table has no column {name!r}")
             else:
                 missing.append(name)
     if missing:
@@ -48,12 +48,14 @@ def unpivot_scores(wide: DataFrame, id_cols: list[str], labels: list, measures:
                       stacklevel=2)
     if not pairs:
         raise ValueError("no score column found")
-    cols = [F.col(f"`{n}`").cast("string").alias(n) for n, _, _ in pairs]
+    text = {f.name for f in wide.schema.fields if f.dataType.typeName() == "string"}
+    cols = [(F.col(f"`{n}`").try_cast("double") if n in text else F.col(f"`{n}`").cast("double")).alias(n)
+            for n, _, _ in pairs]
     lookup = F.create_map(*[x for n, lab, m in pairs
                             for x in (F.lit(n), F.struct(F.lit(lab).alias("label"),
                                                          F.lit(m).alias("embedding_type")))])
     long = wide.select(*id_cols, *cols).unpivot(id_cols, [n for n, _, _ in pairs], "_name", "_value")
-    v = F.col("_value").try_cast("double")
+    v = F.col("_value")
     return long.select(
         *id_cols,
         F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v).alias("cosine_similarity"),

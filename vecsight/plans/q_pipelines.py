@@ -53,7 +53,7 @@ def _truth_validate(spark, sf):
 
 
 def _model_accuracy(spark, sf, subset, pos, n) -> DataFrame:
-    pooled = ev.pool_both(_model_scores(spark, sf, subset))
+    pooled = ev.pool_both(_model_scores(spark, sf, subset), digits=6)
     p = ev.precision_at_n(pooled, pos, n, group_cols=("label", "embedding_type", "pool"))
     return RS.accuracy_wide(p.withColumn("precision", F.round("precision", 6)), names=_ACC_COLS)
 

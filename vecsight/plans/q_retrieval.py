@@ -150,7 +150,7 @@ def _validate_eval_inputs(spark, sf):
     pos = ev.positives(tr)
     n = ev.positive_counts(tr, I.label_list(spark, sf))
     s = I.scores(spark, sf, split="validate", measures=POOLED_MEASURES)
-    pooled = ev.pool_both(s)
+    pooled = ev.pool_both(s, digits=6)
     return pooled, pos, n
 
 

@@ -7,7 +7,9 @@ its settings.  ``local_session`` is for tests and the benchmark.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -39,12 +41,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we read it and
-    never override it.  Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    never override it.  Only in a local session, where driver and tasks share one
+    disk, a scratch folder is made if it is unset; elsewhere that is an error.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all machines share (master is {master})")
         path = tempfile.mkdtemp(prefix="vecsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application (a zip of its source files),
+    so that tasks can import it wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vecsight_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="vecsight-zip-"), "vecsight.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._vecsight_shipped = True
