@@ -8,16 +8,17 @@ series key; AQE splits skewed join partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecsight.functions.text import uid_matches
 
 
 def _once(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs exactly once (count per key is a partial aggregate)."""
-    single = df.groupBy(key).count().where(F.col("count") == 1).select(key)
-    return df.join(single, key, "left_semi")
+    """Rows whose key occurs exactly once: one aggregate holds the count and the row."""
+    rest = [c for c in df.columns if c != key]
+    one = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_row"))
+    return one.where(F.col("_n") == 1).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def manifest(ann: DataFrame, img: DataFrame, key: str = "series_uid") -> DataFrame:
@@ -58,10 +59,30 @@ def file_checks(files: DataFrame, key: str = "series_uid", name_col: str = "fnam
     ).withColumn("ok", F.col("all_suffix") & (F.col("n_annotations") == 1))
 
 
+def series_listing(files: DataFrame, key: str = "series_uid", name_col: str = "fname",
+                   path_col: str = "fpath") -> DataFrame:
+    """Per series its files in name order, as numbered rows (from 0)."""
+    w = Window.partitionBy(key).orderBy(name_col, path_col)
+    return files.select(key, (F.row_number().over(w) - 1).alias("position"), name_col, path_col)
+
+
+def report_missing(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Rows aligned with files by key, and which keys have no file or no row (``missing``)."""
+    left = rows.select(F.col(key).alias("_k")).distinct().withColumn("_row", F.lit(True))
+    right = files.select(F.col(key).alias("_f")).distinct().withColumn("_file", F.lit(True))
+    both = left.join(right, F.col("_k").eqNullSafe(F.col("_f")), "full")
+    return both.where(F.col("_row").isNull() | F.col("_file").isNull()).select(
+        F.coalesce("_k", "_f").alias(key), F.when(F.col("_file").isNull(), "file").otherwise("row").alias("missing"))
+
+
 def pair_files(files: DataFrame, key: str = "series_uid", name_col: str = "fname",
-               path_col: str = "fpath", file_uid_col: str = "sop_uid") -> DataFrame:
+               path_col: str = "fpath", file_uid_col: str = "sop_uid",
+               annotation_names: DataFrame | None = None) -> DataFrame:
     """Pair each series' annotation with its image, by tiers.
 
+    The annotation is the file whose name is in ``annotation_names`` (a table with the column
+    ``name_col``); without that table, the one whose name holds exactly one uid.
+
     1. a file whose path contains the annotation uid;
     2. else, if the series has exactly two files, the other one;
     3. else a file whose own uid equals the annotation uid.
@@ -69,11 +90,16 @@ def pair_files(files: DataFrame, key: str = "series_uid", name_col: str = "fname
     at the best tier; otherwise the series is rejected (fpath NULL, reason set).
     """
     f = files.withColumn("_uid", uid_of(name_col))
+    if annotation_names is None:
+        f = f.withColumn("_ann", F.col("_uid").isNotNull())
+    else:
+        names = annotation_names.select(name_col).distinct().withColumn("_ann", F.lit(True))
+        f = f.join(names, name_col, "left").withColumn("_ann", F.coalesce("_ann", F.lit(False)))
     stats = f.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n_files"),
-        F.count_if(F.col("_uid").isNotNull()).alias("_n_ann"),
-        F.max("_uid").alias("image_uid"))
-    cands = f.where(F.col("_uid").isNull()).join(stats, key, "right")
+        F.count_if(F.col("_ann")).alias("_n_ann"),
+        F.max(F.when(F.col("_ann"), F.col("_uid"))).alias("image_uid"))
+    cands = f.where(~F.col("_ann")).join(stats, key, "right")
     tier = (F.when(F.col(path_col).contains(F.col("image_uid")), 1)
             .when(F.col("_n_files") == 2, 2)
             .when(F.col(file_uid_col) == F.col("image_uid"), 3))
@@ -89,6 +115,7 @@ def pair_files(files: DataFrame, key: str = "series_uid", name_col: str = "fname
     n_best = F.when(F.col("tier") == 1, F.col("_c1")).when(F.col("tier") == 2, F.col("_c2")) \
         .when(F.col("tier") == 3, F.col("_c3")).otherwise(F.lit(0))
     reason = (F.when(F.col("_n_ann") != 1, "annotation count")
+              .when(F.col("image_uid").isNull(), "annotation name")
               .when(F.col("tier").isNull(), "no candidate")
               .when(n_best != 1, "ambiguous"))
     return g.select(key, "image_uid",
@@ -112,9 +139,11 @@ def explode_labels(df: DataFrame, index_cols: list[str], labels_col: str = "labe
     return df.select(*index_cols, F.explode(labels_col).alias(out_col))
 
 
-def distinct_values(df: DataFrame, col: str, bound: int) -> list:
-    """Distinct values of a low-cardinality column (pivot keys), with a checked bound."""
-    vals = df.select(col).distinct().limit(bound + 1).collect()
-    if len(vals) > bound:
-        raise ValueError(f"{col} has more than {bound} distinct values")
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Distinct values of a column that become column names of a pivot, missing ones left out; Spark
+    itself limits a pivot by ``spark.sql.pivotMaxValues`` (a plan with more columns is no plan)."""
+    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    vals = df.where(F.col(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()
+    if len(vals) > limit:
+        raise ValueError(f"{col} has more values than spark.sql.pivotMaxValues ({limit}); use the long form")
     return sorted(r[0] for r in vals)

@@ -17,49 +17,24 @@ from vecsight.sources.tables import table
 ID_COLS = ["subject_id", "study_id", "dicom_id"]
 
 
-MAX_PROMPT_ROWS = 100_000
-_PROMPTS: dict = {}
+def prompts(spark: SparkSession, sf_dir: str, per_label: int = 4) -> DataFrame:
+    """The ``per_label`` vectors with the lowest vec_id of each label."""
+    emb = table(spark, sf_dir, "embeddings")
+    return (top_k(emb, ["label"], [F.col("vec_id").asc()], per_label, "prompt_id")
+            .select("label", F.col("prompt_id").cast("int").alias("prompt_id"), "vec_id",
+                    F.col("embedding").alias("qvec")))
 
 
-def prompts(spark: SparkSession, sf_dir: str, per_label: int = 4) -> DataFrame:
-    """The ``per_label`` vectors with the lowest vec_id of each label.
-
-    The table is small (labels x per_label) but derived from a scan of the whole
-    library, and many plans use it.  It is computed once per session and folder,
-    its size checked, and reused as a local relation; beyond the bound the lazy
-    plan is returned instead.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), per_label)
-    if key not in _PROMPTS:
-        emb = table(spark, sf_dir, "embeddings")
-        df = (top_k(emb, ["label"], [F.col("vec_id").asc()], per_label, "prompt_id")
-              .select("label", F.col("prompt_id").cast("int").alias("prompt_id"), "vec_id",
-                      F.col("embedding").alias("qvec")))
-        rows = df.limit(MAX_PROMPT_ROWS + 1).collect()
-        _PROMPTS[key] = (rows, df.schema, None) if len(rows) <= MAX_PROMPT_ROWS else (None, None, df)
-    rows, schema, lazy = _PROMPTS[key]
-    return lazy if lazy is not None else spark.createDataFrame(rows, schema)
-
-
-def _prompts_local(spark: SparkSession, sf_dir: str, per_label: int = 4) -> bool:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), per_label)
-    return key in _PROMPTS and _PROMPTS[key][2] is None
-
-
-def negative_prompts(spark: SparkSession, sf_dir: str, n_labels: int = 10) -> DataFrame:
-    """Per label the four prompts of label (label + 1) mod n_labels."""
+def negative_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per label the prompts of the next label, of the last label those of label 0."""
     p = prompts(spark, sf_dir)
-    return p.withColumn("label", ((F.col("label") - 1 + n_labels) % n_labels).cast("int"))
+    last = table(spark, sf_dir, "embeddings").agg(F.max("label")).first()[0] or 0
+    return p.withColumn("label", ((F.col("label") + last) % (last + 1)).cast("int"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
-    p = prompts(spark, sf_dir).select("vec_id")
-    # a prompt table within MAX_PROMPT_ROWS is a checked local relation: broadcast its ids;
-    # beyond the bound the join strategy is left to Spark (AQE)
-    if _prompts_local(spark, sf_dir):
-        p = F.broadcast(p)
-    rest = emb.join(p, "vec_id", "left_anti")
+    rest = emb.join(prompts(spark, sf_dir).select("vec_id"), "vec_id", "left_anti")
     subj = F.floor(F.col("vec_id") / 6).cast("long")
     return rest.select(
         subj.alias("subject_id"),

@@ -22,17 +22,24 @@ def query(name):
 
 
 def notes(spark, sf):
-    """(study, findings, impression) from documents: findings = text, impression = its first
-    200 characters; sections are missing for some ids (both for every 35th)."""
+    """(study, findings, impression) from documents: the text cut in the middle, impression first;
+    if one section is missing (every 7th, every 5th id) the other holds the whole text, and for
+    every 35th id both are missing."""
     d = table(spark, sf, "documents")
+    half = F.floor(F.length("text") / 2).cast("int")
+    no_findings, no_impression = F.col("doc_id") % 7 == 0, F.col("doc_id") % 5 == 0
     return d.select(F.col("doc_id").alias("study"),
-                    F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("text")).alias("findings"),
-                    F.when(F.col("doc_id") % 5 == 0, F.lit(None))
-                    .otherwise(F.substring("text", 1, 200)).alias("impression"))
+                    F.when(no_findings, F.lit(None)).when(no_impression, F.col("text"))
+                    .otherwise(F.substring("text", half + 1, F.length("text"))).alias("findings"),
+                    F.when(no_impression, F.lit(None)).when(no_findings, F.col("text"))
+                    .otherwise(F.substring("text", F.lit(1), half)).alias("impression"))
 
 
-_NOTES_SQL = """SELECT doc_id AS study, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS findings,
-       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substring(text, 1, 200) END AS impression FROM documents"""
+_NOTES_SQL = """SELECT doc_id AS study,
+       CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN text
+            ELSE substring(text, CAST(length(text) // 2 AS INTEGER) + 1) END AS findings,
+       CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN text
+            ELSE substring(text, 1, CAST(length(text) // 2 AS INTEGER)) END AS impression FROM documents"""
 
 
 def combined(spark, sf):

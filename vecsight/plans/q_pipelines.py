@@ -19,7 +19,7 @@ from vecsight.operators.pipelines import compare_models, run_display_name
 from vecsight.operators.scoring import score_library
 from vecsight.plans import inputs as I
 from vecsight.plans.oracle_ctes import with_ctes
-from vecsight.plans.q_retrieval import LABELS
+from vecsight.operators.manifest import distinct_values
 from vecsight.sources import files as IO
 from vecsight.sources.tables import table
 
@@ -185,26 +185,46 @@ FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'run_' || o_orderkey
 
 
 # ---------------------------------------------------------------- single-prompt pipeline
-@query("single_prompt_pipeline")
-def single_prompt_pipeline(spark, sf):
-    """Split -> paths -> one prompt per label -> image table -> study-mean table."""
+def _single_prompt_scores(spark, sf):
     c = ev.keep_split(I.corpus(spark, sf), "validate").withColumn(
         "file_path", image_path("files", "subject_id", "study_id", "dicom_id"))
     pr = I.prompts(spark, sf).where(F.col("prompt_id") == 4)
-    s = score_library(c, pr, I.ID_COLS + ["file_path"], measures=("cosine_similarity_4",)) \
+    return score_library(c, pr, I.ID_COLS + ["file_path"], measures=("cosine_similarity_4",)) \
         .withColumn("cosine_similarity", F.round("cosine_similarity", 5))
-    images = s.groupBy(*I.ID_COLS, "file_path").pivot("label", LABELS).agg(F.first("cosine_similarity"))
-    cols = [F.col(f"`{lab}`") for lab in LABELS]
-    study = images.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_images"),
-                                           *[F.round(F.avg(c_), 6).alias(f"label_{lab}")
-                                             for c_, lab in zip(cols, LABELS)])
-    return study
-
-
-SQL["single_prompt_pipeline"] = with_ctes(
-    "SELECT study_id, count(DISTINCT dicom_id) AS n_images, " + ", ".join(
-        f"round(avg(CASE WHEN label = {lab} THEN round(s, 5) END), 6) AS label_{lab}" for lab in LABELS)
-    + " FROM pscore WHERE prompt_id = 4 AND split = 'validate' GROUP BY study_id", "pscore")
+
+
+@query("single_prompt_images")
+def single_prompt_images(spark, sf):
+    """L5, image table: split -> paths -> one prompt per label, one row per image and label."""
+    return _single_prompt_scores(spark, sf).select(*I.ID_COLS, "file_path", "label", "cosine_similarity")
+
+
+SQL["single_prompt_images"] = with_ctes("""
+SELECT subject_id, study_id, dicom_id,
+       'files/p' || substr(CAST(subject_id AS VARCHAR), 1, 2) || '/p' || subject_id || '/s' || study_id || '/' || dicom_id || '.jpg' AS file_path,
+       label, round(s, 5) AS cosine_similarity
+FROM pscore WHERE prompt_id = 4 AND split = 'validate'""", "pscore")
+
+
+@query("single_prompt_pipeline")
+def single_prompt_pipeline(spark, sf):
+    """L5, study table: the image table wide over the labels of the table, then the study mean;
+    one row per study and label."""
+    labels = distinct_values(I.label_list(spark, sf), "label")
+    names = [str(lab) for lab in labels]
+    images = _single_prompt_scores(spark, sf).groupBy(*I.ID_COLS, "file_path").pivot("label", labels) \
+        .agg(F.first("cosine_similarity"))
+    study = images.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_images"), *[F.avg(f"`{c}`").alias(c) for c in names])
+    return study.unpivot(["study_id", "n_images"], names, "label", "score").select(
+        "study_id", "n_images", F.col("label").cast("int").alias("label"), F.round("score", 6).alias("score"))
+
+
+SQL["single_prompt_pipeline"] = with_ctes("""
+SELECT st.study_id, st.n_images, l.label, round(avg(round(s, 5)), 6) AS score
+FROM (SELECT study_id, count(DISTINCT dicom_id) AS n_images FROM pscore WHERE split = 'validate' GROUP BY study_id) st
+CROSS JOIN labelset l
+LEFT JOIN (SELECT * FROM pscore WHERE prompt_id = 4) p ON p.study_id = st.study_id AND p.label = l.label
+GROUP BY st.study_id, st.n_images, l.label""", "pscore", "labelset")
 
 
 # ---------------------------------------------------------------- pixels

@@ -9,6 +9,7 @@ from vecsight.constants import (AVG_COSINE, AVG_EMBEDDING, K_VALUES, K_VALUES_PE
                                 POOLED_MEASURES, PROMPT_MEASURES, SECOND_NAMING, THRESHOLD)
 from vecsight.operators import evaluate as ev
 from vecsight.operators import scoring as sc
+from vecsight.operators.manifest import distinct_values
 from vecsight.operators.scoring import pool_prompt_scores, score_library
 from vecsight.plans import inputs as I
 from vecsight.plans.oracle_ctes import with_ctes
@@ -90,7 +91,8 @@ SQL["prompt_polarity_margin"] = with_ctes("""
 SELECT p.label, round(avg(p.v), 6) AS pos_mean, round(avg(n.v), 6) AS neg_mean,
        round(avg(p.v - n.v), 6) AS margin, count(*) FILTER (WHERE p.v > n.v) AS n_pos_wins
 FROM (SELECT dicom_id, label, round(avg(s), 5) AS v FROM pscore GROUP BY ALL) p
-JOIN (SELECT dicom_id, (label + 9) % 10 AS label, round(avg(s), 5) AS v FROM pscore GROUP BY ALL) n
+JOIN (SELECT dicom_id, CAST((label + m) % (m + 1) AS INTEGER) AS label, round(avg(s), 5) AS v
+      FROM pscore, (SELECT max(label) AS m FROM embeddings) GROUP BY dicom_id, pscore.label, m) n
   ON p.dicom_id = n.dicom_id AND p.label = n.label
 GROUP BY p.label""", "pscore")
 
@@ -123,25 +125,24 @@ for _k, _f in (("study_max", "max"), ("study_mean", "avg")):
 SELECT study_id, label, embedding_type, round({_f}(cosine_similarity), 6) AS cosine_similarity
 FROM scores_all GROUP BY study_id, label, embedding_type""", "scores_all")
 
-LABELS = list(range(10))
-
-
 @query("study_mean_wide")
 def study_mean_wide(spark, sf):
-    """Single prompt per label, wide image table, then the study mean of every label column."""
+    """Single prompt per label, wide image table with a column per label of the table, the study
+    mean of every label column, one row per study and label."""
+    labels = distinct_values(I.label_list(spark, sf), "label")
     pr = I.prompts(spark, sf).where(F.col("prompt_id") == 4)
     s = I.scores(spark, sf, measures=("cosine_similarity_4",), prompt_table=pr)
-    wide = (s.groupBy(*I.ID_COLS).pivot("label", LABELS).agg(F.first("cosine_similarity")))
-    wide = wide.select(*I.ID_COLS, *[F.col(f"`{lab}`").alias(f"label_{lab}") for lab in LABELS])
-    cols = [f"label_{lab}" for lab in LABELS]
-    out = ev.study_mean_wide(wide, cols)
-    return out.select("study_id", *[F.round(c, 6).alias(c) for c in cols])
+    wide = s.groupBy(*I.ID_COLS).pivot("label", labels).agg(F.first("cosine_similarity"))
+    out = ev.study_mean_wide(wide, [str(lab) for lab in labels])
+    return out.unpivot("study_id", [str(lab) for lab in labels], "label", "score").select(
+        "study_id", F.col("label").cast("int").alias("label"), F.round("score", 6).alias("score"))
 
 
-SQL["study_mean_wide"] = with_ctes(
-    "SELECT study_id, " + ", ".join(
-        f"round(avg(CASE WHEN label = {lab} THEN round(s, 5) END), 6) AS label_{lab}" for lab in LABELS)
-    + " FROM pscore WHERE prompt_id = 4 GROUP BY study_id", "pscore")
+SQL["study_mean_wide"] = with_ctes("""
+SELECT st.study_id, l.label, round(avg(round(s, 5)), 6) AS score
+FROM (SELECT DISTINCT study_id FROM pscore) st CROSS JOIN labelset l
+LEFT JOIN (SELECT * FROM pscore WHERE prompt_id = 4) p ON p.study_id = st.study_id AND p.label = l.label
+GROUP BY st.study_id, l.label""", "pscore", "labelset")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -225,7 +226,8 @@ _IMG_MEASURES = PROMPT_MEASURES + (AVG_EMBEDDING, MAX_COSINE)
 
 
 def _image_eval_inputs(spark, sf):
-    s = I.scores(spark, sf, measures=_IMG_MEASURES).select(
+    # scores are dealt out by the join key once; counting and ranking both read that
+    s = I.scores(spark, sf, measures=_IMG_MEASURES).repartition("label", "dicom_id").select(
         "dicom_id", "label",
         F.coalesce(F.element_at(F.create_map(*[x for kv in SECOND_NAMING.items() for x in map(F.lit, kv)]),
                                 F.col("embedding_type")), F.col("embedding_type")).alias("embedding_type"),

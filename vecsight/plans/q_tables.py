@@ -10,7 +10,7 @@ from vecsight.operators import prevalence as PV
 from vecsight.operators import reshape as RS
 from vecsight.plans import inputs as I
 from vecsight.plans.oracle_ctes import with_ctes
-from vecsight.plans.q_retrieval import _EVAL_DEPS, _VALIDATE_CTES, LABELS, precision_at_n
+from vecsight.plans.q_retrieval import _EVAL_DEPS, _VALIDATE_CTES, precision_at_n
 from vecsight.sources.tables import table
 
 QUERIES: dict = {}
@@ -25,7 +25,7 @@ def query(name):
 
 
 def _labels(spark, sf):
-    return MF.distinct_values(I.label_list(spark, sf), "label", 10_000)
+    return MF.distinct_values(I.label_list(spark, sf), "label")
 
 
 # ---------------------------------------------------------------- reshaping
@@ -97,36 +97,33 @@ SQL["prevalence_all_columns"] = " UNION ALL ".join(
     f"SELECT '{c}' AS Label, round(100.0 * sum({c}) / count(*), 6) AS prevalence_pct FROM labels"
     for c in ("quality", "toxic"))
 
-_LABEL_COLS = [f"label_{lab}" for lab in LABELS]
-
-
-def truth_wide(spark, sf):
-    t = I.truth(spark, sf).groupBy("subject_id", "study_id").pivot("label", LABELS).agg(F.first("value"))
-    return t.select("subject_id", "study_id", *[F.col(f"`{lab}`").alias(f"label_{lab}") for lab in LABELS])
-
 
 @query("cluster_prevalence_rollup")
 def cluster_prevalence_rollup(spark, sf):
-    """C2 fan-out join (image rows x study labels), then D8-D10 with the total row."""
+    """C2 fan-out join (image rows x study labels), then D8-D10 with the total row; one row per
+    cluster and label of the table."""
+    labels = _labels(spark, sf)
+    names = [str(lab) for lab in labels]
+    wide = I.truth(spark, sf).groupBy("subject_id", "study_id").pivot("label", labels).agg(F.first("value"))
     rows = I.corpus(spark, sf).select("subject_id", "study_id", F.col("label").alias("cluster")) \
-        .join(truth_wide(spark, sf), ["subject_id", "study_id"])
-    p = PV.cluster_prevalence(rows, _LABEL_COLS)
-    return p.select("Cluster", *[F.round(c, 6).alias(c) for c in _LABEL_COLS], "Total_Samples")
+        .join(wide, ["subject_id", "study_id"])
+    p = PV.cluster_prevalence(rows, names)
+    return p.unpivot(["Cluster", "Total_Samples"], names, "label", "prevalence").select(
+        "Cluster", "Total_Samples", F.col("label").cast("int").alias("label"), F.round("prevalence", 6).alias("prevalence"))
 
 
-SQL["cluster_prevalence_rollup"] = with_ctes(
-    "SELECT CASE WHEN grouping(cluster) = 1 THEN 'Weighted_Avg' ELSE CAST(cluster AS VARCHAR) END AS Cluster, "
-    + ", ".join(f"round(count(*) FILTER (WHERE label_{lab} = 1) / count(*), 6) AS label_{lab}" for lab in LABELS)
-    + ", count(*) AS Total_Samples FROM m GROUP BY ROLLUP (cluster)", "corpus", "truth",
-    extra=[("tw", "SELECT subject_id, study_id, " + ", ".join(
-        f"max(CASE WHEN label = {lab} THEN value END) AS label_{lab}" for lab in LABELS)
-        + " FROM truth GROUP BY subject_id, study_id"),
-        ("m", "SELECT c.label AS cluster, tw.* FROM corpus c JOIN tw USING (subject_id, study_id)")])
+SQL["cluster_prevalence_rollup"] = with_ctes("""
+SELECT CASE WHEN grouping(cluster) = 1 THEN 'Weighted_Avg' ELSE CAST(cluster AS VARCHAR) END AS Cluster,
+       count(*) AS Total_Samples, label, round(count(*) FILTER (WHERE has = 1) / count(*), 6) AS prevalence
+FROM m GROUP BY GROUPING SETS ((cluster, label), (label))""", "corpus", "truth", "labelset",
+    extra=[("m", """SELECT c.label AS cluster, l.label, CASE WHEN t.value = 1 THEN 1 ELSE 0 END AS has
+                    FROM corpus c CROSS JOIN labelset l LEFT JOIN truth t
+                    ON t.subject_id = c.subject_id AND t.study_id = c.study_id AND t.label = l.label""")])
 
 
 # ---------------------------------------------------------------- manifest / queue
 def _ann(spark, sf):
-    li = table(spark, sf, "lineitem").where(F.col("l_linenumber") == 1)
+    li = table(spark, sf, "lineitem")
     k = F.col("l_orderkey").cast("string")
     return li.select(F.col("l_orderkey").alias("series_uid"),
                      F.concat(F.lit("ann-"), k, F.lit("-"), F.col("l_partkey").cast("string")).alias("ann_id"),
@@ -142,7 +139,7 @@ def _img(spark, sf):
 
 _MANIFEST_CTES = [
     ("ann", """SELECT l_orderkey AS series_uid, 'ann-' || l_orderkey || '-' || l_partkey AS ann_id,
-               'a__1.2.' || l_orderkey || '__seg.dcm' AS annotation FROM lineitem WHERE l_linenumber = 1"""),
+               'a__1.2.' || l_orderkey || '__seg.dcm' AS annotation FROM lineitem"""),
     ("img", """SELECT o_orderkey AS series_uid, 'img-' || o_orderkey AS im_id,
                'img_1.2.' || o_orderkey || '.dcm' AS image FROM orders"""),
     ("joined", "SELECT * FROM ann JOIN img USING (series_uid)"),
@@ -303,7 +300,7 @@ def one_hot_pivot(spark, sf):
         F.col("l_orderkey").alias("series_uid"),
         F.concat(F.lit("1.2."), F.col("l_orderkey").cast("string")).alias("image_uid"),
         F.col("l_returnflag").alias("label"))
-    labels = MF.distinct_values(li, "label", 10_000)
+    labels = MF.distinct_values(li, "label")
     return MF.one_hot(li, ["series_uid", "image_uid"], "label", labels)
 
 

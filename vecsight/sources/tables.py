@@ -7,19 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-_SCANS: dict = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; filters and projections written later reach the scan.
-
-    The scan DataFrame (file listing + footer schema) is resolved once per session
-    and path; DataFrames are immutable, so reusing it is safe.
-    """
+    """Parquet scan; filters and projections written later reach the scan.  The files are listed
+    anew at every call, so rows written under the same path in between are seen."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
