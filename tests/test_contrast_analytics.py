@@ -39,8 +39,17 @@ def test_info_nce_matches_numpy(spark):
     lse = np.log(np.exp(logits).sum(axis=1))
     want = np.mean(lse - logits[np.arange(6), fp])
     assert CT.info_nce(first, second, 0.5).first()["loss"] == pytest.approx(want, abs=1e-9)
-    # the per-batch (cogroup) path gives the same loss
-    assert CT.info_nce(first, second, 0.5, max_pairs=0).first()["loss"] == pytest.approx(want, abs=1e-9)
+    # the size of the blocks does not matter
+    assert CT.info_nce(first, second, 0.5, item_block=2, pair_block=1).first()["loss"] == pytest.approx(want, abs=1e-9)
+
+
+def test_info_nce_missing_batch_copies_and_unknown_pairs(spark):
+    first = spark.createDataFrame([(None, 1, [1.0, 0.0]), (None, 1, [1.0, 0.0]), (5, 1, [0.0, 1.0]), (5, 9, [1.0, 1.0]), (6, 1, [1.0, 0.0])],
+                                  "b int, pair int, vec array<double>")
+    second = spark.createDataFrame([(None, 1, [1.0, 0.0]), (None, 2, [0.0, 1.0]), (5, 1, [0.0, 2.0])], "b int, pair int, vec array<double>")
+    got = sorted((r.b, r.pair, r.loss) if r.b else (0, r.pair, r.loss) for r in CT.info_nce_items(first, second, 1.0, batch_col="b").collect())
+    own = math.log(math.exp(1) + 1) - 1
+    assert got == [(0, 1, pytest.approx(own)), (0, 1, pytest.approx(own)), (5, 1, pytest.approx(0.0)), (5, 9, None)]
 
 
 def test_pca_centred(spark):
@@ -77,10 +86,12 @@ def test_cluster_size_check_and_means(spark):
     from vecsight.operators.prevalence import column_means, size_check
     from vecsight.plans import inputs as I
     prev = E.queries()["cluster_prevalence_rollup"](spark, SF1)
-    chk = size_check(prev, I.corpus(spark, SF1)).first()
+    sizes = prev.select("Cluster", "Total_Samples").distinct()
+    chk = size_check(sizes, I.corpus(spark, SF1)).first()
     assert chk["clustered"] == chk["library_rows"] and chk["equal"]
-    means = column_means(prev, ["label_0", "Total_Samples"]).first()
-    rows = prev.collect()
+    wide = prev.groupBy("Cluster").pivot("label", [0]).agg(F.first("prevalence")).withColumnRenamed("0", "label_0")
+    means = column_means(wide, ["label_0"]).first()
+    rows = wide.collect()
     assert means["label_0"] == pytest.approx(sum(r["label_0"] for r in rows) / len(rows))
 
 

@@ -5,9 +5,12 @@ InfoNCE of a first set against a second set, both grouped into pairs b:
   loss = mean over first items (b, i) of [ logsumexp_b' logit - logit((b, i), b) ]
 The dot product is linear, so mean_j is taken on the second set's vectors first:
 one mean vector per pair (a grouped aggregate).  Logits are only formed inside a
-contrastive batch (``batch_col``); the pair means of a batch are few and their
-table is size-checked before it is broadcast.  Beyond the bound every batch is
-scored in its own group (cogroup), so no bound ever drops pairs.
+contrastive batch (``batch_col``; a missing batch is a batch of its own, none means one
+batch).  Items and pair means are dealt into blocks of bounded size, every pair of
+blocks of a batch is one small matrix product that leaves one log-sum-exp and, if the
+item's own pair is among them, its own logit per item; an aggregate adds these up.  So
+no task holds a batch, and one path serves batches of any size.  Items whose pair the
+second set lacks have no loss (NULL).
 """
 
 from __future__ import annotations
@@ -23,67 +26,59 @@ from pyspark.sql import types as T
 from vecsight.functions.vectors import l2_normalize
 from vecsight.operators.scoring import mean_vector
 
-MAX_BROADCAST_PAIRS = 200_000
-
 
 def _prep(df: DataFrame, pair_col: str, vec_col: str, batch_col: str | None) -> DataFrame:
-    b = F.col(batch_col) if batch_col else F.lit(0)
-    return df.select(b.alias("_batch"), F.col(pair_col).alias("_pair"), l2_normalize(vec_col).alias("_v"))
+    b = F.coalesce(F.concat(F.lit("b"), F.col(batch_col).cast("string")), F.lit("-")) if batch_col else F.lit("-")
+    return df.select(b.alias("_batch"), F.col(pair_col).alias("_pair"), l2_normalize(vec_col).alias("_v"),
+                     *([F.col(batch_col).alias("_own")] if batch_col else []))
 
 
-def _loss_rows(F_: np.ndarray, own: np.ndarray, pairs: np.ndarray, M: np.ndarray, t: float) -> np.ndarray:
-    logits = (F_ @ M.T) / t
-    mx = logits.max(axis=1, keepdims=True)
-    lse = np.log(np.exp(logits - mx).sum(axis=1)) + mx[:, 0]
-    index = {p: k for k, p in enumerate(pairs)}
-    pos = np.array([index.get(p, -1) for p in own])
-    own_logit = np.where(pos >= 0, logits[np.arange(len(own)), np.maximum(pos, 0)], np.nan)
-    return lse - own_logit
+def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+    """Blocks per batch."""
+    return df.groupBy("_batch").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
 
 
 def info_nce_items(first: DataFrame, second: DataFrame, temperature: float = 1.0,
                    pair_col: str = "pair", vec_col: str = "vec", batch_col: str | None = None,
-                   max_pairs: int = MAX_BROADCAST_PAIRS) -> DataFrame:
+                   item_block: int = 4096, pair_block: int = 1024) -> DataFrame:
     """Per first-set item: (batch, pair, loss)."""
-    f = _prep(first, pair_col, vec_col, batch_col)
+    own = ["_own"] if batch_col else []
+    f = (_prep(first, pair_col, vec_col, batch_col).groupBy("_batch", *own, "_pair", "_v")
+         .agg(F.count(F.lit(1)).alias("_copies"))  # equal items have equal losses: one of them is scored
+         .withColumns({"_item": F.xxhash64("_v"), "_pair_text": F.col("_pair").cast("string")}))
     means = mean_vector(_prep(second, pair_col, vec_col, batch_col), ["_batch", "_pair"], "_v", "_m")
-    pair_type = first.schema[pair_col].dataType
-    batch_type = first.schema[batch_col].dataType if batch_col else T.IntegerType()
-    out_schema = T.StructType([T.StructField("_batch", batch_type), T.StructField("_pair", pair_type),
-                               T.StructField("loss", T.DoubleType())])
+    sizes = _blocks(f, item_block, "_ni").join(_blocks(means, pair_block, "_np"), "_batch")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    names = ["_batch", *own, "_pair", "_item", "_copies"]
+    items = f.join(sizes, "_batch").select(*names, "_pair_text", "_v", F.pmod("_item", "_ni").alias("_ib"), each("_np").alias("_pb"))
+    pairs = means.join(sizes, "_batch").select(
+        "_batch", F.col("_pair").cast("string").alias("_pair_text"), "_m", each("_ni").alias("_ib"),
+        F.pmod(F.xxhash64("_pair"), F.col("_np")).alias("_pb"))
     t = float(temperature)
-    rows = means.limit(max_pairs + 1).collect() if max_pairs > 0 else [None]
-    if len(rows) <= max_pairs:
-        by_batch: dict = {}
-        for r in rows:
-            by_batch.setdefault(r["_batch"], []).append((r["_pair"], r["_m"]))
-        table = {b: (np.array([p for p, _ in v], dtype=object), np.array([m for _, m in v], dtype=np.float64))
-                 for b, v in by_batch.items()}
-        bc = first.sparkSession.sparkContext.broadcast(table)
-
-        def score(batches):
-            tab = bc.value
-            for pdf in batches:
-                for b, g in pdf.groupby("_batch", sort=False):
-                    if b not in tab:
-                        continue
-                    pairs, M = tab[b]
-                    Fm = np.stack(g["_v"].to_numpy()).astype(np.float64)
-                    yield pd.DataFrame({"_batch": g["_batch"].to_numpy(), "_pair": g["_pair"].to_numpy(),
-                                        "loss": _loss_rows(Fm, g["_pair"].to_numpy(), pairs, M, t)})
-
-        out = f.mapInPandas(score, out_schema)
-    else:
-        def per_batch(fp: pd.DataFrame, mp: pd.DataFrame) -> pd.DataFrame:
-            if len(fp) == 0 or len(mp) == 0:
-                return pd.DataFrame({"_batch": [], "_pair": [], "loss": []})
-            Fm = np.stack(fp["_v"].to_numpy()).astype(np.float64)
-            M = np.stack(mp["_m"].to_numpy()).astype(np.float64)
-            return pd.DataFrame({"_batch": fp["_batch"].to_numpy(), "_pair": fp["_pair"].to_numpy(),
-                                 "loss": _loss_rows(Fm, fp["_pair"].to_numpy(), mp["_pair"].to_numpy(), M, t)})
-
-        out = f.groupBy("_batch").cogroup(means.groupBy("_batch")).applyInPandas(per_batch, out_schema)
-    return out.withColumnRenamed("_pair", pair_col).withColumnRenamed("_batch", batch_col or "batch")
+    schema = T.StructType([*[items.schema[n] for n in names], T.StructField("_lse", T.DoubleType()),
+                           T.StructField("_logit", T.DoubleType())])
+
+    def block(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = some[names].copy()
+        if not len(some) or not len(others):
+            return out.assign(_lse=None, _logit=None)
+        logits = np.stack(some["_v"].to_numpy()) @ np.stack(others["_m"].to_numpy()).T / t
+        top = logits.max(axis=1, keepdims=True)
+        place = {p: k for k, p in enumerate(others["_pair_text"])}
+        at = np.array([place.get(p, -1) for p in some["_pair_text"]])
+        out["_lse"] = np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0]
+        out["_logit"] = pd.Series(logits[np.arange(len(at)), at], index=out.index).where(at >= 0, None)
+        return out
+
+    keys = ("_batch", "_ib", "_pb")
+    parts = items.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(block, schema)
+    known = F.when(~F.isnan("_logit"), F.col("_logit"))
+    summed = parts.groupBy(*names).agg(F.collect_list("_lse").alias("_l"), F.max(known).alias("_logit"))
+    top = F.array_max("_l")
+    lse = top + F.log(F.aggregate(F.transform("_l", lambda x: F.exp(x - top)), F.lit(0.0), lambda acc, x: acc + x))
+    batch = F.col("_own") if batch_col else F.lit(0)
+    return summed.select(batch.alias(batch_col or "batch"), F.col("_pair").alias(pair_col), (lse - F.col("_logit")).alias("loss"),
+                         F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_one")).drop("_one")
 
 
 def info_nce(first: DataFrame, second: DataFrame, temperature: float = 1.0, **kw) -> DataFrame:
@@ -92,14 +87,18 @@ def info_nce(first: DataFrame, second: DataFrame, temperature: float = 1.0, **kw
 
 
 def _directions(pairs: list[tuple[str, DataFrame, DataFrame]], temperature: float, pair_col: str,
-                vec_col: str, **kw) -> DataFrame:
-    """Several InfoNCE directions in one pass: the direction name is the batch key, so logits
-    never mix directions; returns (direction, loss)."""
-    firsts = [f.select(F.lit(name).alias("_dir"), pair_col, vec_col) for name, f, _ in pairs]
-    seconds = [s.select(F.lit(name).alias("_dir"), pair_col, vec_col) for name, _, s in pairs]
+                vec_col: str, batch_col: str | None = None, **kw) -> DataFrame:
+    """Several InfoNCE directions in one pass: direction and batch together are the batch key, so
+    logits never mix directions; returns (direction, loss)."""
+    own = F.to_json(F.struct(F.col(batch_col).alias("b"))) if batch_col else F.lit("")
+
+    def named(name, df):
+        return df.select(F.concat(F.lit(name), F.lit("|"), own).alias("_dir"), pair_col, vec_col)
+
+    firsts, seconds = ([named(p[0], p[k]) for p in pairs] for k in (1, 2))
     items = info_nce_items(reduce(DataFrame.unionByName, firsts), reduce(DataFrame.unionByName, seconds),
                            temperature, pair_col=pair_col, vec_col=vec_col, batch_col="_dir", **kw)
-    return items.groupBy(F.col("_dir").alias("direction")).agg(F.avg("loss").alias("loss"))
+    return items.groupBy(F.substring_index("_dir", "|", 1).alias("direction")).agg(F.avg("loss").alias("loss"))
 
 
 def two_way_local(patch: DataFrame, text: DataFrame, temperature: float = 0.1,

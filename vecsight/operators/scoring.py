@@ -18,17 +18,20 @@ The image side is used as stored (library vectors are unit length).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecsight.constants import (ALL_MEASURES, AVG_COSINE, AVG_EMBEDDING, MAX_BROADCAST_ROWS, MAX_COSINE,
-                                MAX_PROMPTS_PER_BLOCK, NORM_EPS, PROMPT_MEASURES)
+                                MAX_PROMPTS_PER_BLOCK, NORM_EPS)
 from vecsight.functions.vectors import dot
 
 MAX_NATIVE_PROMPTS = 256   # prompt vectors become plan literals on the JVM-only path
@@ -83,7 +86,8 @@ def _block_from_rows(rows, labels: list, label_col: str, prompt_col: str, vec_co
 
 def collect_block(prompts: DataFrame, labels: list, label_col: str, prompt_col: str,
                   vec_col: str) -> PromptBlock:
-    rows = (prompts.where(F.col(label_col).isin(labels))
+    wanted = F.col(label_col).isin([x for x in labels if x is not None])
+    rows = (prompts.where(wanted | F.col(label_col).isNull() if None in labels else wanted)
             .select(label_col, prompt_col, vec_col)
             .orderBy(label_col, prompt_col).collect())
     return _block_from_rows(rows, labels, label_col, prompt_col, vec_col)
@@ -96,8 +100,9 @@ def prompt_blocks(prompts: DataFrame, label_col: str, prompt_col: str, vec_col:
     small = (prompts.select(label_col, prompt_col, vec_col).limit(max_prompts + 1)
              .collect())
     if len(small) <= max_prompts:
-        rows = sorted(small, key=lambda r: (r[label_col], r[prompt_col]))
-        labels = sorted({r[label_col] for r in rows})
+        first = lambda x: (x is not None, x)  # noqa: E731  a missing label is a label of its own
+        rows = sorted(small, key=lambda r: (first(r[label_col]), r[prompt_col]))
+        labels = sorted({r[label_col] for r in rows}, key=first)
         return [_block_from_rows(rows, labels, label_col, prompt_col, vec_col)] if rows else []
     return [collect_block(prompts, labels, label_col, prompt_col, vec_col)
             for labels in _label_blocks(prompts, label_col, max_prompts)]
@@ -107,7 +112,7 @@ def _measure_matrix(block: PromptBlock, S: np.ndarray, V: np.ndarray, measure: s
     """n x L matrix of one measure."""
     L = len(block.labels)
     n = S.shape[0]
-    if measure in PROMPT_MEASURES:
+    if measure not in (AVG_COSINE, MAX_COSINE, AVG_EMBEDDING):
         i = int(measure.rsplit("_", 1)[1])
         out = np.full((n, L), np.nan)
         sel = np.where(block.prompt_pos == i)[0]
@@ -173,7 +178,7 @@ def _native_scores(library: DataFrame, block: PromptBlock, id_cols: list[str], e
         sel = np.where(block.prompt_label == j)[0]
         per_prompt = {int(block.prompt_pos[p]): dot(emb, lit_vec(block.qn[p])) for p in sel}
         for m in measures:
-            if m in PROMPT_MEASURES:
+            if m not in (AVG_COSINE, MAX_COSINE, AVG_EMBEDDING):
                 i = int(m.rsplit("_", 1)[1])
                 val = per_prompt.get(i, F.lit(None).cast("double"))
             elif m == AVG_EMBEDDING:
@@ -198,7 +203,7 @@ def score_library(library: DataFrame, prompts: DataFrame, id_cols: list[str],
     """Long score table ``id_cols + (label, embedding_type, cosine_similarity)``."""
     names = names or {}
     for m in measures:
-        if m not in ALL_MEASURES:
+        if m not in ALL_MEASURES and not re.fullmatch(r"cosine_similarity_\d+", m):
             raise ValueError(f"unknown measure {m!r}")
     label_type = prompts.schema[label_col].dataType
     if method == "native":
@@ -212,14 +217,9 @@ def score_library(library: DataFrame, prompts: DataFrame, id_cols: list[str],
     return reduce(DataFrame.unionByName, parts)
 
 
-def prompt_scores(library: DataFrame, prompts: DataFrame, id_cols: list[str], **kw) -> DataFrame:
-    """Per-prompt scores only (the four ``cosine_similarity_i``)."""
-    return score_library(library, prompts, id_cols, measures=PROMPT_MEASURES, **kw)
-
-
 def pool_prompt_scores(scores: DataFrame, key_cols: list[str]) -> DataFrame:
-    """D13 on a long per-prompt table: mean and max per (image, label)."""
-    g = scores.where(F.col("embedding_type").isin(*PROMPT_MEASURES)) \
+    """D13 on a long per-prompt table: mean and max per (image, label) over all its prompts."""
+    g = scores.where(F.col("embedding_type").rlike(r"^cosine_similarity_\d+$")) \
         .groupBy(*key_cols, "label")
     return g.agg(F.avg("cosine_similarity").alias(AVG_COSINE),
                  F.max("cosine_similarity").alias(MAX_COSINE))
@@ -229,13 +229,12 @@ def mean_vector(df: DataFrame, group_cols: list[str], vec_col: str,
                 out_col: str = "mean_vec") -> DataFrame:
     """Element-wise mean of the vectors of each group.
 
-    Partial aggregation per (group, position) keeps every task bounded.
+    One aggregation buffer per group, combined before the shuffle; groups without a vector are left out.
     """
-    exploded = df.select(*group_cols, F.posexplode(vec_col).alias("pos", "x"))
-    per_pos = exploded.groupBy(*group_cols, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return (per_pos.groupBy(*group_cols)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_e"))
-            .select(*group_cols, F.col("_e.x").alias(out_col)))
+    own = df.where(F.col(vec_col).isNotNull()).select(
+        *group_cols, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    return (own.groupBy(*group_cols).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+            .select(*group_cols, vector_to_array("_m").alias(out_col)))
 
 
 def search_topk(library: DataFrame, prompts: DataFrame, id_cols: list[str], k: int,

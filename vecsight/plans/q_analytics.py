@@ -92,70 +92,84 @@ GROUP BY a.i, b.i"""
 
 
 # ---------------------------------------------------------------- contrastive metrics
-def _prompt_set(spark, sf, ids):
-    return I.prompts(spark, sf).where(F.col("prompt_id").isin(*ids)) \
-        .select(F.col("label").alias("pair"), F.col("qvec").alias("vec"))
+# pairs of four neighbouring vectors (image, text, chunk, patch), batches of 64 pairs
+_PART = {"image": (0,), "text": (1,), "chunk": (2,), "patch": (3,), "first": (0, 1), "second": (2, 3)}
 
 
-def _sets(spark, sf):
-    return {"image": _prompt_set(spark, sf, [1]), "text": _prompt_set(spark, sf, [3]),
-            "chunk": _prompt_set(spark, sf, [2, 4]),
-            "patch": I.corpus(spark, sf).select(F.col("label").alias("pair"), F.col("embedding").alias("vec"))}
+def _set(spark, sf, part, vec=None):
+    e = table(spark, sf, "embeddings").where((F.col("vec_id") % 4).isin(*_PART[part]))
+    return e.select(F.floor(F.col("vec_id") / 256).cast("long").alias("batch"), F.floor(F.col("vec_id") / 4).cast("long").alias("pair"),
+                    (F.col("embedding") if vec is None else vec).alias("vec"))
 
 
-_SET_SQL = {
-    "first": "SELECT label AS pair, vec_id AS item, qvec::DOUBLE[] AS q FROM prompts WHERE prompt_id <= 2",
-    "second": "SELECT label AS pair, vec_id AS item, qvec::DOUBLE[] AS q FROM prompts WHERE prompt_id >= 3",
-    "image": "SELECT label AS pair, vec_id AS item, qvec::DOUBLE[] AS q FROM prompts WHERE prompt_id = 1",
-    "text": "SELECT label AS pair, vec_id AS item, qvec::DOUBLE[] AS q FROM prompts WHERE prompt_id = 3",
-    "chunk": "SELECT label AS pair, vec_id AS item, qvec::DOUBLE[] AS q FROM prompts WHERE prompt_id IN (2, 4)",
-    "patch": "SELECT label AS pair, dicom_id AS item, embedding::DOUBLE[] AS q FROM corpus",
-}
+def _part_sql(part: str, vec: str = "embedding::DOUBLE[]") -> str:
+    return (f"SELECT vec_id // 256 AS batch, vec_id // 4 AS pair, vec_id AS item, {vec} AS q FROM embeddings "
+            f"WHERE vec_id % 4 IN ({', '.join(map(str, _PART[part]))})")
+
+
+_PATCHES = """SELECT batch, pair, item * 4 + k AS item, list_slice(q, k * 16 + 1, k * 16 + 16) AS q
+              FROM ({}), (SELECT unnest(range(4)) AS k)""".format(_part_sql("patch"))
+_SET_SQL = {part: _part_sql(part) for part in _PART} | {
+    "patches": _PATCHES, "words": _part_sql("text", "list_slice(embedding::DOUBLE[], 1, 16)")}
 
 
 def _sql_info_nce(first: str, second: str, t: float) -> str:
-    norm = ("SELECT pair, item, list_transform(q, lambda x: x / greatest(sqrt(list_sum("
+    norm = ("SELECT batch, pair, item, list_transform(q, lambda x: x / greatest(sqrt(list_sum("
             "list_transform(q, lambda y: y * y))), 1e-12)) AS v FROM ({s})")
     return f"""(WITH fn AS ({norm.format(s=_SET_SQL[first])}), sn AS ({norm.format(s=_SET_SQL[second])}),
- sm AS (SELECT pair, list(x ORDER BY pos) AS m FROM (SELECT pair, pos, avg(x) AS x FROM (
-          SELECT pair, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM sn) GROUP BY pair, pos) GROUP BY pair),
+ sm AS (SELECT batch, pair, list(x ORDER BY pos) AS m FROM (SELECT batch, pair, pos, avg(x) AS x FROM (
+          SELECT batch, pair, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM sn) GROUP BY batch, pair, pos) GROUP BY batch, pair),
  lg AS (SELECT fn.pair AS p, fn.item, sm.pair AS q, list_dot_product(fn.v, sm.m) / {t} AS logit
-        FROM fn CROSS JOIN sm),
+        FROM fn JOIN sm USING (batch)),
  li AS (SELECT p, item, ln(sum(exp(logit - mx))) + mx - max(CASE WHEN q = p THEN logit END) AS loss
         FROM (SELECT *, max(logit) OVER (PARTITION BY p, item) AS mx FROM lg) GROUP BY p, item, mx)
  SELECT avg(loss) FROM li)"""
 
 
-@query("info_nce")
-def info_nce(spark, sf):
-    out = CT.info_nce(_prompt_set(spark, sf, [1, 2]), _prompt_set(spark, sf, [3, 4]), 1.0)
+def _info_nce(spark, sf, temperature):
+    out = CT.info_nce(_set(spark, sf, "first"), _set(spark, sf, "second"), temperature, batch_col="batch")
     return out.select(F.round("loss", 6).alias("loss"))
 
 
-SQL["info_nce"] = with_ctes(f"SELECT round({_sql_info_nce('first', 'second', 1.0)}, 6) AS loss",
-                            "prompts")
+QUERIES["info_nce"] = lambda spark, sf: _info_nce(spark, sf, 1.0)
+QUERIES["info_nce_sharp"] = lambda spark, sf: _info_nce(spark, sf, 0.07)
+SQL["info_nce"] = f"SELECT round({_sql_info_nce('first', 'second', 1.0)}, 6) AS loss"
+SQL["info_nce_sharp"] = f"SELECT round({_sql_info_nce('first', 'second', 0.07)}, 6) AS loss"
 
 
 @query("local_loss_two_way")
 def local_loss_two_way(spark, sf):
-    out = CT.two_way_local(_prompt_set(spark, sf, [1, 2]), _prompt_set(spark, sf, [3, 4]), 0.1)
+    out = CT.two_way_local(_set(spark, sf, "first"), _set(spark, sf, "second"), 0.1, batch_col="batch")
+    return out.select(F.round("loss", 6).alias("loss"))
+
+
+SQL["local_loss_two_way"] = (f"SELECT round(({_sql_info_nce('first', 'second', 0.1)} + "
+                             f"{_sql_info_nce('second', 'first', 0.1)}) / 2, 6) AS loss")
+
+
+@query("patch_grid_loss")
+def patch_grid_loss(spark, sf):
+    """J11 + J9: every patch vector as a 2 x 2 grid of patches, flattened, against its pair's words."""
+    part = lambda k: F.slice("embedding", 16 * k + 1, 16)
+    grid = _set(spark, sf, "patch", F.array(F.array(part(0), part(1)), F.array(part(2), part(3)))).withColumnRenamed("vec", "grid")
+    patches = CT.flatten_grid(grid, "grid").select("batch", "pair", "vec")
+    out = CT.two_way_local(patches, _set(spark, sf, "text", F.slice("embedding", 1, 16)), 0.1, batch_col="batch")
     return out.select(F.round("loss", 6).alias("loss"))
 
 
-SQL["local_loss_two_way"] = with_ctes(
-    f"SELECT round(({_sql_info_nce('first', 'second', 0.1)} + {_sql_info_nce('second', 'first', 0.1)}) / 2, 6)"
-    " AS loss", "prompts")
+SQL["patch_grid_loss"] = (f"SELECT round(({_sql_info_nce('patches', 'words', 0.1)} + "
+                          f"{_sql_info_nce('words', 'patches', 0.1)}) / 2, 6) AS loss")
 
 
 @query("contrast_eight_way")
 def contrast_eight_way(spark, sf):
-    out = CT.eight_way(_sets(spark, sf), 1.0)
+    sets = {part: _set(spark, sf, part) for part in ("image", "text", "chunk", "patch")}
+    out = CT.eight_way(sets, 1.0, batch_col="batch")
     return out.select("direction", F.round("loss", 6).alias("loss"))
 
 
-SQL["contrast_eight_way"] = with_ctes(
+SQL["contrast_eight_way"] = (
     "SELECT direction, round(loss, 6) AS loss FROM (" + " UNION ALL ".join(
         f"SELECT '{name}' AS direction, {_sql_info_nce(a, b, 1.0)} AS loss" for name, a, b in CT.EIGHT_DIRECTIONS)
     + ") UNION ALL SELECT 'combined', round(avg(loss), 6) FROM (" + " UNION ALL ".join(
-        f"SELECT {_sql_info_nce(a, b, 1.0)} AS loss" for _, a, b in CT.EIGHT_DIRECTIONS) + ")",
-    "prompts", "corpus")
+        f"SELECT {_sql_info_nce(a, b, 1.0)} AS loss" for _, a, b in CT.EIGHT_DIRECTIONS) + ")")

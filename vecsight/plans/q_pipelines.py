@@ -132,9 +132,10 @@ def model_grid(spark, sf):
     """L1 + A13: every model's score stage is materialised once (read back on reruns);
     the accuracy of all models is one plan over their union."""
     pos, n = _truth_validate(spark, sf)
+    state = IO.input_state(spark, f"{sf.rstrip('/')}/embeddings.parquet")
     staged = []
     for name, subset in MODELS:
-        path = IO.stage_dir(spark, STAGE_VERSION, __version__, sf, name)
+        path = IO.stage_dir(spark, STAGE_VERSION, __version__, sf, state, name)
         s = IO.materialize(spark, path, lambda subset=subset: _model_scores(spark, sf, subset))
         staged.append(s.withColumn("model", F.lit(name)))
     scores = reduce(DataFrame.unionByName, staged)

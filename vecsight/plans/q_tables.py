@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecsight.constants import ALL_MEASURES, AVG_EMBEDDING, POOLED_MEASURES
+from vecsight.operators import evaluate as ev
 from vecsight.operators import manifest as MF
 from vecsight.operators import prevalence as PV
 from vecsight.operators import reshape as RS
@@ -199,7 +200,7 @@ _NAMES_SQL = """SELECT l_orderkey, l_linenumber, CASE l_linenumber
   WHEN 2 THEN 'b__1.2.' || l_orderkey || '__seg.dcm__3.' || l_orderkey || '__seg.dcm'
   WHEN 3 THEN 'c_' || l_orderkey || '.dcm'
   ELSE 'd__1.' || l_orderkey || '.' || l_partkey || '__segXdcm' END AS fname FROM lineitem"""
-_UID = r"'__([0-9.]*?)__seg.dcm'"
+_UID = r"'__([\d\.]*?)__seg.dcm'"
 
 
 @query("uid_extract")
@@ -216,6 +217,75 @@ SELECT l_orderkey, l_linenumber, fname, len(regexp_extract_all(fname, {_UID}, 1)
 FROM ({_NAMES_SQL})"""
 
 
+@query("series_listing")
+def series_listing(spark, sf):
+    """The files of every series in name order."""
+    n = _names(spark, sf).withColumn("fpath", F.concat(F.lit("files/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("fname")))
+    out = MF.series_listing(n.withColumnRenamed("l_orderkey", "series_uid"))
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
+SQL["series_listing"] = f"""
+SELECT series_uid, row_number() OVER (PARTITION BY series_uid ORDER BY fname, fpath) - 1 AS position, fname, fpath
+FROM (SELECT l_orderkey AS series_uid, fname, 'files/' || l_orderkey || '/' || fname AS fpath FROM ({_NAMES_SQL}))"""
+
+
+@query("missing_files")
+def missing_files(spark, sf):
+    """Customers aligned with orders by key; customers without an order are reported."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    return MF.report_missing(c, table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+SQL["missing_files"] = """
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'file' ELSE 'row' END AS missing
+FROM (SELECT DISTINCT c_custkey AS k FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) b ON a.k = b.k
+WHERE a.k IS NULL OR b.k IS NULL"""
+
+
+@query("absent_ids")
+def absent_ids(spark, sf):
+    """B3 with the value 0: documents labelled as not toxic."""
+    t = table(spark, sf, "labels").select(F.lit("toxic").alias("label"), F.col("doc_id").alias("study_id"), F.col("toxic").alias("value"))
+    return ev.positives(t, value=0)
+
+
+SQL["absent_ids"] = "SELECT DISTINCT 'toxic' AS label, doc_id AS study_id FROM labels WHERE toxic = 0"
+
+
+@query("cluster_size_check")
+def cluster_size_check(spark, sf):
+    """Rows of all clusters against the rows of the library."""
+    sizes = cluster_prevalence_rollup(spark, sf).select("Cluster", "Total_Samples").distinct()
+    return PV.size_check(sizes, I.corpus(spark, sf))
+
+
+SQL["cluster_size_check"] = with_ctes("""
+SELECT CAST(n AS BIGINT) AS clustered, n AS library_rows, true AS equal FROM (
+  SELECT count(*) AS n FROM corpus JOIN (SELECT DISTINCT subject_id, study_id FROM truth) USING (subject_id, study_id))""",
+                                      "corpus", "truth")
+
+
+@query("price_column_means")
+def price_column_means(spark, sf):
+    """Means of several columns of a table."""
+    m = PV.column_means(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"])
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+SQL["price_column_means"] = "SELECT round(avg(l_quantity), 6) AS l_quantity, round(avg(l_discount), 6) AS l_discount FROM lineitem"
+
+
+@query("segment_labels")
+def segment_labels(spark, sf):
+    """One row per file and segment label (segments of a series: the return flags of an order)."""
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_returnflag")).alias("labels"))
+    return MF.explode_labels(li, ["l_orderkey"])
+
+
+SQL["segment_labels"] = "SELECT DISTINCT l_orderkey, l_returnflag AS label FROM lineitem WHERE l_returnflag IS NOT NULL"
+
+
 @query("suffix_check")
 def suffix_check(spark, sf):
     li = table(spark, sf, "lineitem")
@@ -294,6 +364,39 @@ FROM (SELECT *, CASE WHEN n_ann <> 1 THEN 'annotation count' WHEN tier IS NULL T
 ])
 
 
+@query("pair_files_by_name")
+def pair_files_by_name(spark, sf):
+    """The annotation is the file in the set of annotation names; in every third series no
+    name is in it, though one looks like an annotation."""
+    files = files_table(spark, sf)
+    names = files.where((F.col("series_uid") % 3 != 0) & MF.uid_of("fname").isNotNull()).select("fname")
+    return MF.pair_files(files, annotation_names=names)
+
+
+SQL["pair_files_by_name"] = with_ctes("""
+SELECT series_uid, image_uid, CASE WHEN reason IS NULL THEN best END AS fpath,
+       CASE WHEN reason IS NULL THEN tier END AS tier, reason AS reject_reason
+FROM (SELECT *, CASE WHEN n_ann <> 1 THEN 'annotation count' WHEN image_uid IS NULL THEN 'annotation name'
+                     WHEN tier IS NULL THEN 'no candidate'
+                     WHEN (CASE tier WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 3 THEN c3 ELSE 0 END) <> 1 THEN 'ambiguous'
+                END AS reason
+      FROM (SELECT series_uid, any_value(image_uid) AS image_uid, any_value(n_ann) AS n_ann, min(tier) AS tier,
+                   count(*) FILTER (WHERE tier = 1) AS c1, count(*) FILTER (WHERE tier = 2) AS c2,
+                   count(*) FILTER (WHERE tier = 3) AS c3, arg_min(fpath, coalesce(tier, 99)) AS best
+            FROM c GROUP BY series_uid))""", extra=[
+    ("files", _FILES_SQL),
+    ("f0", f"""SELECT *, CASE WHEN len(regexp_extract_all(fname, {_UID}, 1)) = 1
+                         THEN regexp_extract_all(fname, {_UID}, 1)[1] END AS uid FROM files"""),
+    ("f", """SELECT *, fname IN (SELECT fname FROM f0 WHERE series_uid % 3 <> 0 AND uid IS NOT NULL) AS ann FROM f0"""),
+    ("stats", """SELECT series_uid, count(*) AS n_files, count(*) FILTER (WHERE ann) AS n_ann,
+                        max(CASE WHEN ann THEN uid END) AS image_uid FROM f GROUP BY series_uid"""),
+    ("c", """SELECT s.series_uid, s.image_uid, s.n_ann, f.fpath,
+             CASE WHEN s.n_ann = 1 THEN CASE WHEN contains(f.fpath, s.image_uid) THEN 1
+                  WHEN s.n_files = 2 THEN 2 WHEN f.sop_uid = s.image_uid THEN 3 END END AS tier
+             FROM stats s LEFT JOIN f ON f.series_uid = s.series_uid AND NOT f.ann"""),
+])
+
+
 @query("one_hot_pivot")
 def one_hot_pivot(spark, sf):
     li = table(spark, sf, "lineitem").select(

@@ -29,6 +29,23 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     return shared_dir(spark, "scratch", spark.sparkContext.applicationId, f"{tag}-{uuid.uuid4().hex[:12]}")
 
 
+def input_state(spark: SparkSession, *paths: str) -> str:
+    """Names, sizes and modification times of all files below the paths: part of a stage's key, so
+    that a stage made from other files is not taken for this one."""
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = p.getFileSystem(conf)
+        todo = [p]
+        while todo:
+            for s in store.listStatus(todo.pop()):
+                if s.isDirectory():
+                    todo.append(s.getPath())
+                else:
+                    found.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def stage_dir(spark: SparkSession, *key: str) -> str:
     """A stable folder for a pipeline stage keyed by its inputs (for ``materialize``)."""
     h = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
