@@ -38,6 +38,17 @@ def schema_with(df: DataFrame, added: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
 
 
+def set_apart(docs: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all columns but ``own`` renamed, so that no name of theirs meets one that an
+    operator adds, and the names in their order; ``set_back`` undoes it."""
+    names = [c if c in own else f"__other_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
+def set_back(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for n, c in zip(names, columns)])
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` below the session's shared folder and read it back: later stages start from
     files that every executor sees, so a lost executor costs only its running tasks."""
@@ -64,7 +75,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        step = np.full(max(n, 1 << 21), _BASE if kind == "up" else _BASE_INVERSE, U64)
+        step = np.full(max(n, 1 << 20), _BASE if kind == "up" else _BASE_INVERSE, U64)
         step[0] = 1
         _powers[kind] = have = np.cumprod(step, dtype=U64)
     return have[:n]
@@ -95,8 +106,8 @@ class Fingerprints:
 def set_bits(keys: DataFrame) -> np.ndarray:
     """2**26 bits, set for the values of the long column ``key``: a filter of fixed size that lets all
     of them pass (``has_bit``) and most other values not, as long as there are few of them."""
-    words = keys.groupBy(F.shiftrightunsigned("key", 44).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 38) & 63 as int))")).alias("bits")).toArrow()
+    words = keys.groupBy(F.expr("key & 1048575").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 20) & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << 20, U64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(U64)
     return out
@@ -104,26 +115,24 @@ def set_bits(keys: DataFrame) -> np.ndarray:
 
 def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     k = keys.view(U64)
-    return (bits[(k >> U64(44)).astype(int)] >> ((k >> U64(38)) & U64(63))) & U64(1) == 1
+    return (bits[(k & U64((1 << 20) - 1)).astype(int)] >> ((k >> U64(20)) & U64(63))) & U64(1) == 1
 
 
-def text_pieces(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_pieces(column: pa.Array, most: int = 700_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``most`` bytes (a longer row stands
     alone): (first row, end row, bytes, offsets of the rows in them).  Null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    n = len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + n + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        yield i, j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-        i = j
+    for lo in range(0, len(column), 512):  # converted a part at a time
+        some = column.slice(lo, 512).cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset:some.offset + len(some) + 1]
+        raw = some.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(some):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+            yield lo + i, lo + j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+            i = j
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
