@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import U64, Fingerprints, cut, has_bit, mix, schema_with, set_bits, text_pieces, word_spans
+from vecsight.llm.common import U64, Fingerprints, cut, has_bit, mix, schema_with, set_apart, set_back, set_bits, text_pieces, word_spans
 from vecsight.llm.components import components
 
 _STEPS = [U64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -238,22 +238,41 @@ class SignatureTree:
             good[some] = most >= t.overlap(lo[x] + lo[y])
         return good
 
-    def pairs(self, t: Threshold):
-        """Pairs of leaves (positions in ``sets`` as sorted) that survive the dual traversal."""
-        level = len(self.levels) - 1
-        a = b = np.zeros(1, int)
-        while level:
-            n = len(self.levels[level - 1][0])
-            step = np.arange(self.FAN)
-            x = (a[:, None, None] * self.FAN + step[None, :, None])
-            y = (b[:, None, None] * self.FAN + step[None, None, :])
-            x, y = (v.ravel() for v in np.broadcast_arrays(x, y))
-            inner = (x < n) & (y < n) & (x <= y if level > 1 else x < y)
-            a, b = x[inner], y[inner]
+    def pairs(self, t: Threshold, chunk: int = 2048):
+        """Pairs of leaves (positions in the tree's order) that survive the dual traversal, in runs of
+        bounded length: at most ``chunk`` node pairs are opened at a time."""
+        step = np.arange(self.FAN)
+        todo = [(len(self.levels) - 1, np.zeros(1, int), np.zeros(1, int))]
+        while todo:
+            level, a, b = todo.pop()
+            if not level:
+                yield a, b
+                continue
+            if len(a) > chunk:
+                todo.append((level, a[chunk:], b[chunk:]))
+                a, b = a[:chunk], b[:chunk]
             level -= 1
-            good = self.admitted(level, a, b, t)
-            a, b = a[good], b[good]
-        return a, b
+            n = len(self.levels[level][0])
+            x = a[:, None, None] * self.FAN + step[None, :, None]
+            y = b[:, None, None] * self.FAN + step[None, None, :]
+            x, y = (v.ravel() for v in np.broadcast_arrays(x, y))
+            inner = (x < n) & (y < n) & (x <= y if level else x < y)
+            x, y = x[inner], y[inner]
+            good = self.admitted(level, x, y, t)
+            if good.any():
+                todo.append((level, x[good], y[good]))
+
+
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (smallest position reachable, per position) after adding the edges a-b."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def join_block(keys: list[int], classes: list[int], sets: list[np.ndarray], t: Threshold,
@@ -272,7 +291,7 @@ def join_block(keys: list[int], classes: list[int], sets: list[np.ndarray], t: T
         return c
 
     links = []
-    for x, y in zip(*(p.tolist() for p in tree.pairs(t)), strict=True):
+    for x, y in (xy for a, b in tree.pairs(t) for xy in zip(a.tolist(), b.tolist())):
         if probes is not None and classes[x] not in probes and classes[y] not in probes:
             continue
         a, b = root(classes[x]), root(classes[y])
@@ -310,15 +329,8 @@ def _refine(rows: DataFrame, t: Threshold) -> DataFrame:
             c, n, spare = (np.array([r[k] for r in own]) for k in (1, 2, 3))
             tree = SignatureTree(np.stack([np.frombuffer(r[4], U64) for r in own]), n, spare, n)
             label = np.arange(len(own))
-            a, b = tree.pairs(t)
-            while len(a):
-                new = label.copy()
-                np.minimum.at(new, a, label[b])
-                np.minimum.at(new, b, label[a])
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
+            for a, b in tree.pairs(t):
+                label = join_labels(label, a, b)
             c = c[tree.order]
             other = np.flatnonzero(label != np.arange(len(own)))
             if len(other):
@@ -471,10 +483,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 512) -> DataFrame:
     """``docs`` with one row of every component: the one with the smallest doc_id (a null id comes
     last, of rows that share it any one).  Rows without shingles all stay."""
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows, found = classes(named, named.columns, width, num, den, block)
+    own, names = set_apart(docs, "doc_id", "text")
+    numbered = own.withColumn("__row", F.monotonically_increasing_id())
+    rows, found = classes(numbered, numbered.columns, width, num, den, block)
     joined = (rows.where("n_shingles > 0").select("__row", "doc_id", "c").join(found, "c", "left")
               .select("__row", "doc_id", F.coalesce("component", "c").alias("cls")))
     first = joined.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("first"))
     gone = joined.join(first, "cls").where("__row <> first").select("__row")
-    return rows.join(gone, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return set_back(rows.join(gone, "__row", "left_anti"), names, docs.columns)
