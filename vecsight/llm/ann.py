@@ -150,7 +150,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 4096
     spark = vectors.sparkSession
     rows = cut(packed(vectors).where("raw IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
-    some = rows.select("dim", "raw").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "row").limit(sample).collect()
+    ids = rows.select("vec_id", "row").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "row").limit(sample).select("row")
+    some = sorted(rows.join(F.broadcast(ids), "row").select("row", "dim", "raw").collect(), key=lambda r: r.row)
     dims = [r.dim for r in some]
     dim = max(sorted(set(dims)), key=dims.count) if dims else 0
     own = [r.raw for r in some if r.dim == dim]

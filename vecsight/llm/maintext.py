@@ -322,9 +322,11 @@ def extract(pages: DataFrame, html: str = "html", sample: int = 500, longest: in
             key: str = "page_id") -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars``; fitted on at most ``sample`` pages of
     at most ``longest`` characters, in hash order of their ids."""
-    shown = pages.select(F.col(f"`{html}`").cast("string").alias("h"), key).where(
+    shown = pages.select(F.col(f"`{html}`").cast("string").alias("h"), F.col(key).alias("k")).where(
         f"length(h) <= {longest} AND (h LIKE '%<article%' OR h LIKE '%<main%')")
-    chosen = shown.orderBy(F.xxhash64(key), key, F.xxhash64("h")).select("h").limit(sample).collect()
+    # the ids are chosen first, so that tasks send ids and not pages to be compared
+    ids = shown.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
+    chosen = shown.join(F.broadcast(ids), "k").groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect()
     chain = pages.sparkSession.sparkContext.broadcast(fit([r.h for r in chosen]))
     others = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     own = pages.select(*[f"`{c}`" for c in others], F.col(f"`{html}`").cast("string").alias("__html"))

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import cut
+from vecsight.llm.common import cut, set_apart, set_back
 
 WORD = r"[^\x20\x09-\x0D]+"
 GRID = 1_000_000
@@ -122,11 +122,11 @@ def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     Documents meet the small table of blocks by source and block, so a source that holds a third
     of all rows is spread over its blocks.
     """
+    kept = docs.drop("epoch", "block", "place")
+    apart, columns = set_apart(kept, "doc_id", "source", "text")
     blocks = cut(plan(docs, seed=seed, **how), "mix-blocks")
     sizes = blocks.select(F.col("s").alias("__s"), F.col("blocks").alias("__blocks")).distinct()
-    added = ("epoch", "block", "place")
-    columns = [c for c in docs.columns if c not in added]
-    hashed = docs.select(*columns, _key("source").alias("__s"),
+    hashed = apart.select(*columns, _key("source").alias("__s"),
                          _number(F.concat(F.lit(f"{seed}|doc|"), _text("doc_id"))).alias("__h"))
     own = (hashed.join(sizes, "__s").withColumn("__block", F.col("__h") % 65536 % F.col("__blocks"))
            .join(blocks, (F.col("__s") == F.col("s")) & (F.col("__block") == F.col("block"))))
@@ -139,4 +139,5 @@ def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     fits = (own.where(F.col("left_over").isNotNull()).withColumns({"__t": tokens, "__o": order})
             .withColumn("__upto", F.sum("__t").over(w)).where(F.col("__upto") <= F.col("left_over"))
             .withColumn("epoch", F.col("epochs")).select(*out))
-    return taken.unionByName(fits)
+    out_names = [*kept.columns, "epoch", "block", "place"]
+    return set_back(taken.unionByName(fits), [*columns, "epoch", "block", "place"], out_names)
