@@ -71,6 +71,40 @@ def projection_image_encoder(dim: int = 64, size: int = 16, seed: int = 0):
     return make
 
 
+def flat_image_encoder(size: int):
+    """Resize and crop (K6), then the pixels themselves at length 1, in double precision."""
+    def make():
+        def encode(images: list) -> np.ndarray:
+            flat = np.stack([resize_center_crop(np.asarray(im, dtype=np.float64), size).reshape(-1) for im in images])
+            return flat / np.maximum(np.sqrt((flat * flat).sum(axis=1, keepdims=True)), 1e-12)
+        return encode
+    return make
+
+
+def encode_images(files: DataFrame, make_fn, decoder=None, content_col: str = "content",
+                  out_col: str = "embedding", batch_size: int = 64) -> DataFrame:
+    """K1 + K6: stored image bytes -> vectors.  Images of any shape are decoded and encoded
+    ``batch_size`` at a time inside the task; missing bytes give a missing vector."""
+    keep = [c for c in files.columns if c not in (content_col, out_col)]
+    schema = T.StructType([*[files.schema[c] for c in keep], T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    read = decoder or npy_decoder
+
+    def run(batches):
+        model = make_fn()
+        for pdf in batches:
+            for lo in range(0, len(pdf), batch_size):
+                some = pdf.iloc[lo:lo + batch_size]
+                there = some[content_col].notna()
+                out = some[keep].copy()
+                out[out_col] = None
+                if there.any():
+                    vecs = model([read(bytes(c)) for c in some.loc[there, content_col]])
+                    out.loc[there, out_col] = pd.Series(list(vecs), index=out.index[there])
+                yield out
+
+    return files.select(*keep, content_col).mapInPandas(run, schema)
+
+
 def encode(df: DataFrame, col: str, make_fn, out_col: str = "vec", batch_size: int = 256) -> DataFrame:
     """K1/K2: run a pluggable encoder over a column with Arrow batches."""
     udf = predict_batch_udf(make_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
@@ -82,6 +116,13 @@ def npy_decoder(content: bytes) -> np.ndarray:
     return np.load(io.BytesIO(content), allow_pickle=False)
 
 
+def npy_bytes(image: np.ndarray) -> bytes:
+    """An array as ``.npy`` payload."""
+    buf = io.BytesIO()
+    np.save(buf, image)
+    return buf.getvalue()
+
+
 def decode(files: DataFrame, decoder=npy_decoder) -> DataFrame:
     """K5: (path, content) -> (path, shape, pixels) with a pluggable decoder, per Arrow batch."""
     schema = T.StructType([T.StructField("path", T.StringType()),

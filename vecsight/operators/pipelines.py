@@ -19,17 +19,13 @@ def run_display_name(col) -> F.Column:
     return F.when(F.regexp_extract(c, r"^model_run_\d+_", 0) != "", parsed).otherwise(c)
 
 
-def compare_models(accuracy_tables: dict[str, DataFrame], label_col: str = "Label") -> DataFrame:
-    """L3 + L4: accuracy tables of several models -> one long comparison table.
+def comparison_view(long: DataFrame, label_col: str = "Label") -> DataFrame:
+    """L4 on (Model, label, Pooling Method, Accuracy): B13 skip pooling methods, B11 label display,
+    B12 pooling display names, D22 global min / max of the accuracy.
 
-    H2 concat with a model key, E2 melt, B13 skip pooling methods, B11 label
-    display, B12 pooling display names, D22 global min / max of the accuracy.
-    The comparison table is small (models x labels x methods); its min / max use
-    one window over it.
+    The comparison table has one row per model, label and method; its min / max use one
+    window over it.
     """
-    wide = union_with_key(accuracy_tables, "Model")
-    value_cols = [c for c in wide.columns if c not in ("Model", label_col)]
-    long = wide.unpivot(["Model", label_col], value_cols, "Pooling Method", "Accuracy")
     kept = long.where(~F.col("Pooling Method").isin(*SKIPPED_POOLING))
     pooling = F.col("Pooling Method")
     disp = None
@@ -43,3 +39,11 @@ def compare_models(accuracy_tables: dict[str, DataFrame], label_col: str = "Labe
     everything = Window.partitionBy()
     return out.withColumn("y_min", F.min("Accuracy").over(everything)) \
         .withColumn("y_max", F.max("Accuracy").over(everything))
+
+
+def compare_models(accuracy_tables: dict[str, DataFrame], label_col: str = "Label") -> DataFrame:
+    """L3 + L4: wide accuracy tables of several models -> one long comparison table (H2 concat with
+    a model key, E2 melt, then ``comparison_view``)."""
+    wide = union_with_key(accuracy_tables, "Model")
+    value_cols = [c for c in wide.columns if c not in ("Model", label_col)]
+    return comparison_view(wide.unpivot(["Model", label_col], value_cols, "Pooling Method", "Accuracy"), label_col)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ from vecsight.operators import encoders as EN
 from vecsight.operators import evaluate as ev
 from vecsight.operators import pixels as PX
 from vecsight.operators import reshape as RS
-from vecsight.operators.pipelines import compare_models, run_display_name
+from vecsight.operators.manifest import distinct_values
+from vecsight.operators.pipelines import compare_models, comparison_view, run_display_name
 from vecsight.operators.scoring import score_library
 from vecsight.plans import inputs as I
 from vecsight.plans.oracle_ctes import with_ctes
-from vecsight.operators.manifest import distinct_values
 from vecsight.sources import files as IO
 from vecsight.sources.tables import table
 
@@ -52,21 +54,50 @@ def _truth_validate(spark, sf):
     return ev.positives(tr), ev.positive_counts(tr, I.label_list(spark, sf))
 
 
-def _model_accuracy(spark, sf, subset, pos, n) -> DataFrame:
-    pooled = ev.pool_both(_model_scores(spark, sf, subset), digits=6)
-    p = ev.precision_at_n(pooled, pos, n, group_cols=("label", "embedding_type", "pool"))
-    return RS.accuracy_wide(p.withColumn("precision", F.round("precision", 6)), names=_ACC_COLS)
+def _all_model_scores(spark, sf) -> DataFrame:
+    """Scores of all models in one pass over the library: the model is part of the prompt key."""
+    pr = I.prompts(spark, sf)
+    sets = [pr.where(F.col("prompt_id").isin(*subset)).withColumn("label", F.concat(F.lit(f"{k}|"), F.col("label").cast("string")))
+            for k, (_, subset) in enumerate(MODELS)]
+    s = I.scores(spark, sf, split="validate", measures=_MODEL_MEASURES, prompt_table=reduce(DataFrame.unionByName, sets))
+    names = F.array(*[F.lit(name) for name, _ in MODELS])
+    return (s.withColumn("model", F.element_at(names, F.substring_index("label", "|", 1).cast("int") + 1))
+            .withColumn("label", F.substring_index("label", "|", -1).cast("int")))
 
 
-@query("model_compare")
-def model_compare(spark, sf):
+def _model_accuracies(spark, sf) -> DataFrame:
+    """(Model, Label, Pooling Method, Accuracy) of all models."""
     pos, n = _truth_validate(spark, sf)
-    tables = {name: _model_accuracy(spark, sf, subset, pos, n) for name, subset in MODELS}
-    out = compare_models(tables)
+    g = _all_model_scores(spark, sf).groupBy("model", "study_id", "label", "embedding_type").agg(
+        F.max("cosine_similarity").alias("max"), F.avg("cosine_similarity").alias("mean"))
+    pooled = g.select("model", "study_id", "label", "embedding_type", F.inline(F.array(
+        F.struct(F.lit("max").alias("pool"), F.round("max", 6).alias("cosine_similarity")),
+        F.struct(F.lit("mean").alias("pool"), F.round("mean", 6).alias("cosine_similarity")))))
+    p = ev.precision_at_n(pooled, pos, n, group_cols=("model", "label", "embedding_type", "pool"))
+    return p.select(F.col("model").alias("Model"), F.col("label").alias("Label"), F.concat_ws(
+        "_", "embedding_type", "pool", F.lit("accuracy")).alias("Pooling Method"), F.round("precision", 6).alias("Accuracy"))
+
+
+def _comparison(out: DataFrame) -> DataFrame:
     return out.select("Model", "Label", "Pooling", F.round("Accuracy", 6).alias("Accuracy"),
                       F.round("y_min", 6).alias("y_min"), F.round("y_max", 6).alias("y_max"))
 
 
+@query("model_compare")
+def model_compare(spark, sf):
+    return _comparison(comparison_view(_model_accuracies(spark, sf)))
+
+
+@query("model_files_compare")
+def model_files_compare(spark, sf):
+    """A3: one result file per model (wide accuracy tables), read back and compared."""
+    root = IO.scratch_dir(spark, "results")
+    wide = _model_accuracies(spark, sf).groupBy("Model", "Label").pivot("Pooling Method", _ACC_COLS).agg(F.first("Accuracy"))
+    wide.write.partitionBy("Model").option("header", "true").csv(root)
+    schema = "Label INT, " + ", ".join(f"{c} DOUBLE" for c in _ACC_COLS)
+    return _comparison(compare_models({name: IO.read_csv(spark, f"{root}/Model={name}", schema) for name, _ in MODELS}))
+
+
 def _sql_model_ctes(tag: str, subset) -> list[tuple[str, str]]:
     ids = ", ".join(str(i) for i in subset)
     return [
@@ -127,6 +158,9 @@ SELECT Model, Label, Pooling, round(Accuracy, 6) AS Accuracy, round(min(Accuracy
   WHERE pm NOT IN ({', '.join(f"'{s}'" for s in SKIPPED_POOLING)}))""", *_MODEL_DEPS, extra=_ALL_MODEL_CTES)
 
 
+SQL["model_files_compare"] = SQL["model_compare"]
+
+
 @query("model_grid")
 def model_grid(spark, sf):
     """L1 + A13: every model's score stage is materialised once (read back on reruns);
@@ -292,6 +326,29 @@ def encode_udf(spark, sf):
                                              F.round("cosine_similarity", 6).alias("cosine_similarity"))
 
 
+@query("image_encode_scores")
+def image_encode_scores(spark, sf):
+    """K1, K3, K6: image bytes stored in a table -> decoder -> resize and crop -> encoder -> scores
+    of every image against every prompt.  The images are 8 x 16 with the picture in the middle."""
+    def as_file(batches):
+        for pdf in batches:
+            images = [np.pad(np.asarray(px, dtype=np.float64).reshape(8, 8), ((0, 0), (4, 4))) for px in pdf["px"]]
+            yield pd.DataFrame({"dicom_id": pdf["vec_id"], "content": [EN.npy_bytes(im) for im in images]})
+
+    path = IO.scratch_dir(spark, "images")
+    _pixels(spark, sf).select("vec_id", "px").mapInPandas(as_file, "dicom_id long, content binary").write.parquet(path)
+    vectors = EN.encode_images(spark.read.parquet(path), EN.flat_image_encoder(8))
+    s = score_library(vectors, I.prompts(spark, sf), ["dicom_id"], measures=(MAX_COSINE,))
+    return s.select("dicom_id", "label", F.round("cosine_similarity", 5).alias("cosine_similarity"))
+
+
+SQL["image_encode_scores"] = with_ctes("""
+SELECT e.vec_id AS dicom_id, p.label, round(max(list_dot_product(list_transform(v, lambda x: x / n), p.qn)), 5) AS cosine_similarity
+FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n
+      FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 4096) AS v FROM embeddings)) e CROSS JOIN pn p
+GROUP BY e.vec_id, p.label""", "pn")
+
+
 @query("decode_job")
 def decode_job(spark, sf):
     """K5 + A14 + A6: write every pixel array as a file, list and decode them back."""
