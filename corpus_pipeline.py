@@ -41,10 +41,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digest of their decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode_column(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode_column(coded.drop("text"), path, public_tokenizers.PATTERN)
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    # one pass encodes, decodes and digests, so a task holds one vocabulary; the text itself is not kept
+    coded = bpe.encode_column(docs.select("doc_id", "lang", "source", F.col("text").alias("ids")), path, public_tokenizers.PATTERN,
+                              text="ids", decoded_sha256="decoded_sha256")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -130,7 +130,7 @@ class PrefixBPE:
 class _Packed(dict):
     """Piece -> (ids as little-endian 32-bit integers); bounded, cleared when full."""
 
-    def __init__(self, bpe: PrefixBPE, most: int = 400_000):
+    def __init__(self, bpe: PrefixBPE, most: int = 250_000):
         super().__init__()
         self.bpe, self.most = bpe, most
 
@@ -174,20 +174,28 @@ def _worker(path: str, pattern: str):
 _loaded: dict = {}
 
 
-def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` as array<int> in column ``ids`` (replaced if present)."""
+def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
+                  decoded_sha256: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of ``text`` as array<int> in column ``ids`` and, if it is named, the
+    SHA-256 of the bytes that decoding them gives (columns of these names are replaced)."""
+    added = [ids, *([decoded_sha256] if decoded_sha256 else [])]
+
     def run(batches):
-        bpe, packed, _ = _worker(path, pattern)
+        bpe, packed, decode = _worker(path, pattern)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            out = [np.frombuffer(b"".join([packed[p] for p in bpe.find(t or "")]), "<i4") for t in texts]
-            kept = batch.drop_columns(["__text"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.list_(pa.int32()))],
-                                             [*kept.schema.names, ids])
-
-    own = docs.drop(ids)
-    schema = schema_with(own, f"`{ids}` array<int>")
-    return own.withColumn("__text", F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                out = [np.frombuffer(b"".join([packed[p] for p in bpe.find(t.as_py() or "")]), "<i4") for t in some.column("__text")]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))]
+                if decoded_sha256:
+                    lists.append(pa.array([hashlib.sha256(decode(x.astype(np.int64))).hexdigest() for x in out]))
+                kept = some.drop_columns(["__text"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, *lists], [*kept.schema.names, *added])
+
+    own = docs.withColumn("__text", F.col(f"`{text}`").cast("string")).drop(*added)
+    schema = schema_with(own.drop("__text"), ", ".join([f"`{ids}` array<int>", *([f"`{decoded_sha256}` string"] if decoded_sha256 else [])]))
+    return own.mapInArrow(run, schema)
 
 
 def decode_column(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
