@@ -121,15 +121,21 @@ def fit_rows(rows: list[tuple[list[float], np.ndarray]], categories: list[str],
     """Fit the chain on (labels, features) of a bounded number of documents."""
     n = len(rows)
     y = np.array([r[0] for r in rows], np.float32).reshape(n, len(categories))
-    owner = np.repeat(np.arange(n), [len(r[1]) for r in rows]) if n else np.zeros(0, int)
-    flat = np.concatenate([r[1] for r in rows]) if n else np.zeros(0, np.int64)
-    names, flat, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r[1]) for r in rows]) if n else np.zeros(0, np.int32)
+    flat = np.concatenate([r[1] for r in rows]).astype(np.int32) if n else np.zeros(0, np.int32)
+    del rows
+    names, seen = np.unique(flat, return_counts=True)
+    often = seen > 2  # rarer features are never chosen
+    names, seen = names[often], seen[often]
+    place = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+    kept = names[place] == flat if len(names) else np.zeros(len(flat), bool)
+    flat, owner = place[kept].astype(np.int32), owner[kept]
+    del place, kept
     chosen = np.zeros(len(names), bool)
     for k in range(len(categories)):  # features by how far their share among the positives is from chance
         positive = np.bincount(flat, y[owner, k], len(names)) if n else seen
         rate = y[:, k].mean() if n else 0.0
         score = np.abs(positive - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
-        score[seen < 3] = 0
         best = np.argsort(-score, kind="stable")[:per_category]
         chosen[best[score[best] > 2]] = True
     column = np.cumsum(chosen) - 1
@@ -171,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int =
     rows = (pairs.mapInArrow(run, "id long, labels array<double>, features binary").groupBy("id")
             .agg(F.max(F.struct("features", "labels")).alias("r")).select("id", "r.*").collect())
     rows.sort(key=lambda r: hash((r.id * 2654435761) % 2**31))
-    return fit_rows([(r.labels, np.frombuffer(r.features, "<i4").astype(np.int64)) for r in rows], categories)
+    return fit_rows([(r.labels, np.frombuffer(r.features, "<i4")) for r in rows], categories)
 
 
 def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
