@@ -17,7 +17,7 @@ def _large(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (both.join(least, "u").where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
 
 
 def _small(e: DataFrame) -> DataFrame:

@@ -275,14 +275,16 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def join_block(keys: list[int], classes: list[int], sets: list[np.ndarray], t: Threshold,
+def join_block(classes: list[int], sets: list[np.ndarray], t: Threshold,
                probes: set[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join classes of one block: a spanning forest over them, each link verified.
-    With ``probes``, only pairs that hold one of these classes are looked at."""
+    """Of the classes of one block (a class per set; sets of a class are connected already) those that
+    links connect to a smaller one: (class, smallest class it reaches).  Every link is verified, and
+    one that connects nothing new is not looked at.  With ``probes``, only pairs that hold one of
+    these classes are."""
     if len(sets) < 2:
         return []
     tree = SignatureTree.over(sets)
-    keys, classes, sets = ([v[k] for k in tree.order] for v in (keys, classes, sets))
+    classes, sets = ([v[k] for k in tree.order] for v in (classes, sets))
     above = {c: c for c in classes}
 
     def root(c):
@@ -290,7 +292,6 @@ def join_block(keys: list[int], classes: list[int], sets: list[np.ndarray], t: T
             above[c] = c = above[above[c]]
         return c
 
-    links = []
     for x, y in (xy for a, b in tree.pairs(t) for xy in zip(a.tolist(), b.tolist())):
         if probes is not None and classes[x] not in probes and classes[y] not in probes:
             continue
@@ -299,8 +300,7 @@ def join_block(keys: list[int], classes: list[int], sets: list[np.ndarray], t: T
             s, r = sets[x], sets[y]
             if t.links(len(np.intersect1d(s, r, assume_unique=True)), len(s), len(r)):
                 above[max(a, b)] = min(a, b)
-                links.append((keys[x], keys[y]))
-    return links
+    return [(c, root(c)) for c in above if root(c) != c]
 
 
 def _by_group(batches, columns: int):
@@ -319,10 +319,13 @@ def _by_group(batches, columns: int):
 
 
 _SHORT_BITS, _SHORT_DEEP = 2048, 8
+#: Candidate groups of up to so many sets are split by short bitmaps first; larger ones go on as they are.
+REFINED = 4096
 
 
 def _refine(rows: DataFrame, t: Threshold) -> DataFrame:
-    """Edges that span the possible links inside every grp of (grp, c, n, spare, short)."""
+    """(c, grp): the parts that possible links hold together inside every grp of (grp, c, n, spare,
+    short), named by one of their sets; sets without a possible partner are left out."""
     def run(batches):
         for group in _by_group(batches, 1):
             own = list({r[1]: r for r in group}.values())
@@ -332,27 +335,28 @@ def _refine(rows: DataFrame, t: Threshold) -> DataFrame:
             for a, b in tree.pairs(t):
                 label = join_labels(label, a, b)
             c = c[tree.order]
-            other = np.flatnonzero(label != np.arange(len(own)))
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(c[other]), pa.array(c[label[other]])], ["a", "b"])
+            kept = np.bincount(label, minlength=len(label))[label] > 1
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[kept]), pa.array(c[label[kept]])], ["c", "grp"])
 
     return (rows.select("grp", "c", "n", "spare", "short").repartition("grp").sortWithinPartitions("grp")
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(run, "c long, grp long"))
 
 
 def _join_groups(rows: DataFrame, t: Threshold) -> DataFrame:
-    """Links found inside every (grp, block) of (grp, block, c, cls, probe, tokens)."""
+    """(blocks, a, b): the classes a that links inside a (grp, block) connect to a smaller class b, of
+    (grp, block, blocks, c, cls, probe, tokens)."""
     def run(batches):
         for group in _by_group(batches, 2):
-            seen = {r[2]: r for r in group}  # copies of a set come once
-            own = list(seen.values())
-            probes = {r[3] for r in own if r[4]}
-            links = join_block([r[2] for r in own], [r[3] for r in own], [np.frombuffer(r[5], U64) for r in own], t, probes)
+            own = list({r[3]: r for r in group}.values())  # copies of a set come once
+            probes = {r[4] for r in own if r[5]}
+            links = join_block([r[4] for r in own], [np.frombuffer(r[6], U64) for r in own], t, probes)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([own[0][2]] * len(links), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*links))],
+                                                 ["blocks", "a", "b"])
 
-    return (rows.select("grp", "block", "c", "cls", "probe", "tokens").repartition("grp", "block")
-            .sortWithinPartitions("grp", "block").mapInArrow(run, "a long, b long"))
+    return (rows.select("grp", "block", F.col("blocks").cast("long").alias("blocks"), "c", "cls", "probe", "tokens")
+            .repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(run, "blocks long, a long, b long"))
 
 
 def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -385,8 +389,8 @@ def _cross_blocks(members: DataFrame, keys: DataFrame, links: DataFrame, found:
     visits = keys.where("probe").join(at, ["grp", "key"]).where("block <> other").select("c", "other").distinct()
     carried = rest.where("cls <> top").join(visits, "c")
     stay = rest.withColumn("probe", F.col("cls") != F.col("top"))
-    both = stay.select("grp", "block", "c", "cls", "probe", "tokens").unionByName(
-        carried.select("grp", F.col("other").alias("block"), "c", "cls", F.lit(True).alias("probe"), "tokens"))
+    both = stay.select("grp", "block", "blocks", "c", "cls", "probe", "tokens").unionByName(
+        carried.select("grp", F.col("other").alias("block"), "blocks", "c", "cls", F.lit(True).alias("probe"), "tokens"))
     return links.unionByName(cut(_join_groups(both, t), "cross"))
 
 
@@ -447,27 +451,30 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
     schema = schema_with(texts.drop("__text"), "n_shingles bigint, c bigint, keys array<bigint>, tokens binary, short binary, spare bigint")
     sets = cut(texts.mapInArrow(sets_of, schema), "sets")
     held = sets.where("tokens IS NOT NULL")
-    keys = cut(held.select("c", F.explode("keys").alias("key")).join(shared, "key").distinct(), "keys")
-    edges = keys.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
+    keys = cut(held.select("c", F.explode("keys").alias("key")).join(shared, "key"), "keys")
+    edges = keys.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))
     groups = components(edges).select(F.col("node").alias("c"), F.col("component").alias("grp"))
     counts = groups.groupBy("grp").agg(F.count("*").alias("members"))
     groups = cut(groups.join(counts, "grp"), "candidates")
-    few = groups.where(F.col("members") <= 8 * block)
-    possible = _refine(held.select("c", F.col("n_shingles").alias("n"), "spare", "short").join(few, "c"), t).unionByName(
-        groups.where((F.col("members") > 8 * block) & (F.col("c") != F.col("grp"))).select(F.col("c").alias("a"), F.col("grp").alias("b")))
-    groups = components(possible).select(F.col("node").alias("c"), F.col("component").alias("grp"))
+    few = groups.where(F.col("members") <= REFINED)
+    refined = _refine(held.select("c", F.col("n_shingles").alias("n"), "spare", "short").join(few, "c"), t)
+    groups = cut(refined.unionByName(groups.where(F.col("members") > REFINED).select("c", "grp")), "refined")
     weights = held.groupBy("c").agg(F.max("n_shingles").alias("n"))
     sizes = (groups.join(weights, "c").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
              .select("grp", F.ceil(F.greatest(F.col("members") / block, F.col("n") / (4 << 20))).alias("blocks")))
     placed = cut(groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks"))), "groups")
     members = held.select("c", "tokens").join(placed, "c").withColumns({"cls": F.col("c"), "probe": F.lit(True)})
     links = cut(_join_groups(members, t), "links")
+    # the links of a group of one block are whole: its classes are known
+    found = links.where("blocks = 1").select(F.col("a").alias("c"), F.col("b").alias("component"))
     if not placed.where("blocks > 1").isEmpty():
+        links = links.where("blocks > 1")
         links = _cross_blocks(members, keys.drop("hub"), links, components(links), t, block)
-    return sets.drop("keys", "tokens", "short", "spare"), components(links).select(F.col("node").alias("c"), "component")
+        found = found.unionByName(components(links).select(F.col("node").alias("c"), "component"))
+    return sets.drop("keys", "tokens", "short", "spare"), found
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 2048) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id of its
     component, itself included).  See ``classes``; a row without shingles is its own component; null
     ids are left out of the smallest id, a component of null ids only has a null id; extra columns
@@ -480,7 +487,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     return full.unionByName(joined.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 512) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 2048) -> DataFrame:
     """``docs`` with one row of every component: the one with the smallest doc_id (a null id comes
     last, of rows that share it any one).  Rows without shingles all stay."""
     own, names = set_apart(docs, "doc_id", "text")
