@@ -237,18 +237,52 @@ def mean_vector(df: DataFrame, group_cols: list[str], vec_col: str,
             .select(*group_cols, vector_to_array("_m").alias(out_col)))
 
 
+def _arrow_candidates(library: DataFrame, block: PromptBlock, id_cols: list[str], emb_col: str, measure: str,
+                      k: int, slack: float, label_type: T.DataType) -> DataFrame:
+    """Per Arrow batch and label the rows that can be among the k best: those within ``slack`` of the
+    batch's k-th score (missing scores only if a batch has fewer than k)."""
+    bc = library.sparkSession.sparkContext.broadcast(block)
+    schema = T.StructType([library.schema[c] for c in id_cols] + [
+        T.StructField("label", label_type, True), T.StructField("cosine_similarity", T.DoubleType(), True)])
+
+    def best(batches):
+        b = bc.value
+        for pdf in batches:
+            V = np.stack(pdf[emb_col].to_numpy()).astype(np.float64)
+            M = _measure_matrix(b, V @ b.qn.T, V, measure)
+            parts = []
+            for j, label in enumerate(b.labels):
+                x = np.where(np.isnan(M[:, j]), -np.inf, M[:, j])
+                least = np.partition(x, len(x) - k)[len(x) - k] if len(x) > k else -np.inf
+                at = np.flatnonzero(x >= least - slack)
+                part = pdf[id_cols].iloc[at].copy()
+                part["label"] = label
+                part["cosine_similarity"] = pd.Series(M[at, j], index=part.index).where(~np.isnan(M[at, j]), None)
+                parts.append(part)
+            yield pd.concat(parts, ignore_index=True)
+
+    return library.select(*id_cols, emb_col).mapInPandas(best, schema)
+
+
 def search_topk(library: DataFrame, prompts: DataFrame, id_cols: list[str], k: int,
                 tie_col: str, measure: str = "cosine_similarity_1", digits: int | None = None,
-                **kw) -> DataFrame:
+                emb_col: str = "embedding", label_col: str = "label", prompt_col: str = "prompt_id",
+                vec_col: str = "qvec", max_prompts: int = MAX_PROMPTS_PER_BLOCK) -> DataFrame:
     """For each query label, the k best images (ties to the smaller ``tie_col``).
 
     ``digits`` rounds the score before ranking (ties are then decided on the rounded score).
-    A literal k plans as a partial ``WindowGroupLimit``: each task keeps k rows per label.
+    Every Arrow batch sends only what can be among the k best; a literal k then plans as a
+    partial ``WindowGroupLimit``.
     """
-    s = score_library(library, prompts, id_cols, measures=(measure,), **kw)
+    lib = library.where(F.col(emb_col).isNotNull())
+    slack = 0.0 if digits is None else 10.0 ** -digits
+    parts = [_arrow_candidates(lib, block, id_cols, emb_col, measure, int(k), slack, prompts.schema[label_col].dataType)
+             for block in prompt_blocks(prompts, label_col, prompt_col, vec_col, max_prompts)]
+    if not parts:
+        raise ValueError("empty prompt table")
+    s = reduce(DataFrame.unionByName, parts)
     if digits is not None:
         s = s.withColumn("cosine_similarity", F.round("cosine_similarity", digits))
     w = Window.partitionBy("label").orderBy(F.col("cosine_similarity").desc_nulls_last(),
                                             F.col(tie_col).asc())
-    return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(int(k)))
-            .drop("embedding_type"))
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(int(k)))
