@@ -2,7 +2,7 @@
 
 Toxic documents go, of near copies one stays, byte strings that repeat go, sources are mixed to
 their weights, and what is left is encoded.  All stages but the last return the columns of
-documents.
+documents.  Every stage gets a written table, so it begins by removing what earlier ones left.
 """
 
 from __future__ import annotations
@@ -12,11 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecsight.llm import bpe, mixing, shingles, suffixes, toxicity
+from vecsight.llm.common import forget_tables, tables_made
 from vecsight.sources.files import scratch_dir
 
 
+_begun: list[int] = []
+
+
+def _begin(spark: SparkSession, first: bool = False) -> None:
+    """Remove the scratch tables of the stage before; tables of other queries stay."""
+    if _begun and not first:
+        forget_tables(spark, _begun[-1])
+    _begun[:] = [tables_made()]
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
+    _begin(spark, first=True)
     labels, categories = toxicity.labelled(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = toxicity.predict(docs, toxicity.fit(docs, labels, categories))
     return judged.where(~F.col("toxic")).select(*[f"`{c}`" for c in docs.columns])
@@ -24,22 +36,26 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    _begin(spark)
     return shingles.keep_one(docs, width=5, num=80, den=100)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 400-byte strings that start anywhere else."""
+    _begin(spark)
     left = suffixes.without_repeats(docs, length=400)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weight of their source takes them."""
+    _begin(spark)
     return mixing.mix(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digest of their decoded bytes."""
+    _begin(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     # one pass encodes, decodes and digests, so a task holds one vocabulary; the text itself is not kept
     coded = bpe.encode_column(docs.select("doc_id", "lang", "source", F.col("text").alias("ids")), path, public_tokenizers.PATTERN,

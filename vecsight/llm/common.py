@@ -54,9 +54,36 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     files that every executor sees, so a lost executor costs only its running tasks."""
     path = scratch_dir(df.sparkSession, f"llm-{tag}")
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def tables_made() -> int:
+    """How many tables ``cut`` has written so far."""
+    return len(_tables)
+
+
+def forget_tables(spark: SparkSession, since: int) -> None:
+    """Remove the tables that ``cut`` has written after the first ``since``.  Only for callers whose
+    results that read them are all written elsewhere, as those of pipeline stages are."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_tables) > since:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: A table of up to so many rows of one long is sent to every task (16 MB); larger ones are joined by a shuffle.
+FEW_ROWS = 2_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a narrow table, marked to be broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def keyed(df: DataFrame, tag: str) -> DataFrame:
     """``df`` with a unique long ``row_id``, written once so that every later stage sees the same ids."""
     return cut(df.withColumn("row_id", F.monotonically_increasing_id()), tag)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import U64, Fingerprints, cut, has_bit, mix, schema_with, set_apart, set_back, set_bits, text_pieces, word_spans
+from vecsight.llm.common import U64, Fingerprints, cut, few, has_bit, mix, schema_with, set_apart, set_back, set_bits, text_pieces, word_spans
 from vecsight.llm.components import components
 
 _STEPS = [U64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -456,8 +456,8 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
     groups = components(edges).select(F.col("node").alias("c"), F.col("component").alias("grp"))
     counts = groups.groupBy("grp").agg(F.count("*").alias("members"))
     groups = cut(groups.join(counts, "grp"), "candidates")
-    few = groups.where(F.col("members") <= REFINED)
-    refined = _refine(held.select("c", F.col("n_shingles").alias("n"), "spare", "short").join(few, "c"), t)
+    small = groups.where(F.col("members") <= REFINED)
+    refined = _refine(held.select("c", F.col("n_shingles").alias("n"), "spare", "short").join(small, "c"), t)
     groups = cut(refined.unionByName(groups.where(F.col("members") > REFINED).select("c", "grp")), "refined")
     weights = held.groupBy("c").agg(F.max("n_shingles").alias("n"))
     sizes = (groups.join(weights, "c").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
@@ -496,5 +496,5 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, blo
     joined = (rows.where("n_shingles > 0").select("__row", "doc_id", "c").join(found, "c", "left")
               .select("__row", "doc_id", F.coalesce("component", "c").alias("cls")))
     first = joined.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("first"))
-    gone = joined.join(first, "cls").where("__row <> first").select("__row")
+    gone = few(cut(joined.join(first, "cls").where("__row <> first").select("__row"), "gone"))
     return set_back(rows.join(gone, "__row", "left_anti"), names, docs.columns)

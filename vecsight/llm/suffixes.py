@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import U64, Fingerprints, cut, has_bit, mix, schema_with, set_apart, set_back, set_bits, text_pieces
+from vecsight.llm.common import U64, Fingerprints, cut, few, has_bit, mix, schema_with, set_apart, set_back, set_bits, text_pieces
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -265,8 +265,12 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = 400) -> D
     others = [n for n in names if n != text]
     rows, copies, found = find_repeats(own, others, text, length, all_texts=True)
     whole = (F.col("copies") > 1) & (F.col("__n") >= length)
-    joined = (rows.select(*others, "__n", "__c", "__data").join(copies, "__c", "left")
-              .join(found.select("__c", "starts", "ends"), "__c", "left")
+    rows = rows.join(few(cut(copies, "copies")), "__c", "left")
+    # a text of which a task has scanned an equal one carries no positions: it is in ``copies``, or whole
+    plain = rows.where(F.size("__at") == 0).withColumns({"starts": F.lit(None).cast("array<int>"), "ends": F.lit(None).cast("array<int>")})
+    cut_up = rows.where(F.size("__at") > 0).join(found.select("__c", "starts", "ends"), "__c", "left")
+    columns = [*others, "__n", "__data", "copies", "starts", "ends"]
+    joined = (plain.select(*columns).unionByName(cut_up.select(*columns))
               .select(*others, "__data", F.when(whole, F.array(F.lit(0))).otherwise(F.col("starts")).alias("__lo"),
                       F.when(whole, F.array(F.col("__n").cast("int"))).otherwise(F.col("ends")).alias("__hi")))
 
