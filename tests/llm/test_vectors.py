@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,27 @@ def test_dedup_against_all_pairs(spark, group, low, leaf):
     assert all(g[1] <= w[1] for g, w in zip(got, want)) and (found < there or got == want)
 
 
+def test_dedup_of_a_large_diffuse_cluster(spark, tmp_path):
+    """A third of 60,000 vectors at cosines of about 0.92, leaves of 2,000: no cut may part them."""
+    rng = np.random.default_rng(5)
+    n, d, k = 60_000, 64, 20_000
+    v = rng.standard_normal((n, d))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    centre = v[-1]
+    v[:k] -= np.outer(v[:k] @ centre, centre)
+    v[:k] = math.sqrt(0.92) * centre + math.sqrt(0.08) * v[:k] / np.linalg.norm(v[:k], axis=1)[:, None]
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(v)}), tmp_path / "v.parquet", row_group_size=10_000)
+    got = forest.near_duplicates(spark.read.parquet(f"{tmp_path}/v.parquet")).toPandas().sort_values("vec_id").n_links.to_numpy()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = np.concatenate([(u[i:i + 2000] @ u.T >= 0.9).sum(1) - 1 for i in range(0, n, 2000)])
+    print("recall of links", got.sum() / want.sum())
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum()
+
+
+def test_deeper_trees_are_more():
+    assert forest.trees_for(3, 0.12, math.sqrt(0.2)) == 8 < forest.trees_for(15, 0.12, math.sqrt(0.2)) < forest.trees_for(20, 0.12, math.sqrt(0.2))
+
+
 def test_dedup_query_against_all_pairs(spark):
     p = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     got = sorted(tuple(r) for r in queries.op4_embedding_dedup(spark, SF).collect())

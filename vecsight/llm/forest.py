@@ -4,9 +4,12 @@ Equal vectors are one node with a number of copies.  Every tree splits its nodes
 each level has a random direction, a node is cut at the median of its vectors' projections (an
 aggregate over all of them), and vectors close to the cut go to both sides.  Nodes of at most
 ``leaf`` vectors are leaves.  A direction that would send most of a node to
-both sides is passed over.  Vectors are compared within leaves, in double precision; a node that
-no cut takes apart (one tight cluster) is compared in blocks, all pairs of blocks, so
-no pair of a leaf is left out.
+both sides is passed over, and so is one along which the node is hardly wider than a pair at the
+threshold: cuts of such a cluster would separate its links.  Vectors are compared within leaves, in
+double precision; a node that no cut takes apart (a cluster) is compared in blocks, all pairs of
+blocks, so no pair of a leaf is left out.  Other trees find nearly the same cluster again: what
+most of its vectors were compared in before is not compared again.  The deeper the trees, the more
+of them are grown, so that the links found do not become fewer with the size of the table.
 
 A pair that meets in several leaves counts in the first of them: every vector carries the list of
 its leaves.  So leaves send counts and a spanning forest of their links, never their pairs.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import cut
+from vecsight.llm.common import cut, few
 from vecsight.llm.components import components
 from vecsight.llm.vectors import groups, matrix, packed
 
@@ -54,9 +57,22 @@ def _project(nodes: DataFrame, trees: int, levels: int, seed: int) -> DataFrame:
     return nodes.select("node", "dim", "raw").mapInArrow(run, "node long, tree int, dim int, along array<float>")
 
 
-def grow(nodes: DataFrame, trees: int, leaf: int, spill: float, seed: int = 0) -> DataFrame:
-    """(node, leaves): the leaves a vector lies in, as (id, size) sorted by id; ids rise by tree."""
-    levels = math.ceil(1.7 * math.log2(max(2, nodes.count() / leaf))) + 4
+def trees_for(depth: float, spill: float, gap: float, least: int = 8, loss: float = 0.005) -> int:
+    """So many trees that a pair at the threshold, ``gap`` apart, is parted in all of them with a chance
+    of at most ``loss``, if every tree cuts ``depth`` times and spreads vectors as random ones."""
+    c = 2 * spill / gap
+    over = 2 * gap * (math.exp(-c * c / 2) / math.sqrt(2 * math.pi) - c * math.erfc(c / math.sqrt(2)) / 2)
+    parted = 1 - (1 - min(0.5, over / math.sqrt(2 * math.pi))) ** depth
+    return max(least, math.ceil(math.log(loss) / math.log(parted)) if parted > 0 else least)
+
+
+def grow(nodes: DataFrame, trees: int, leaf: int, spill: float, gap: float, seed: int = 0) -> DataFrame:
+    """(node, leaves): the leaves a vector lies in, as (id, size) sorted by id; ids rise by tree.
+    ``gap`` is how far apart the vectors of a pair at the threshold lie, ``trees`` the least number."""
+    halvings = math.log2(max(2, nodes.count() / leaf))
+    levels = math.ceil(1.7 * halvings) + 4
+    trees = trees_for(1.2 * halvings, spill, gap, trees)
+    tight = max(spill, 0.75 * gap)  # p70 - p50 of a cluster whose own pairs lie 1.4 to 2 gaps apart
     state = _project(nodes, trees, levels, seed).withColumn("path", F.lit(1).cast("long"))
     done = []
     for level in range(levels + 1):
@@ -65,13 +81,13 @@ def grow(nodes: DataFrame, trees: int, leaf: int, spill: float, seed: int = 0) -
         points = F.percentile_approx(x, [0.3, 0.5, 0.7], 1000)
         cuts = state.groupBy("tree", "dim", "path").agg(F.count("*").alias("n"), points.alias("p")).select(
             "tree", "dim", "path", "n", F.col("p")[1].alias("at"),
-            ((F.col("p")[2] > F.col("p")[1] + spill) & (F.col("p")[0] < F.col("p")[1] - spill)).alias("apart"))
+            ((F.col("p")[2] > F.col("p")[1] + tight) & (F.col("p")[0] < F.col("p")[1] - tight)).alias("apart"))
         placed = state.join(cuts, ["tree", "dim", "path"])
         ends = F.lit(True) if level == levels else F.col("n") <= leaf
         done.append(placed.where(ends).select("node", (F.col("tree") * F.lit(_TREE) + F.col("path")).alias("leaf"), "n"))
         if level == levels:
             break
-        # a direction that would send most vectors to both sides is passed over
+        # a direction that would send most vectors to both sides or part links is passed over
         sides = F.array_compact(F.array(F.when(~F.col("apart") | (x <= F.col("at") + spill), F.col("path") * 2),
                                         F.when(F.col("apart") & (x > F.col("at") - spill), F.col("path") * 2 + 1)))
         state = placed.where(~ends).select("node", "tree", "dim", "along", F.explode(sides).alias("path"))
@@ -125,11 +141,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, trees: int = 8, leaf
     rows = cut(packed(vectors), "vectors")
     nodes = cut(rows.where("raw IS NOT NULL").groupBy("raw", "dim").agg(F.count("*").alias("copies"))
                 .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    held = nodes.join(grow(nodes, trees, leaf, spill, seed), "node")
-    blocks = F.ceil(F.col("at.n") / leaf)
-    spread = (held.select("node", "raw", "copies", F.col("leaves.leaf").alias("leaves"), F.explode("leaves").alias("at"))
-              .where("at.n > 1").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-              .withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    leaves = cut(grow(nodes, trees, leaf, spill, math.sqrt(2 * (1 - least)), seed), "leaves")
+    # a vector's home is its first leaf of several blocks; there it is compared with all others
+    home = F.get(F.filter("leaves", lambda x: x["n"] > leaf), F.lit(0))["leaf"]
+    before = F.when(F.col("home") < F.col("at.leaf"), F.col("home"))
+    homes = (leaves.select(home.alias("home"), F.explode("leaves").alias("at")).where(F.col("at.n") > leaf)
+             .groupBy(F.col("at.leaf").alias("in"), before.alias("known")).agg(F.count("*").alias("m"))
+             .where("known IS NOT NULL").groupBy("in").agg(F.max(F.struct("m", "known")).alias("most")))
+    zero = F.lit(0).cast("long")
+    met = F.coalesce(F.col("home") == F.col("most.known"), F.lit(False))  # not compared among themselves again
+    old = F.coalesce(F.ceil(F.col("most.m") / leaf), zero)
+    new = F.ceil((F.col("at.n") - F.coalesce("most.m", zero)) / leaf)
+    own = F.pmod(F.xxhash64("node"), F.when(met, old).otherwise(new))
+    spread = (nodes.join(leaves, "node")
+              .select("node", "raw", "copies", home.alias("home"), F.col("leaves.leaf").alias("leaves"), F.explode("leaves").alias("at"))
+              .where("at.n > 1").join(few(homes), F.col("at.leaf") == F.col("in"), "left").where(new > 0)
+              .withColumn("block", F.when(met, new + own).otherwise(own))
+              .withColumn("mate", F.explode(F.sequence(zero, F.when(met, new).otherwise(new + old) - 1)))
               .select(F.col("at.leaf").alias("leaf"), F.least("block", "mate").alias("one"), F.greatest("block", "mate").alias("other"),
                       "block", "node", "raw", "copies", "leaves"))
     found = cut(spread.repartition("leaf", "one", "other").sortWithinPartitions("leaf", "one", "other")
