@@ -90,6 +90,16 @@ def test_importance_against_plain_counts(spark):
     assert again == out
 
 
+def test_importance_reads_all_labels(spark):
+    n = 60_000
+    texts = [f"w{i % 11} v{i % 13}" for i in range(n)]
+    good = [i % 7 == 0 for i in range(n)]
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 11, ' v', id % 13) AS text")
+    out = importance.resample(docs, spark.range(n).selectExpr("id AS doc_id", "int(id % 7 = 0) AS quality")).orderBy("doc_id").toPandas()
+    want, _ = plain_weights(texts, good, importance.BUCKETS, 10_000.0)
+    assert out.kept.sum() == sum(good) and np.allclose(out.log_weight, want, atol=1e-12)
+
+
 def test_importance_noise_is_gumbel(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "'same words' AS text")
     keys = np.array([r.key for r in importance.weigh(docs, np.zeros(importance.BUCKETS)).collect()])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import U64, Fingerprints, add_up, cut, kth_largest, mix, schema_with, text_pieces, word_spans
+from vecsight.llm.common import U64, Fingerprints, add_up, cut, few, kth_largest, mix, schema_with, text_pieces, word_spans
 
 BUCKETS = 1 << 16
 _SLICES = 8
@@ -95,17 +95,16 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, prior: float = 10_000.0,
-             seed: int = 0, labelled: int = 50_000) -> DataFrame:
+             seed: int = 0) -> DataFrame:
     """One row per document: log_weight, key and whether the document is ``kept``.
 
     ``labels`` (doc_id, quality) names target documents by quality 1.  k is ``share`` of all
-    documents; by default the share of target documents among the labelled ones.  The target
-    model is fitted on at most ``labelled`` labelled ids, taken in hash order, so that they can be
-    sent to every task; raw counts and weights cover all documents.
+    documents; by default the share of target documents among the labelled ones.  All labels
+    count; the ids of target documents are sent to every task if counted to be few, else joined by
+    a shuffle.
     """
-    marks = (labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("__good"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
-    marked = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id", "left")
+    marks = (labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("__good")))
+    marked = docs.select("doc_id", "text").join(few(marks.where("__good")), "doc_id", "left")
     raw, target = counts(marked, "__good")
     if share is None:
         n, good = marks.where("__good IS NOT NULL").agg(F.count("*"), F.sum(F.col("__good").cast("long"))).first()
