@@ -31,6 +31,13 @@ def test_query_equals_sql_on_edge_cases(spark, tables):
                                                  (10, "revisit", 0), (0, "response", None)}
 
 
+def test_headers_of_any_length(spark, tables):
+    rnd = random.Random(2)
+    url = "".join(chr(rnd.randrange(33, 127)) for _ in range(2 << 20))
+    folder, con = tables(pages=spark.createDataFrame([(1, url, "text"), (2, "u", "more")], "page_id long, url string, html string"))
+    assert sorted(map(tuple, queries.op1_warc(spark, folder).collect())) == sorted(con.sql(queries.OP1_SQL).fetchall())
+
+
 def test_empty_table(spark, tables):
     folder, _ = tables(pages=spark.createDataFrame([], "page_id long, url string, html string"))
     assert queries.op1_warc(spark, folder).collect() == []

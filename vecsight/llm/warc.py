@@ -9,8 +9,8 @@ protocol thus holds for the archives, on any store Spark writes to.
 Reader: files are listed by Spark and cut into byte ranges, one task row each.  A task scans its
 range for the gzip magic, validates every candidate by decoding it until the record's headers
 are complete, and owns the records whose member starts inside its range, reading on past the end
-of the range to finish the last one.  A candidate that does not decode to record headers is
-skipped; after a record the scan goes on behind its member.
+of the range to finish the last one.  A candidate that does not decode to record headers, however
+long, is skipped; after a record the scan goes on behind its member.
 
 Defined results: a null payload is written as an empty one, a null uri or id as no such header;
 line breaks and other control characters in header values are percent-encoded.  Equal payloads
@@ -107,28 +107,29 @@ class _Bytes:
 
 def _decode(window: _Bytes, at: int) -> tuple[bytes, int] | None:
     """The record that starts at ``at`` and the end of its member, or None if none starts there."""
-    unpack, parts, pos, proven = zlib.decompressobj(31), [], at, False
+    unpack, head, parts, pos, proven = zlib.decompressobj(31), bytearray(), [], at, False
     while not unpack.eof:
         window.upto(pos + 65536)
         chunk = window.held[pos - window.base:pos - window.base + 65536]
         if not chunk:
             return None
         try:
-            parts.append(unpack.decompress(chunk))
+            data = unpack.decompress(chunk)
         except zlib.error:
             return None
         pos += len(chunk)
         if not proven:
-            head = b"".join(parts)
-            parts = [head]
+            seen = len(head)
+            head += data
             if head[:7] != b"WARC/1."[:len(head)]:
                 return None
-            proven = b"\r\n\r\n" in head
-            if not proven and (unpack.eof or len(head) > 1 << 20):
+            proven = head.find(b"\r\n\r\n", max(0, seen - 3)) >= 0
+            if not proven and unpack.eof:
                 return None
         else:
+            parts.append(data)
             window.forget(pos)
-    return b"".join(parts), pos - len(unpack.unused_data)
+    return b"".join([head, *parts]), pos - len(unpack.unused_data)
 
 
 def _row_id(headers: dict, name: str) -> int | None:
