@@ -7,9 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from vecsight.session import local_session  # noqa: E402
 
-SF1 = "/root/testdata/sf0.001"
-SF2 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

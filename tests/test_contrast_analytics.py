@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF1
+from data_dirs import SF1
 from vecsight.operators import analytics as AN
 from vecsight.operators import contrast as CT
 from vecsight.sources.tables import table

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF1
+from data_dirs import SF1
 from vecsight.operators import encoders as EN
 from vecsight.operators import manifest as MF
 from vecsight.sources import files as IO

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF1
+from data_dirs import SF1
 from vecsight.sources.tables import TABLES
 
 SQL = E.oracle_sql()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF1
+from data_dirs import SF1
 from vecsight.operators import contrast as CT
 from vecsight.operators import manifest as MF
 from vecsight.plans import inputs as I

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF1
+from data_dirs import SF1
 from vecsight.constants import ALL_MEASURES
 from vecsight.operators.scoring import mean_vector, score_library
 from vecsight.plans import inputs as I

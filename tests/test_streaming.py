@@ -1,6 +1,6 @@
 """The scoring operator over a file stream gives the batch result."""
 
-from conftest import SF1
+from data_dirs import SF1
 from vecsight.plans import inputs as I
 from vecsight.sources import files as IO
 from vecsight.streaming.scoring import library_stream, start_scoring
