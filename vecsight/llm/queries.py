@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsight.llm import ann, bpe, forest, importance, maintext, mixing, shingles, suffixes, toxicity, warc
+from vecsight.llm import ann, bpe, forest, importance, maintext, mixing, runs, shingles, suffixes, toxicity, warc
 from vecsight.llm.common import table
 from vecsight.sources.files import scratch_dir
 
@@ -127,7 +127,26 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words, and digests of them and of the text without them.
+
+    Of a document whose id has a CRC-32 divisible by 10, the words from number a on are first
+    replaced by repetitions of the p words from a.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.where(drawn % 10 == 0).select("doc_id", F.expr(r"regexp_extract_all(coalesce(text, ''), '([^\\x20\\x09-\\x0D]+)', 1)").alias("w"))
+    words = words.select("doc_id", "w", F.size("w").alias("n"), F.floor(drawn / 10).alias("g"))
+    words = words.withColumn("a", F.expr("cast(g % greatest(n, 1) as int)"))
+    words = words.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a))")
+    repeated = words.select("doc_id", F.array_join(again, " ").alias("text"))
+    rest = docs.where(F.coalesce(drawn % 10 != 0, F.lit(True)))
+    return runs.digests(runs.collapse_runs(rest.unionByName(repeated)))
+
+
 QUERIES = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_embedding_dedup": op4_embedding_dedup,
            "op5_importance": op5_importance, "op6_mixing": op6_mixing,
-           "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_learned_partitions": op10_learned_partitions}
+           "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_learned_partitions": op10_learned_partitions,
+           "op12_periodic_runs": op12_periodic_runs}
 SQL = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
