@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsight.llm import ann, bpe, forest, importance, maintext, mixing, runs, shingles, suffixes, toxicity, warc
+from vecsight.llm import ann, bpe, forest, importance, maintext, mixing, packing, phrases, runs, shingles, suffixes, toxicity, warc
 from vecsight.llm.common import table
 from vecsight.sources.files import scratch_dir
 
@@ -127,6 +127,14 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces of at most 1,024 with their place in as few sequences as it needs."""
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.PATTERN, end_id=2, capacity=1024)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests, capacity=1024)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic runs of every document's words, and digests of them and of the text without them.
 
@@ -145,8 +153,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.collapse_runs(rest.unionByName(repeated)))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language by the score of their weakest cut."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=10, share=50, top=2000)
+
+
 QUERIES = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_embedding_dedup": op4_embedding_dedup,
            "op5_importance": op5_importance, "op6_mixing": op6_mixing,
            "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_learned_partitions": op10_learned_partitions,
-           "op12_periodic_runs": op12_periodic_runs}
+           "op11_best_two_fit": op11_best_two_fit, "op12_periodic_runs": op12_periodic_runs, "op13_collocations": op13_collocations}
 SQL = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
