@@ -75,6 +75,17 @@ def forget_tables(spark: SparkSession, since: int) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Rows go to Python tasks in batches of at most ``most`` bytes (a longer row stands alone) from now
+    on in this session; a smaller limit that is set stays."""
+    have = int(spark.conf.get(_BATCH_BYTES).rstrip("b"))
+    if have > most:
+        spark.conf.set(_BATCH_BYTES, str(most))
+
+
 #: A table of up to so many rows of one long is sent to every task (16 MB); larger ones are joined by a shuffle.
 FEW_ROWS = 2_000_000
 

@@ -2,7 +2,7 @@
 
 1. Words are counted per language (Apriori's first level); those below the least count are out.
 2. Candidates.  A phrase can reach the least count only if its words do, and if the hash bucket of
-   each pair and triple in it does: one pass adds up bucket counts (2**26 buckets a level, each held
+   each pair and triple in it does: one pass adds up bucket counts (2**25 buckets a level, each held
    up to 15 only), packed as integers by range of buckets, so that reducers add arrays.  The second
    pass lists the sequences in the texts that pass both tests, by word keys; what is listed is safe
    (nothing that could reach the count is missing), not exact.
@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import Fingerprints, cut, has_bit, mix, set_bits, text_pieces
+from vecsight.llm.common import Fingerprints, cut, has_bit, mix, set_bits, small_batches, text_pieces
 
 #: Candidates of a shard: the most that is broadcast at once is about 40 bytes for each.
 SHARD = 1 << 21
-BUCKET_BITS = 26
+BUCKET_BITS = 25
 _RANGE = 1 << 20
 _HELD = 15
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,12 +79,12 @@ class Piece:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Piece, np.ndarray]]:
-    """Pieces of about 2 MB with the language of every row (as a number of this batch) and its names."""
+    """Pieces of about 0.7 MB with the language of every row (as a number of this batch) and its names."""
     for batch in batches:
         names = batch.column("lang").dictionary_encode()
         of_lang = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names.dictionary.to_pylist()], np.uint64)
         rows = of_lang[names.indices.to_numpy()] if len(of_lang) else np.empty(0, np.uint64)
-        for lo, hi, data, offsets in text_pieces(batch.column("text"), 2_000_000):
+        for lo, hi, data, offsets in text_pieces(batch.column("text")):
             piece = Piece(data, offsets, rows[lo:hi])
             if len(piece.starts):
                 yield piece, batch.column("lang").slice(lo, hi - lo)
@@ -362,9 +362,10 @@ def trie_counts(own: DataFrame, found: DataFrame, longest: int, shard: int = SHA
     parts = []
     for s in range(shards):
         mine = found.where(F.pmod(F.xxhash64(*names), F.lit(shards)) == s) if shards > 1 else found
-        built = cut(mine.repartition(1).mapInArrow(_built, ", ".join([*(f"{k} bigint" for k in names), "state int", "trie binary"])), "trie")
-        raw = built.where("trie is not null").select("trie").first()  # one row, bounded by ``shard``
-        trie = spark.sparkContext.broadcast(raw.trie)
+        built = cut(mine.repartition(1).mapInArrow(_built, ", ".join([*(f"{k} bigint" for k in names), "state int", "part int", "trie binary"])), "trie")
+        raw = built.where("part is not null").select("part", "trie").collect()  # bounded by ``shard``
+        trie = spark.sparkContext.broadcast(b"".join(bytes(r.trie) for r in sorted(raw, key=lambda r: r.part)))
+        del raw
         counts = cut(own.mapInArrow(_counter(trie, longest), "state int, n bigint").groupBy("state").agg(F.sum("n").alias("a")), "counts")
         trie.unpersist()
         parts.append(built.join(counts, "state").select(*names, "a"))
@@ -377,7 +378,8 @@ def trie_counts(own: DataFrame, found: DataFrame, longest: int, shard: int = SHA
 
 
 def _built(batches):
-    """One shard of candidates as a trie: its rows with their accepting states, the arrays in the first."""
+    """One shard of candidates as a trie: its rows with their accepting states, and rows with the
+    parts of the arrays."""
     got = pa.Table.from_batches(list(batches))
     if not got.num_rows:
         return
@@ -386,11 +388,14 @@ def _built(batches):
     head = np.array([len(trie.alphabet), trie.bits, len(trie.base)], np.int64)
     raw = b"".join(x.tobytes() for x in (head, trie.alphabet, trie.base, trie.check))
     columns = [got.column(c).combine_chunks() for c in got.column_names]
+    names = [*got.column_names, "state", "part", "trie"]
     for lo in range(0, got.num_rows, 100_000):
-        hi = min(lo + 100_000, got.num_rows)
-        blob = pa.array([raw if k == 0 and lo == 0 else None for k in range(hi - lo)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in columns], pa.array(accept[lo:hi].astype(np.int32)), blob],
-                                         [*got.column_names, "state", "trie"])
+        some = [c.slice(lo, 100_000) for c in columns]
+        n = len(some[0])
+        yield pa.RecordBatch.from_arrays([*some, pa.array(accept[lo:lo + n].astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+    for k, lo in enumerate(range(0, len(raw), 1 << 20)):
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, c.type) for c in columns], pa.nulls(1, pa.int32()), pa.array([k], pa.int32()),
+                                          pa.array([raw[lo:lo + (1 << 20)]], pa.binary())], names)
 
 
 def read_trie(raw: bytes) -> Trie:
@@ -419,6 +424,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     of a language; and (k1, k2, ..., a) of every phrase of 2 to ``longest`` words with a >= ``least``."""
     own = _apart(docs, text, lang)
     spark = docs.sparkSession
+    small_batches(spark)
     words = cut(word_counts(own).where((F.col("n") >= least) | F.col("word").isNull()), "words")
     frequent = spark.sparkContext.broadcast(set_bits(words.where("word is not null").select("key")))
     buckets = spark.sparkContext.broadcast(bucket_bits(own, frequent, longest, least))
