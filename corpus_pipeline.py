@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecsight.llm import bpe, mixing, shingles, suffixes, toxicity
-from vecsight.llm.common import forget_tables, tables_made
+from vecsight.llm.common import forget_tables, small_batches, tables_made
 from vecsight.sources.files import scratch_dir
 
 
@@ -20,7 +20,9 @@ _begun: list[int] = []
 
 
 def _begin(spark: SparkSession, first: bool = False) -> None:
-    """Remove the scratch tables of the stage before; tables of other queries stay."""
+    """Remove the scratch tables of the stage before (tables of other queries stay); texts go to tasks
+    in batches of bounded size."""
+    small_batches(spark)
     if _begun and not first:
         forget_tables(spark, _begun[-1])
     _begun[:] = [tables_made()]
