@@ -81,7 +81,7 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Rows go to Python tasks in batches of at most ``most`` bytes (a longer row stands alone) from now
     on in this session; a smaller limit that is set stays."""
-    have = int(spark.conf.get(_BATCH_BYTES).rstrip("b"))
+    have = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES))
     if have > most:
         spark.conf.set(_BATCH_BYTES, str(most))
 
