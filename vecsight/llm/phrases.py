@@ -209,12 +209,13 @@ class Trie:
     """A double array: from state s the symbol c leads to t = base[s] + c if check[t] == s.  A word
     is two symbols, the upper and lower half of its number (from 1) in the alphabet."""
 
-    def __init__(self, alphabet: np.ndarray, bits: int, base: np.ndarray, check: np.ndarray):
+    def __init__(self, alphabet: np.ndarray, bits: int, base: np.ndarray, check: np.ndarray, answer: np.ndarray):
         self.alphabet, self.bits, self.base, self.check = alphabet, bits, base, check
+        self.answer = answer  # per state the row it accepts, else -1
 
     @classmethod
-    def build(cls, sequences: list[np.ndarray]) -> tuple[Trie, np.ndarray]:
-        """The trie of rows of word keys (uint64; 0: no word), and the accepting state of every row."""
+    def build(cls, sequences: list[np.ndarray]) -> Trie:
+        """The trie of distinct rows of word keys (uint64; 0: no word)."""
         rows = np.stack(sequences, 1)
         alphabet = np.unique(rows[rows != 0])
         symbols = np.where(rows != 0, np.searchsorted(alphabet, rows) + 1, 0)
@@ -255,9 +256,9 @@ class Trie:
         has_arcs = np.flatnonzero(bases >= 0)
         base[state[has_arcs]] = bases[has_arcs]
         last = np.stack(node_at, 1)[np.arange(len(d)), u.sum(1)] if len(d) else np.zeros(0, np.int64)
-        accept = np.empty(len(d), np.int64)
-        accept[order] = state[last]
-        return cls(alphabet, bits, base, check), accept
+        answer = np.full(size, -1, np.int32)
+        answer[state[last]] = order
+        return cls(alphabet, bits, base, check, answer)
 
     def numbers(self, keys: np.ndarray) -> np.ndarray:
         """The numbers of words in the alphabet, 0 if they are not in it."""
@@ -272,25 +273,23 @@ class Trie:
         t = np.minimum(self.base[states] + symbols, len(self.check) - 1)
         return np.where(self.check[t] == states, t, -1)
 
-    def counts(self, keys: np.ndarray, linked: np.ndarray, longest: int) -> np.ndarray:
-        """How often each state is reached by a sequence of 2 to ``longest`` linked words, from every word."""
+    def accepted(self, keys: np.ndarray, linked: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+        """The rows accepted at any of the words, level by level: all words' states advance together."""
         own, of = np.unique(keys, return_inverse=True)
         number = self.numbers(own)[of]
         low = (1 << self.bits) - 1
         at = np.flatnonzero((number > 0) & linked)
         states = np.zeros(len(at), np.int64)
-        out = np.zeros(len(self.check), np.int64)
         for level in range(longest):
             for shift, mask in ((self.bits, -1), (0, low)):
                 states = self.step(states, number[at + level] >> shift & mask)
                 live = states >= 0
                 at, states = at[live], states[live]
-            if level:
-                out += np.bincount(states, minlength=len(out))
+            rows = self.answer[states]
+            yield rows[rows >= 0]
             if level + 1 < longest:
                 on = np.flatnonzero(linked[at + level] & (number[np.minimum(at + level + 1, len(number) - 1)] > 0))
                 at, states = at[on], states[on]
-        return out
 
 
 def _place(source: np.ndarray, symbol: np.ndarray, span: int) -> tuple[np.ndarray, int]:
@@ -362,13 +361,13 @@ def trie_counts(own: DataFrame, found: DataFrame, longest: int, shard: int = SHA
     parts = []
     for s in range(shards):
         mine = found.where(F.pmod(F.xxhash64(*names), F.lit(shards)) == s) if shards > 1 else found
-        built = cut(mine.repartition(1).mapInArrow(_built, ", ".join([*(f"{k} bigint" for k in names), "state int", "part int", "trie binary"])), "trie")
+        built = cut(mine.repartition(1).mapInArrow(_built, ", ".join([*(f"{k} bigint" for k in names), "number int", "part int", "trie binary"])), "trie")
         raw = built.where("part is not null").select("part", "trie").collect()  # bounded by ``shard``
         trie = spark.sparkContext.broadcast(b"".join(bytes(r.trie) for r in sorted(raw, key=lambda r: r.part)))
         del raw
-        counts = cut(own.mapInArrow(_counter(trie, longest), "state int, n bigint").groupBy("state").agg(F.sum("n").alias("a")), "counts")
+        counts = cut(own.mapInArrow(_counter(trie, longest), "number int, n bigint").groupBy("number").agg(F.sum("n").alias("a")), "counts")
         trie.unpersist()
-        parts.append(built.join(counts, "state").select(*names, "a"))
+        parts.append(built.join(counts, "number").select(*names, "a"))
     if not parts:
         return found.withColumn("a", F.lit(0).cast("bigint"))
     out = parts[0]
@@ -378,43 +377,52 @@ def trie_counts(own: DataFrame, found: DataFrame, longest: int, shard: int = SHA
 
 
 def _built(batches):
-    """One shard of candidates as a trie: its rows with their accepting states, and rows with the
-    parts of the arrays."""
+    """One shard of candidates as a trie: its rows, numbered, and rows with the parts of the arrays."""
     got = pa.Table.from_batches(list(batches))
     if not got.num_rows:
         return
     keys = [got.column(c).combine_chunks().fill_null(0).to_numpy().view(np.uint64) for c in got.column_names]
-    trie, accept = Trie.build(keys)
-    head = np.array([len(trie.alphabet), trie.bits, len(trie.base)], np.int64)
-    raw = b"".join(x.tobytes() for x in (head, trie.alphabet, trie.base, trie.check))
+    trie = Trie.build(keys)
+    head = np.array([len(trie.alphabet), trie.bits, len(trie.base), got.num_rows], np.int64)
+    raw = b"".join(x.tobytes() for x in (head, trie.alphabet, trie.base, trie.check, trie.answer))
     columns = [got.column(c).combine_chunks() for c in got.column_names]
-    names = [*got.column_names, "state", "part", "trie"]
+    names = [*got.column_names, "number", "part", "trie"]
     for lo in range(0, got.num_rows, 100_000):
         some = [c.slice(lo, 100_000) for c in columns]
         n = len(some[0])
-        yield pa.RecordBatch.from_arrays([*some, pa.array(accept[lo:lo + n].astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*some, pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
     for k, lo in enumerate(range(0, len(raw), 1 << 20)):
         yield pa.RecordBatch.from_arrays([*[pa.nulls(1, c.type) for c in columns], pa.nulls(1, pa.int32()), pa.array([k], pa.int32()),
                                           pa.array([raw[lo:lo + (1 << 20)]], pa.binary())], names)
 
 
-def read_trie(raw: bytes) -> Trie:
-    n, bits, size = np.frombuffer(raw, np.int64, 3)
-    alphabet = np.frombuffer(raw, np.uint64, n, 24)
-    base = np.frombuffer(raw, np.int32, size, 24 + 8 * n)
-    return Trie(alphabet, int(bits), base, np.frombuffer(raw, np.int32, size, 24 + 8 * n + 4 * size))
+def read_trie(raw: bytes) -> tuple[Trie, int]:
+    """The trie of ``_built`` without a copy of its arrays, and how many rows it accepts."""
+    n, bits, size, rows = np.frombuffer(raw, np.int64, 4)
+    at = 32 + 8 * n
+    arrays = [np.frombuffer(raw, np.int32, size, at + 4 * size * k) for k in range(3)]
+    return Trie(np.frombuffer(raw, np.uint64, n, 32), int(bits), *arrays), int(rows)
 
 
-def _counter(raw, longest: int) -> Callable:
+def _counter(raw, longest: int, held: int = 1 << 21) -> Callable:
+    """Counts of the accepted rows of a task: a ``bincount`` for about ``held`` accepted at a time."""
     def count(batches):
-        trie = read_trie(raw.value)
-        total = np.zeros(len(trie.check), np.int64)
+        trie, rows = read_trie(raw.value)
+        total = np.zeros(rows, np.int64)
+        found, n = [], 0
         for piece, _ in _pieces(batches):
-            total += trie.counts(piece.keys, piece.linked, longest)
+            for some in trie.accepted(piece.keys, piece.linked, longest):
+                found.append(some)
+                n += len(some)
+            if n > held:
+                total += np.bincount(np.concatenate(found), minlength=rows)
+                found, n = [], 0
+        if found:
+            total += np.bincount(np.concatenate(found), minlength=rows)
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 1 << 18):
             some = at[lo:lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["state", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["number", "n"])
     return count
 
 

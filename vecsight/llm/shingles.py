@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsight.llm.common import U64, Fingerprints, cut, few, has_bit, mix, schema_with, set_apart, set_back, set_bits, text_pieces, word_spans
+from vecsight.llm.common import U64, Fingerprints, cut, few, free_shuffles, has_bit, mix, schema_with, set_apart, set_back, set_bits, text_pieces, word_spans
 from vecsight.llm.components import components
 
 _STEPS = [U64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -380,6 +380,7 @@ def _cross_blocks(members: DataFrame, keys: DataFrame, links: DataFrame, found:
         links = links.unionByName(more)
         spread = _with_class(members.where("blocks > 1"), components(links))
     spread = cut(spread, "spread")
+    free_shuffles(spread.sparkSession)
     sizes = spread.groupBy("grp", "cls").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("grp").agg(F.max(F.struct("n", "cls")).alias("top"), F.count("*").alias("classes"))
     tops = tops.where("classes > 1").select("grp", F.col("top.cls").alias("top"))
@@ -422,6 +423,7 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
     rows = texts.select(column).mapInArrow(keys_of, "key long, c long")
     shared = cut(rows.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("other"))
                  .where("hub <> other").select("key", "hub"), "shared-keys")
+    free_shuffles(docs.sparkSession)
     passing = docs.sparkSession.sparkContext.broadcast(set_bits(shared))  # 8 MB, whatever the input
 
     def sets_of(batches):
@@ -463,8 +465,10 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
     sizes = (groups.join(weights, "c").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
              .select("grp", F.ceil(F.greatest(F.col("members") / block, F.col("n") / (4 << 20))).alias("blocks")))
     placed = cut(groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks"))), "groups")
+    free_shuffles(docs.sparkSession)
     members = held.select("c", "tokens").join(placed, "c").withColumns({"cls": F.col("c"), "probe": F.lit(True)})
     links = cut(_join_groups(members, t), "links")
+    free_shuffles(docs.sparkSession)
     # the links of a group of one block are whole: its classes are known
     found = links.where("blocks = 1").select(F.col("a").alias("c"), F.col("b").alias("component"))
     if not placed.where("blocks > 1").isEmpty():
