@@ -115,3 +115,44 @@ def test_pca_variance_matches_covariance_eigenvalues(spark):
     out = AN.pca(e.select("vec_id", "embedding"), "embedding")
     r = out.agg(F.var_samp("x"), F.var_samp("y")).first()
     assert r[0] == pytest.approx(eig[0], rel=1e-6) and r[1] == pytest.approx(eig[1], rel=1e-6)
+
+
+def test_components_of_wide_vectors(spark):
+    """4,096 dimensions, by blocks; the same by the whole covariance where that is small."""
+    rng = np.random.default_rng(21)
+    basis = np.linalg.qr(rng.standard_normal((4096, 5)))[0]
+    x = rng.standard_normal((600, 5)) * [9, 6, 3, 2, 1] @ basis.T + 0.05 * rng.standard_normal((600, 4096)) + 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None)], "id int, v array<double>").repartition(6)
+    values, vectors = np.linalg.eigh(np.cov(x @ basis, rowvar=False))
+    fitted = AN.principal_components(df, "v", k=3)
+    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert fitted.variance == pytest.approx(s[:3] ** 2 / 599, rel=1e-9)
+    assert np.abs(np.sum(fitted.vectors * vt[:3].T, axis=0)) == pytest.approx(np.ones(3), abs=1e-9)
+    assert (np.take_along_axis(fitted.vectors, np.abs(fitted.vectors).argmax(0)[None], 0) > 0).all()
+    got = {r.id: (r.a, r.b) for r in AN.project(df, "v", fitted, ("a", "b", "c")).collect()}
+    assert got[-1] == (None, None)
+    assert np.array([got[i] for i in range(600)]) == pytest.approx((x - x.mean(0)) @ fitted.vectors[:, :2], abs=1e-8)
+    small = df.selectExpr("id", "slice(v, 1, 40) AS v")
+    a, b = AN.principal_components(small, "v", k=2), AN.principal_components(small, "v", k=2, gram_dims=8, extra=20, most_passes=400)
+    assert a.variance == pytest.approx(b.variance, rel=1e-8) and a.vectors == pytest.approx(b.vectors, abs=1e-6)
+    empty = AN.principal_components(df.where("id < -1"), "v")
+    assert AN.project(df.where("id < -1"), "v", empty).count() == 0
+
+
+def test_lloyd_equals_numpy(spark):
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((500, 3)) + rng.integers(0, 4, 500)[:, None] * 2
+    start = np.concatenate([x[:6], [[1e6, 0, 0]], x[:1]])  # one that is never met, one that repeats
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None)], "id int, v array<double>").repartition(5)
+    c = start.copy()
+    for _ in range(4):
+        at = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        for j in range(len(c)):
+            if (at == j).any():
+                c[j] = x[at == j].mean(0)
+    got = AN.lloyd(df, "v", AN.Centres(list(range(10, 18)), start), 4)
+    assert got.points == pytest.approx(c, abs=1e-10)
+    rows = {r.id: (r.cluster, r.dist) for r in AN.assign_nearest(df, "v", got).collect()}
+    d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(2))
+    assert [rows[i][0] - 10 for i in range(500)] == d.argmin(1).tolist() and rows[-1] == (None, None)
+    assert [rows[i][1] for i in range(500)] == pytest.approx(d.min(1).tolist(), abs=1e-9)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecsight.operators.ranking import first_n, order_desc, slot_counts, top_k, with_slots
+from vecsight.sources.files import written
 
 
 def keep_split(df: DataFrame, split: str, split_col: str = "split") -> DataFrame:
@@ -91,14 +92,15 @@ def precision_at_n(pooled: DataFrame, pos: DataFrame, n_counts: DataFrame,
     """Hits among the first n (n = positives of the label) divided by n.
 
     Ties go to the smaller key.  One aggregate counts rows and hits per group and score
-    slot; the slots above the n-th row count as a whole and only the rows of the slot it
-    falls into are ranked (see ``ranking.first_n``), whatever n is.  Labels missing
+    slot; the slots above the n-th row count as a whole and only rows of the slot it
+    falls into are ranked, a bounded number of them (see ``ranking.first_n``), whatever n is.
+    The flagged scores are written once, so that they are computed once.  Labels missing
     from ``n_counts`` are dropped; n = 0 gives NULL (0/0), or the row is dropped with
     ``skip_empty``.
     """
     group_cols = list(group_cols)
-    rows = with_slots(_flag_hits(pooled, pos, key), score_col)
-    slots = slot_counts(rows, group_cols, n_counts, hit_col="_hit")
+    rows = written(with_slots(_flag_hits(pooled, pos, key), score_col), "ranked")
+    slots = written(slot_counts(rows, group_cols, n_counts, hit_col="_hit"), "slots")
     whole = slots.groupBy(*group_cols).agg(
         F.max("n").alias("n"), F.sum(F.when(F.col("_upto") <= F.col("n"), F.col("_slot_hits"))).alias("hits"))
     part = first_n(rows, slots, group_cols, score_col, key, edge_only=True).groupBy(*group_cols).agg(F.sum("_hit").alias("hits"))
@@ -139,8 +141,8 @@ def top_n_overlap(scored: DataFrame, pos: DataFrame, n_counts: DataFrame,
     The first n rows of ``scored`` (n = positives of the label, ties to the smaller
     ``tie_col``) give a set of ``key`` values that is compared with the positives.
     """
-    rows = with_slots(scored, score_col)
-    first = first_n(rows, slot_counts(rows, ["label"], n_counts), ["label"], score_col, tie_col or key)
+    rows = written(with_slots(scored, score_col), "ranked")
+    first = first_n(rows, written(slot_counts(rows, ["label"], n_counts), "slots"), ["label"], score_col, tie_col or key)
     top = first.select("label", key).distinct().withColumn("_top", F.lit(1))
     both = top.join(pos.select("label", key).withColumn("_pos", F.lit(1)), ["label", key], "full")
     agg = both.groupBy("label").agg(

@@ -82,6 +82,19 @@ def scores_struct(long: DataFrame, id_cols: list[str], labels: list, measures: l
     return (packed.groupBy(*id_cols).pivot("label", list(labels)).agg(F.first("_s")))
 
 
+def nested_to_wide(nested: DataFrame, id_cols: list[str], labels: list, measures: list[str], sep: str = " ",
+                   digits: int | None = None) -> DataFrame:
+    """Rows of ``score_nested`` -> one column ``"{label} {measure}"`` per pair; no shuffle."""
+    value = lambda lab, m: F.col(f"`{lab}`")[m] if digits is None else F.round(F.col(f"`{lab}`")[m], digits)
+    return nested.select(*id_cols, *[value(lab, m).alias(score_column(lab, m, sep)) for lab in labels for m in measures])
+
+
+def nested_rows(nested: DataFrame, id_cols: list[str], labels: list, measures: list[str], label_type="string") -> DataFrame:
+    """E6 flattened: one row per image and label with a column per measure; no shuffle."""
+    rows = F.array(*[F.struct(F.lit(lab).cast(label_type).alias("label"), F.col(f"`{lab}`").alias("s")) for lab in labels])
+    return nested.select(*id_cols, F.inline(rows)).select(*id_cols, "label", *[F.col("s")[m].alias(m) for m in measures])
+
+
 def union_with_key(frames: dict[str, DataFrame], key: str = "model") -> DataFrame:
     """H1/H2: vertical concat that remembers where each row came from."""
     parts = [df.withColumn(key, F.lit(name)) for name, df in frames.items()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vecsight.operators import analytics as AN
@@ -9,6 +10,7 @@ from vecsight.operators import contrast as CT
 from vecsight.operators.scoring import mean_vector
 from vecsight.plans import inputs as I
 from vecsight.plans.oracle_ctes import with_ctes
+from vecsight.sources.files import written
 from vecsight.sources.tables import table
 
 QUERIES: dict = {}
@@ -50,21 +52,98 @@ def kmeans_fit(spark, sf):
     return out.select("vec_id", "cluster")
 
 
+@query("kmeans_lloyd")
+def kmeans_lloyd(spark, sf):
+    """Three steps of k-means from fixed centres (the first prompt of every label), then the assignment."""
+    start = AN.collect_centres(I.prompts(spark, sf).where("prompt_id = 1").select(F.col("label").cast("long").alias("cluster"), F.col("qvec").alias("centre")))
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = AN.assign_nearest(e, "embedding", AN.lloyd(e, "embedding", start, 3))
+    return out.select("vec_id", "cluster", F.round("dist", 5).alias("dist"))
+
+
+def _lloyd_ctes(points: str, start: str, steps: int) -> list[tuple[str, str]]:
+    """k-means steps in SQL: ``points`` (id, v) and ``start`` (cluster, c) to the assignment ``assigned``
+    (id, cluster, dist)."""
+    near = """SELECT id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS dist FROM (
+                SELECT p.id, p.v, c.cluster, list_distance(p.v, c.c) AS d FROM pts p CROSS JOIN {c} c) GROUP BY id, v"""
+    out = [("pts", points), ("c0", start)]
+    for k in range(steps):
+        out += [(f"a{k}", near.format(c=f"c{k}")),
+                (f"c{k + 1}", f"""SELECT o.cluster, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN (
+                    SELECT cluster, list(x ORDER BY pos) AS c FROM (SELECT cluster, pos, avg(x) AS x FROM (
+                      SELECT cluster, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM a{k}) GROUP BY cluster, pos) GROUP BY cluster) n USING (cluster)""")]
+    return [*out, ("assigned", near.format(c=f"c{steps}"))]
+
+
+def _chain(ctes: list[tuple[str, str]]) -> str:
+    return ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in ctes)
+
+
+SQL["kmeans_lloyd"] = "WITH " + _chain(_lloyd_ctes(
+    "SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings",
+    "SELECT label::BIGINT AS cluster, arg_min(embedding, vec_id)::DOUBLE[] AS c FROM embeddings GROUP BY label", 3)) + """
+SELECT id AS vec_id, cluster, round(dist, 5) AS dist FROM assigned"""
+
+
+def _with_variance(df, fitted):
+    for j, name in enumerate(("x", "y")):
+        df = df.withColumn(name, F.round(name, 6)).withColumn(f"var_{name}", F.round(F.lit(float(fitted.variance[j])), 6))
+    return df
+
+
 @query("pca_2d")
 def pca_2d(spark, sf):
-    out = AN.pca(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
-    return out.select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Coordinates on the first two principal components, with the variances along them."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    fitted = AN.principal_components(e, "embedding")
+    return _with_variance(AN.project(e, "embedding", fitted), fitted).select("vec_id", "x", "y", "var_x", "var_y")
+
+
+def _pca_ctes(vectors: str, squarings: int = 16) -> list[tuple[str, str]]:
+    """The first two principal components in SQL, from ``vectors`` (id, v): the covariance matrix is
+    squared again and again, which leaves the projector on its first eigenvector; the second one
+    after that one is taken out.  ``xy`` (id, x, y), ``vars`` (var_x, var_y)."""
+    out = [("vecs", vectors),
+           ("u", "SELECT id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM vecs"),
+           ("mu", "SELECT i, avg(x) AS m FROM u GROUP BY i"),
+           ("m1", "SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS v FROM u a JOIN u b USING (id) GROUP BY a.i, b.i")]
+    for k in (1, 2):
+        out.append((f"s{k}_0", f"SELECT i, j, v / (SELECT sum(v) FROM m{k} WHERE i = j) AS v FROM m{k}"))
+        for n in range(1, squarings + 1):
+            out.append((f"t{k}_{n}", f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM s{k}_{n - 1} a JOIN s{k}_{n - 1} b ON a.j = b.i GROUP BY a.i, b.j"))
+            out.append((f"s{k}_{n}", f"SELECT i, j, v / (SELECT sum(v) FROM t{k}_{n} WHERE i = j) AS v FROM t{k}_{n}"))
+        last = f"s{k}_{squarings}"
+        out += [(f"r{k}", f"SELECT i, v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)"),
+                (f"e{k}", f"SELECT i, v / sqrt((SELECT sum(v * v) FROM r{k})) * (SELECT sign(arg_max(v, abs(v))) FROM r{k}) AS v FROM r{k}"),
+                (f"l{k}", f"SELECT sum(a.v * m.v * b.v) AS l FROM m{k} m JOIN e{k} a ON a.i = m.i JOIN e{k} b ON b.i = m.j")]
+        if k == 1:
+            out.append(("m2", "SELECT m.i, m.j, m.v - (SELECT l FROM l1) * a.v * b.v AS v FROM m1 m JOIN e1 a ON a.i = m.i JOIN e1 b ON b.i = m.j"))
+    return [*out, ("vars", "SELECT round((SELECT l FROM l1), 6) AS var_x, round((SELECT l FROM l2), 6) AS var_y"),
+            ("xy", "SELECT id, sum((x - m) * e1.v) AS x, sum((x - m) * e2.v) AS y FROM u JOIN mu USING (i) JOIN e1 USING (i) JOIN e2 USING (i) GROUP BY id")]
+
+
+_OWN_VECTORS = "SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"
+SQL["pca_2d"] = "WITH " + _chain(_pca_ctes(_OWN_VECTORS)) + """
+SELECT id AS vec_id, round(x, 6) AS x, round(y, 6) AS y, var_x, var_y FROM xy CROSS JOIN vars"""
 
 
 @query("kmeans_pca")
 def kmeans_pca(spark, sf):
-    """J4 + J5: k-means on the 2-D projection; the coordinates + cluster table."""
+    """J4 + J5: k-means on the 2-D projection, five steps from the ten lowest ids; the coordinates +
+    cluster table."""
     p = AN.pca(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
-    xy = p.select("vec_id", F.array("x", "y").alias("xy"), "x", "y")
-    out, _ = AN.kmeans(xy, "xy", k=10, seed=0)
+    xy = written(p.select("vec_id", "x", "y", F.array("x", "y").alias("xy")), "projection")
+    first = xy.orderBy("vec_id").limit(10).collect()
+    start = AN.Centres([r.vec_id for r in first], np.array([r.xy for r in first]))
+    out = AN.assign_nearest(xy, "xy", AN.lloyd(xy, "xy", start, 5))
     return out.select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster")
 
 
+SQL["kmeans_pca"] = "WITH " + _chain([*_pca_ctes(_OWN_VECTORS), *_lloyd_ctes(
+    "SELECT id, [x, y] AS v FROM xy", "SELECT id AS cluster, [x, y] AS c FROM xy ORDER BY id LIMIT 10", 5)]) + """
+SELECT id AS vec_id, round(v[1], 6) AS x, round(v[2], 6) AS y, cluster FROM assigned"""
+
+
 @query("pca_joint")
 def pca_joint(spark, sf):
     """J3 + H7: two libraries stacked with a source column, one projection, split by source."""
@@ -72,8 +151,16 @@ def pca_joint(spark, sf):
                                    "embedding")
     b = I.prompts(spark, sf).select(F.col("vec_id").alias("id"), F.lit("prompts").alias("source"),
                                     F.col("qvec").alias("embedding"))
-    out = AN.pca(a.unionByName(b), "embedding")
-    return out.select("id", "source", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    both = a.unionByName(b)
+    fitted = AN.principal_components(both, "embedding")
+    return _with_variance(AN.project(both, "embedding", fitted), fitted).select("id", "source", "x", "y", "var_x", "var_y")
+
+
+SQL["pca_joint"] = with_ctes("SELECT id, source, round(x, 6) AS x, round(y, 6) AS y, var_x, var_y FROM xy JOIN src USING (id) CROSS JOIN vars",
+                             "corpus", "prompts", extra=[
+    ("src", """SELECT dicom_id AS id, 'library' AS source, embedding::DOUBLE[] AS v FROM corpus
+               UNION ALL SELECT vec_id, 'prompts', qvec::DOUBLE[] FROM prompts"""),
+    *_pca_ctes("SELECT id, v FROM src")]).replace(" AS (", " AS MATERIALIZED (")
 
 
 @query("covariance_check")

@@ -10,7 +10,6 @@ from vecsight.constants import (AVG_COSINE, AVG_EMBEDDING, K_VALUES, K_VALUES_PE
 from vecsight.operators import evaluate as ev
 from vecsight.operators import scoring as sc
 from vecsight.operators.manifest import distinct_values
-from vecsight.operators.scoring import pool_prompt_scores, score_library
 from vecsight.plans import inputs as I
 from vecsight.plans.oracle_ctes import with_ctes
 
@@ -52,8 +51,11 @@ SQL["score_native"] = SQL["cosine_all"]
 
 @query("score_pooling")
 def score_pooling(spark, sf):
-    s = score_library(I.corpus(spark, sf), I.prompts(spark, sf), I.ID_COLS, measures=PROMPT_MEASURES)
-    p = pool_prompt_scores(s, I.ID_COLS)
+    """D13 from the scorer's own rows: no shuffle of scores."""
+    prompts = I.prompts(spark, sf)
+    labels = distinct_values(I.label_list(spark, sf), "label")
+    s = sc.score_nested(I.corpus(spark, sf), prompts, I.ID_COLS, labels, PROMPT_MEASURES)
+    p = sc.pool_nested(s, I.ID_COLS, labels, PROMPT_MEASURES, prompts.schema["label"].dataType)
     return p.select(*I.ID_COLS, "label", F.round(AVG_COSINE, 5).alias(AVG_COSINE),
                     F.round(MAX_COSINE, 5).alias(MAX_COSINE))
 

@@ -9,6 +9,7 @@ from vecsight.operators import evaluate as ev
 from vecsight.operators import manifest as MF
 from vecsight.operators import prevalence as PV
 from vecsight.operators import reshape as RS
+from vecsight.operators.scoring import score_nested
 from vecsight.plans import inputs as I
 from vecsight.plans.oracle_ctes import with_ctes
 from vecsight.plans.q_retrieval import _EVAL_DEPS, _VALIDATE_CTES, precision_at_n
@@ -30,10 +31,15 @@ def _labels(spark, sf):
 
 
 # ---------------------------------------------------------------- reshaping
+def _nested(spark, sf, labels, measures=ALL_MEASURES):
+    return score_nested(I.corpus(spark, sf), I.prompts(spark, sf), I.ID_COLS, labels, measures)
+
+
 @query("scores_long")
 def scores_long(spark, sf):
+    """The wide score table, from the scorer's own rows, and back to long: no shuffle of scores."""
     labels = _labels(spark, sf)
-    wide = RS.scores_to_wide(I.scores(spark, sf), I.ID_COLS, labels, list(ALL_MEASURES))
+    wide = RS.nested_to_wide(_nested(spark, sf, labels), I.ID_COLS, labels, list(ALL_MEASURES), digits=5)
     return RS.unpivot_scores(wide, I.ID_COLS, labels, list(ALL_MEASURES))
 
 
@@ -47,7 +53,7 @@ def missing_column_policy(spark, sf):
     """The score file lacks ``average_embedding``; the skip policy warns and goes on."""
     labels = _labels(spark, sf)
     have = [m for m in ALL_MEASURES if m != AVG_EMBEDDING]
-    wide = RS.scores_to_wide(I.scores(spark, sf, measures=tuple(have)), I.ID_COLS, labels, have)
+    wide = RS.nested_to_wide(_nested(spark, sf, labels, tuple(have)), I.ID_COLS, labels, have, digits=5)
     return RS.unpivot_scores(wide, I.ID_COLS, labels, list(ALL_MEASURES), on_missing="skip")
 
 
@@ -75,7 +81,15 @@ GROUP BY label""", *_EVAL_DEPS, extra=_VALIDATE_CTES)
 
 @query("scores_struct")
 def scores_struct(spark, sf):
-    return RS.scores_struct(I.scores(spark, sf), I.ID_COLS, _labels(spark, sf), list(ALL_MEASURES))
+    """A struct of measures per label, written by the scorer; flattened to a row per image and label."""
+    labels = _labels(spark, sf)
+    rows = RS.nested_rows(_nested(spark, sf, labels), I.ID_COLS, labels, list(ALL_MEASURES), "int")
+    return rows.select(*I.ID_COLS, "label", *[F.round(m, 5).alias(m) for m in ALL_MEASURES])
+
+
+SQL["scores_struct"] = with_ctes("SELECT subject_id, study_id, dicom_id, label, " + ", ".join(
+    f"max(cosine_similarity) FILTER (WHERE embedding_type = '{m}') AS {m}" for m in ALL_MEASURES)
+    + " FROM scores_all GROUP BY subject_id, study_id, dicom_id, label", "scores_all")
 
 
 # ---------------------------------------------------------------- prevalence

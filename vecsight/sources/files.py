@@ -104,6 +104,14 @@ def materialize(spark: SparkSession, path: str, build, fmt: str = "parquet") ->
     return spark.read.format(fmt).load(path)
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df``, written below the shared folder and read back: later steps start from files that every
+    executor sees, and what made them is computed once."""
+    path = scratch_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_ledger(ids: DataFrame, path: str) -> None:
     """Append ids to a ledger table (created on first write)."""
     ids.write.mode("append").parquet(path)
