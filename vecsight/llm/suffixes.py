@@ -248,13 +248,14 @@ def find_repeats(docs: DataFrame, columns: list[str], text: str = "text", length
 
 
 def removal_digests(docs: DataFrame, key: str = "doc_id", length: int = 400) -> DataFrame:
-    """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per row of ``docs``: key, n_bytes, n_removed, n_kept, n_spans, kept_sha256."""
     rows, copies, found = find_repeats(docs, [key], length=length)
     joined = rows.select(key, "__n", "__c", "__sha").join(copies, "__c", "left").join(found, "__c", "left")
     whole = (F.col("copies") > 1) & (F.col("__n") >= length)
     pick = lambda all_gone, part, none: F.when(whole, all_gone).otherwise(F.coalesce(part, none))
     zero = F.lit(0).cast("bigint")
-    return joined.select(key, F.col("__n").alias("n_bytes"), pick(F.col("__n"), F.col("n_removed"), zero).alias("n_removed"),
+    removed = pick(F.col("__n"), F.col("n_removed"), zero)
+    return joined.select(key, F.col("__n").alias("n_bytes"), removed.alias("n_removed"), (F.col("__n") - removed).alias("n_kept"),
                          pick(F.lit(1), F.size("starts"), zero).cast("bigint").alias("n_spans"),
                          pick(F.lit(_EMPTY), F.col("kept_sha256"), F.col("__sha")).alias("kept_sha256"))
 
