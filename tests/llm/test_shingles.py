@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecsight.llm import queries, shingles
 from vecsight.llm.components import components
@@ -139,3 +140,16 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in nodes}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rows_are_known_again_in_files_and_out_of_them(spark, tmp_path):
+    rows = [(k % 7, "one two three four five six seven", k, "m") for k in range(20)] + [(None, "a b", 1, "m"), (3, None, 2, "m"), (3, None, 2, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row int, _metadata string").repartition(4)
+    df.write.parquet(f"{tmp_path}/d")
+    read = spark.read.parquet(f"{tmp_path}/d")
+    for table in (df, read, read.select("text", "doc_id", "__row", "_metadata"), read.unionByName(read.where("doc_id < 0"))):
+        got = shingles.keep_one(table)
+        assert got.columns == table.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(0, rows[0][1]), (None, "a b"), (3, None), (3, None)], key=str)
+    twice = read.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
+    assert shingles.keep_one(twice).where("text IS NOT NULL").count() == 2

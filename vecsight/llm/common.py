@@ -8,6 +8,7 @@ n * n / 2**65.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -164,6 +165,19 @@ def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(k & U64((1 << 20) - 1)).astype(int)] >> ((k >> U64(20)) & U64(63))) & U64(1) == 1
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return memory that is free inside this Python worker to the machine: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def text_pieces(column: pa.Array, most: int = 700_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``most`` bytes (a longer row stands
     alone): (first row, end row, bytes, offsets of the rows in them).  Null counts as empty."""
@@ -179,6 +193,7 @@ def text_pieces(column: pa.Array, most: int = 700_000) -> Iterator[tuple[int, in
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
             yield lo + i, lo + j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
             i = j
+    give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 1. Words are counted per language (Apriori's first level); those below the least count are out.
 2. Candidates.  A phrase can reach the least count only if its words do, and if the hash bucket of
-   each pair and triple in it does: one pass adds up bucket counts (2**25 buckets a level, each held
+   each pair and triple in it does: one pass adds up bucket counts (2**26 buckets a level, each held
    up to 15 only), packed as integers by range of buckets, so that reducers add arrays.  The second
    pass lists the sequences in the texts that pass both tests, by word keys; what is listed is safe
    (nothing that could reach the count is missing), not exact.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from vecsight.llm.common import Fingerprints, cut, has_bit, mix, set_bits, small_batches, text_pieces
 
 #: Candidates of a shard: the most that is broadcast at once is about 40 bytes for each.
-SHARD = 1 << 21
-BUCKET_BITS = 25
+SHARD = 1 << 20
+BUCKET_BITS = 26
 _RANGE = 1 << 20
 _HELD = 15
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -218,14 +218,14 @@ class Trie:
         """The trie of distinct rows of word keys (uint64; 0: no word)."""
         rows = np.stack(sequences, 1)
         alphabet = np.unique(rows[rows != 0])
-        symbols = np.where(rows != 0, np.searchsorted(alphabet, rows) + 1, 0)
+        symbols = np.where(rows != 0, np.searchsorted(alphabet, rows) + 1, 0).astype(np.int32)
         bits = max(1, (len(alphabet).bit_length() + 1) // 2)
         digits = np.stack([x for k in range(rows.shape[1]) for x in (symbols[:, k] >> bits, symbols[:, k] & ((1 << bits) - 1))], 1)
         used = np.repeat(rows != 0, 2, axis=1)
         order = np.lexsort(digits.T[::-1])
         d, u = digits[order], used[order]
         # arcs: the distinct prefixes of every depth; a node is the prefix an arc goes out from
-        node = np.zeros(len(d), np.int64)  # of every row, the prefix read so far
+        node = np.zeros(len(d), np.int32)  # of every row, the prefix read so far
         node_at = [node]
         arcs_from, arcs_by, arcs_to, n_nodes = [], [], [], 1
         for depth in range(d.shape[1]):
@@ -234,12 +234,12 @@ class Trie:
             new[here] = True
             prev = np.flatnonzero(here)
             if not len(prev):
-                node_at.append(np.full(len(d), -1))
+                node_at.append(np.full(len(d), -1, np.int32))
                 continue
             same = (node[prev[1:]] == node[prev[:-1]]) & (d[prev[1:], depth] == d[prev[:-1], depth])
             new[prev[1:][same]] = False
-            number = np.cumsum(new) - 1 + n_nodes
-            child = np.where(here, number, -1)
+            number = (np.cumsum(new) - 1 + n_nodes).astype(np.int32)
+            child = np.where(here, number, np.int32(-1))
             arcs_from.append(node[new])
             arcs_by.append(d[new, depth])
             arcs_to.append(number[new])
@@ -339,8 +339,8 @@ def _place(source: np.ndarray, symbol: np.ndarray, span: int) -> tuple[np.ndarra
             else:
                 at = rng.integers(1, len(taken) - span, len(todo))
                 slots = at[:, None] + own
-                owner = np.full(len(taken), -1, np.int64)
-                owner[slots] = np.arange(len(todo))[:, None]
+                owner = np.full(len(taken), -1, np.int32)
+                owner[slots] = np.arange(len(todo), dtype=np.int32)[:, None]
                 done = (~taken[slots] & (owner[slots] == np.arange(len(todo))[:, None])).all(1)
             bases[source[begin[todo[done]]]] = at[done]
             taken[at[done][:, None] + own[done]] = True

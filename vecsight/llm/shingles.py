@@ -440,19 +440,18 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
                 owner, keys = owner[order], keys[order]
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
                 held = [tokens[at[r]:at[r + 1]] if cuts[r + 1] > cuts[r] else None for r in range(j - i)]
-                own = [None if x is None else x.tobytes() for x in held]
                 short = [(None, None) if x is None else bitmap(x, _SHORT_BITS, _SHORT_DEEP) for x in held]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(x).slice(i, j - i) for x in columns), pa.array(np.diff(at).astype(np.int64)), pa.array(c),
-                     pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(keys)), pa.array(own, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(keys)),
                      pa.array([None if x is None else x.tobytes() for x, _ in short], pa.binary()), pa.array([x for _, x in short], pa.int64())],
-                    [*columns, "n_shingles", "c", "keys", "tokens", "short", "spare"])
+                    [*columns, "n_shingles", "c", "keys", "short", "spare"])
                 if len(seen) > 200_000:
                     seen.clear()
 
-    schema = schema_with(texts.drop("__text"), "n_shingles bigint, c bigint, keys array<bigint>, tokens binary, short binary, spare bigint")
+    schema = schema_with(texts.drop("__text"), "n_shingles bigint, c bigint, keys array<bigint>, short binary, spare bigint")
     sets = cut(texts.mapInArrow(sets_of, schema), "sets")
-    held = sets.where("tokens IS NOT NULL")
+    held = sets.where("short IS NOT NULL")
     keys = cut(held.select("c", F.explode("keys").alias("key")).join(shared, "key"), "keys")
     edges = keys.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))
     groups = components(edges).select(F.col("node").alias("c"), F.col("component").alias("grp"))
@@ -466,16 +465,31 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
              .select("grp", F.ceil(F.greatest(F.col("members") / block, F.col("n") / (4 << 20))).alias("blocks")))
     placed = cut(groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks"))), "groups")
     free_shuffles(docs.sparkSession)
-    members = held.select("c", "tokens").join(placed, "c").withColumns({"cls": F.col("c"), "probe": F.lit(True)})
+    asked = docs.sparkSession.sparkContext.broadcast(set_bits(placed.select(F.col("c").alias("key"))))  # 8 MB, whatever the input
+
+    def tokens_of(batches):
+        bits = asked.value
+        seen: set = set()
+        for batch in batches:
+            for i, j, tokens, at in shingle_sets(batch.column(column), width):
+                c = digests(tokens, at)
+                fresh = [r for r in np.flatnonzero((c != 0) & has_bit(bits, c)).tolist() if c[r] not in seen and not seen.add(c[r])]
+                yield pa.RecordBatch.from_arrays([pa.array(c[fresh]), pa.array([tokens[at[r]:at[r + 1]].tobytes() for r in fresh], pa.binary())], ["c", "tokens"])
+                if len(seen) > 200_000:
+                    seen.clear()
+
+    # only the sets of candidate groups are carried whole; they are made from the texts again, not kept meanwhile
+    members = texts.select(column).mapInArrow(tokens_of, "c long, tokens binary").join(placed, "c").withColumns({"cls": F.col("c"), "probe": F.lit(True)})
     links = cut(_join_groups(members, t), "links")
     free_shuffles(docs.sparkSession)
     # the links of a group of one block are whole: its classes are known
     found = links.where("blocks = 1").select(F.col("a").alias("c"), F.col("b").alias("component"))
     if not placed.where("blocks > 1").isEmpty():
         links = links.where("blocks > 1")
+        members = cut(members.where("blocks > 1"), "members")
         links = _cross_blocks(members, keys.drop("hub"), links, components(links), t, block)
         found = found.unionByName(components(links).select(F.col("node").alias("c"), "component"))
-    return sets.drop("keys", "tokens", "short", "spare"), found
+    return sets.drop("keys", "short", "spare"), found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 2048) -> DataFrame:
@@ -491,14 +505,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     return full.unionByName(joined.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, a fingerprint of the file and place of every row, so that each scan finds
+    the same ones; a table that does not come straight from Parquet files is written first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    if not plan.nodeName().startswith("LogicalRelation") or "_metadata" in list(plan.schema().fieldNames()):
+        docs = cut(docs, "documents")
+    return docs.withColumn("__row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+
+
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 2048) -> DataFrame:
     """``docs`` with one row of every component: the one with the smallest doc_id (a null id comes
-    last, of rows that share it any one).  Rows without shingles all stay."""
-    own, names = set_apart(docs, "doc_id", "text")
-    numbered = own.withColumn("__row", F.monotonically_increasing_id())
-    rows, found = classes(numbered, numbered.columns, width, num, den, block)
+    last, of rows that share it any one).  Rows without shingles all stay.  Texts are read again
+    for the result, not carried along."""
+    apart, names = set_apart(docs, "doc_id", "text")
+    own = _numbered(apart)
+    rows, found = classes(own.select("doc_id", "text", "__row"), ["doc_id", "__row"], width, num, den, block)
     joined = (rows.where("n_shingles > 0").select("__row", "doc_id", "c").join(found, "c", "left")
               .select("__row", "doc_id", F.coalesce("component", "c").alias("cls")))
     first = joined.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("first"))
     gone = few(cut(joined.join(first, "cls").where("__row <> first").select("__row"), "gone"))
-    return set_back(rows.join(gone, "__row", "left_anti"), names, docs.columns)
+    return set_back(own.join(gone, "__row", "left_anti"), names, docs.columns)
