@@ -365,34 +365,48 @@ def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
             .withColumn("cls", F.coalesce("component", "c")).drop("component"))
 
 
+def _with_tokens(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``rows`` (with a column c) and the tokens of their sets; sets that are not asked for stay where they are."""
+    asked = few(rows.select("c").distinct())
+    return tokens.join(asked, "c", "left_semi").join(rows, "c")
+
+
 def _cross_blocks(members: DataFrame, keys: DataFrame, links: DataFrame, found: DataFrame, t: Threshold,
                   block: int) -> DataFrame:
-    """More links for groups of several blocks; ``keys`` (c, key) are the keys that two sets hold."""
-    spread = _with_class(members.where("blocks > 1"), found)
+    """More links for groups of several blocks; ``keys`` (c, key) are the keys that two sets hold.
+    ``members`` is a written table; its sets are sent only where they are compared."""
+    tokens = members.select("c", "tokens")
+    slim = cut(members.drop("tokens").distinct(), "slim")
+    spread = _with_class(slim, found)
     for _ in range(4):  # leaders of the classes, until that joins no more
         leaders = spread.where("c = cls")
         counts = leaders.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
-        leaders = (leaders.join(counts, "grp").withColumn("blocks", F.ceil(F.col("n") / block))
-                   .withColumn("block", F.pmod(F.xxhash64("c", F.lit(7)), F.col("blocks"))).withColumn("probe", F.lit(True)))
-        more = cut(_join_groups(leaders, t), "leaders")
+        leaders = cut(leaders.join(counts, "grp").withColumn("blocks", F.ceil(F.col("n") / block))
+                      .withColumn("block", F.pmod(F.xxhash64("c", F.lit(7)), F.col("blocks"))).withColumn("probe", F.lit(True)), "leading")
+        more = cut(_join_groups(_with_tokens(leaders, tokens), t), "leaders")
+        free_shuffles(more.sparkSession)
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        spread = _with_class(members.where("blocks > 1"), components(links))
+        spread = _with_class(slim, components(links))
     spread = cut(spread, "spread")
     free_shuffles(spread.sparkSession)
     sizes = spread.groupBy("grp", "cls").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("grp").agg(F.max(F.struct("n", "cls")).alias("top"), F.count("*").alias("classes"))
     tops = tops.where("classes > 1").select("grp", F.col("top.cls").alias("top"))
-    rest = spread.join(tops, "grp")
-    keys = keys.join(rest.select("c", "grp", "block", (F.col("cls") != F.col("top")).alias("probe")).distinct(), "c")
+    rest = cut(spread.join(tops, "grp"), "rest")
+    keys = cut(keys.join(rest.select("c", "grp", "block", (F.col("cls") != F.col("top")).alias("probe")).distinct(), "c"), "rest-keys")
     at = keys.select("grp", "key", F.col("block").alias("other")).distinct()
     visits = keys.where("probe").join(at, ["grp", "key"]).where("block <> other").select("c", "other").distinct()
     carried = rest.where("cls <> top").join(visits, "c")
     stay = rest.withColumn("probe", F.col("cls") != F.col("top"))
-    both = stay.select("grp", "block", "blocks", "c", "cls", "probe", "tokens").unionByName(
-        carried.select("grp", F.col("other").alias("block"), "blocks", "c", "cls", F.lit(True).alias("probe"), "tokens"))
-    return links.unionByName(cut(_join_groups(both, t), "cross"))
+    both = cut(stay.select("grp", "block", "blocks", "c", "cls", "probe").unionByName(
+        carried.select("grp", F.col("other").alias("block"), "blocks", "c", "cls", F.lit(True).alias("probe"))), "places")
+    # a block without a probe has nothing to compare
+    probed = both.where("probe").select("grp", "block").distinct()
+    both = both.join(probed, ["grp", "block"], "left_semi")
+    free_shuffles(spread.sparkSession)
+    return links.unionByName(cut(_join_groups(_with_tokens(both, tokens), t), "cross"))
 
 
 def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
