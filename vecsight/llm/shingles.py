@@ -18,7 +18,8 @@
    dual traversal drops node pairs whose sizes or whose largest possible overlap (common bits plus
    the shingles that share a bit) cannot reach the threshold; what is left is compared exactly.
 4. Between blocks, leaders of the classes found are joined the same way; then every set outside the
-   largest class of its group is carried to the blocks that hold one of its keys.
+   largest class of its group is carried to the blocks that hold one of its keys.  A signature tree
+   over bitmaps alone goes before, and only sets that it lets link to another class are sent whole.
 
 Equal sets are one class from the start, so copies are never paired.  The result is the connected
 component of every row; links between different sets are verified on the whole sets.
@@ -343,6 +344,49 @@ def _refine(rows: DataFrame, t: Threshold) -> DataFrame:
             .mapInArrow(run, "c long, grp long"))
 
 
+#: Bits of the bitmaps that decide which sets are sent to other blocks: four a shingle of the group's
+#: mean set, within these bounds; larger sets only have looser bounds.
+LEAST_BITS, MOST_BITS, _LONG_DEEP = 1 << 11, 1 << 16, 2
+
+
+def _long_maps(members: DataFrame) -> DataFrame:
+    """(c, n, spare, map): the bitmap of every set of (c, bits, tokens), a sixteenth of its size as a rule."""
+    def run(batches):
+        for batch in batches:
+            c, bits, tokens = (batch.column(x) for x in ("c", "bits", "tokens"))
+            sets = [np.frombuffer(x, U64) for x in tokens.to_pylist()]
+            maps, spare = zip(*(bitmap(x, b, _LONG_DEEP) for x, b in zip(sets, bits.to_pylist()))) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([c, pa.array([len(x) for x in sets], pa.int64()), pa.array(spare, pa.int64()),
+                                              pa.array([m.tobytes() for m in maps], pa.binary())], ["c", "n", "spare", "map"])
+
+    return members.select("c", "bits", "tokens").mapInArrow(run, "c long, n long, spare long, map binary")
+
+
+def _possible(rows: DataFrame, maps: DataFrame, t: Threshold) -> DataFrame:
+    """``rows`` (grp, block, c, cls, probe, ...) without the sets that, by a signature tree over their
+    bitmaps, can link to no set of another class in their block; pairs without a probe don't count."""
+    def run(batches):
+        for group in _by_group(batches, 2):
+            own = list({r[2]: r for r in group}.values())
+            if len(own) < 2:
+                continue
+            c, cls, probe, n, spare = (np.array([r[k] for r in own]) for k in range(2, 7))
+            tree = SignatureTree(np.stack([np.frombuffer(r[7], U64) for r in own]), n, spare, n)
+            c, cls, probe = c[tree.order], cls[tree.order], probe[tree.order]
+            kept = np.zeros(len(own), bool)
+            for a, b in tree.pairs(t):
+                counts = (cls[a] != cls[b]) & (probe[a] | probe[b])
+                kept[a[counts]] = kept[b[counts]] = True
+            if kept.any():
+                left = int(kept.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([own[0][0]] * left, pa.int64()), pa.array([own[0][1]] * left, pa.int64()),
+                                                  pa.array(c[kept])], ["grp", "block", "c"])
+
+    left = (rows.select("grp", "block", "c", "cls", "probe").join(maps, "c")
+            .select("grp", "block", "c", "cls", "probe", "n", "spare", "map").repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(run, "grp long, block long, c long"))
+    return rows.join(left, ["grp", "block", "c"], "left_semi")
+
+
 def _join_groups(rows: DataFrame, t: Threshold) -> DataFrame:
     """(blocks, a, b): the classes a that links inside a (grp, block) connect to a smaller class b, of
     (grp, block, blocks, c, cls, probe, tokens)."""
@@ -374,15 +418,18 @@ def _with_tokens(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 def _cross_blocks(members: DataFrame, keys: DataFrame, links: DataFrame, found: DataFrame, t: Threshold,
                   block: int) -> DataFrame:
     """More links for groups of several blocks; ``keys`` (c, key) are the keys that two sets hold.
-    ``members`` is a written table; its sets are sent only where they are compared."""
+    ``members`` is a written table, a row a set; sets are sent only where a bitmap lets them link."""
     tokens = members.select("c", "tokens")
-    slim = cut(members.drop("tokens").distinct(), "slim")
+    maps = cut(_long_maps(members), "maps")
+    slim = cut(members.drop("tokens", "bits"), "slim")
     spread = _with_class(slim, found)
     for _ in range(4):  # leaders of the classes, until that joins no more
         leaders = spread.where("c = cls")
         counts = leaders.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
         leaders = cut(leaders.join(counts, "grp").withColumn("blocks", F.ceil(F.col("n") / block))
                       .withColumn("block", F.pmod(F.xxhash64("c", F.lit(7)), F.col("blocks"))).withColumn("probe", F.lit(True)), "leading")
+        leaders = cut(_possible(leaders, maps, t), "leaders-possible")
+        free_shuffles(leaders.sparkSession)
         more = cut(_join_groups(_with_tokens(leaders, tokens), t), "leaders")
         free_shuffles(more.sparkSession)
         if more.isEmpty():
@@ -404,7 +451,7 @@ def _cross_blocks(members: DataFrame, keys: DataFrame, links: DataFrame, found:
         carried.select("grp", F.col("other").alias("block"), "blocks", "c", "cls", F.lit(True).alias("probe"))), "places")
     # a block without a probe has nothing to compare
     probed = both.where("probe").select("grp", "block").distinct()
-    both = both.join(probed, ["grp", "block"], "left_semi")
+    both = cut(_possible(both.join(probed, ["grp", "block"], "left_semi"), maps, t), "places-possible")
     free_shuffles(spread.sparkSession)
     return links.unionByName(cut(_join_groups(_with_tokens(both, tokens), t), "cross"))
 
@@ -476,7 +523,9 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
     groups = cut(refined.unionByName(groups.where(F.col("members") > REFINED).select("c", "grp")), "refined")
     weights = held.groupBy("c").agg(F.max("n_shingles").alias("n"))
     sizes = (groups.join(weights, "c").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
-             .select("grp", F.ceil(F.greatest(F.col("members") / block, F.col("n") / (4 << 20))).alias("blocks")))
+             .select("grp", F.ceil(F.greatest(F.col("members") / block, F.col("n") / (4 << 20))).alias("blocks"),
+                     F.least(F.greatest(F.pow(F.lit(2), F.ceil(F.log2(4 * F.col("n") / F.col("members")))), F.lit(LEAST_BITS)),
+                             F.lit(MOST_BITS)).cast("long").alias("bits")))
     placed = cut(groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks"))), "groups")
     free_shuffles(docs.sparkSession)
     asked = docs.sparkSession.sparkContext.broadcast(set_bits(placed.select(F.col("c").alias("key"))))  # 8 MB, whatever the input
@@ -492,16 +541,17 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
                 if len(seen) > 200_000:
                     seen.clear()
 
-    # only the sets of candidate groups are carried whole; they are made from the texts again, not kept meanwhile
-    members = texts.select(column).mapInArrow(tokens_of, "c long, tokens binary").join(placed, "c").withColumns({"cls": F.col("c"), "probe": F.lit(True)})
+    # only the sets of candidate groups are carried whole, each once; they are made from the texts again, not kept meanwhile
+    members = texts.select(column).mapInArrow(tokens_of, "c long, tokens binary").dropDuplicates(["c"])
+    members = cut(members.join(placed, "c").withColumns({"cls": F.col("c"), "probe": F.lit(True)}), "members")
+    free_shuffles(docs.sparkSession)
     links = cut(_join_groups(members, t), "links")
     free_shuffles(docs.sparkSession)
     # the links of a group of one block are whole: its classes are known
     found = links.where("blocks = 1").select(F.col("a").alias("c"), F.col("b").alias("component"))
     if not placed.where("blocks > 1").isEmpty():
         links = links.where("blocks > 1")
-        members = cut(members.where("blocks > 1"), "members")
-        links = _cross_blocks(members, keys.drop("hub"), links, components(links), t, block)
+        links = _cross_blocks(members.where("blocks > 1"), keys.drop("hub"), links, components(links), t, block)
         found = found.unionByName(components(links).select(F.col("node").alias("c"), "component"))
     return sets.drop("keys", "short", "spare"), found
 
