@@ -239,9 +239,17 @@ class SignatureTree:
             good[some] = most >= t.overlap(lo[x] + lo[y])
         return good
 
-    def pairs(self, t: Threshold, chunk: int = 2048):
+    def up(self, values: np.ndarray, join: np.ufunc) -> list[np.ndarray]:
+        """``values`` of the leaves, in the tree's order, joined level by level."""
+        out = [values]
+        while len(out[-1]) > 1:
+            out.append(join.reduceat(out[-1], np.arange(0, len(out[-1]), self.FAN)))
+        return out
+
+    def pairs(self, t: Threshold, chunk: int = 2048, wanted=None):
         """Pairs of leaves (positions in the tree's order) that survive the dual traversal, in runs of
-        bounded length: at most ``chunk`` node pairs are opened at a time."""
+        bounded length: at most ``chunk`` node pairs are opened at a time.  Node pairs of a level that
+        ``wanted`` (level, a, b) denies are not followed."""
         step = np.arange(self.FAN)
         todo = [(len(self.levels) - 1, np.zeros(1, int), np.zeros(1, int))]
         while todo:
@@ -259,6 +267,9 @@ class SignatureTree:
             x, y = (v.ravel() for v in np.broadcast_arrays(x, y))
             inner = (x < n) & (y < n) & (x <= y if level else x < y)
             x, y = x[inner], y[inner]
+            if wanted is not None:
+                asked = wanted(level, x, y)
+                x, y = x[asked], y[asked]
             good = self.admitted(level, x, y, t)
             if good.any():
                 todo.append((level, x[good], y[good]))
@@ -350,16 +361,18 @@ LEAST_BITS, MOST_BITS, _LONG_DEEP = 1 << 11, 1 << 16, 2
 
 
 def _long_maps(members: DataFrame) -> DataFrame:
-    """(c, n, spare, map): the bitmap of every set of (c, bits, tokens), a sixteenth of its size as a rule."""
+    """(c, n, spare, near, map): of every set of (c, bits, tokens) its smallest fingerprint, which near
+    copies tend to share, and its bitmap, a sixteenth of its size as a rule."""
     def run(batches):
         for batch in batches:
             c, bits, tokens = (batch.column(x) for x in ("c", "bits", "tokens"))
             sets = [np.frombuffer(x, U64) for x in tokens.to_pylist()]
             maps, spare = zip(*(bitmap(x, b, _LONG_DEEP) for x, b in zip(sets, bits.to_pylist()))) if sets else ((), ())
             yield pa.RecordBatch.from_arrays([c, pa.array([len(x) for x in sets], pa.int64()), pa.array(spare, pa.int64()),
-                                              pa.array([m.tobytes() for m in maps], pa.binary())], ["c", "n", "spare", "map"])
+                                              pa.array([int(x[:1].view(np.int64)[0]) for x in sets], pa.int64()),
+                                              pa.array([m.tobytes() for m in maps], pa.binary())], ["c", "n", "spare", "near", "map"])
 
-    return members.select("c", "bits", "tokens").mapInArrow(run, "c long, n long, spare long, map binary")
+    return members.select("c", "bits", "tokens").mapInArrow(run, "c long, n long, spare long, near long, map binary")
 
 
 def _possible(rows: DataFrame, maps: DataFrame, t: Threshold) -> DataFrame:
@@ -370,20 +383,26 @@ def _possible(rows: DataFrame, maps: DataFrame, t: Threshold) -> DataFrame:
             own = list({r[2]: r for r in group}.values())
             if len(own) < 2:
                 continue
-            c, cls, probe, n, spare = (np.array([r[k] for r in own]) for k in range(2, 7))
-            tree = SignatureTree(np.stack([np.frombuffer(r[7], U64) for r in own]), n, spare, n)
+            c, cls, probe, n, spare, near = (np.array([r[k] for r in own]) for k in range(2, 8))
+            tree = SignatureTree(np.stack([np.frombuffer(r[8], U64) for r in own]), n, spare, near)
             c, cls, probe = c[tree.order], cls[tree.order], probe[tree.order]
+            least, most, probes = tree.up(cls, np.minimum), tree.up(cls, np.maximum), tree.up(probe, np.logical_or)
+
+            def wanted(level, a, b):  # some probe, and not one class only
+                apart = np.minimum(least[level][a], least[level][b]) != np.maximum(most[level][a], most[level][b])
+                return apart & (probes[level][a] | probes[level][b])
+
             kept = np.zeros(len(own), bool)
-            for a, b in tree.pairs(t):
-                counts = (cls[a] != cls[b]) & (probe[a] | probe[b])
-                kept[a[counts]] = kept[b[counts]] = True
+            for a, b in tree.pairs(t, wanted=wanted):
+                kept[a] = kept[b] = True
             if kept.any():
                 left = int(kept.sum())
                 yield pa.RecordBatch.from_arrays([pa.array([own[0][0]] * left, pa.int64()), pa.array([own[0][1]] * left, pa.int64()),
                                                   pa.array(c[kept])], ["grp", "block", "c"])
 
     left = (rows.select("grp", "block", "c", "cls", "probe").join(maps, "c")
-            .select("grp", "block", "c", "cls", "probe", "n", "spare", "map").repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(run, "grp long, block long, c long"))
+            .select("grp", "block", "c", "cls", "probe", "n", "spare", "near", "map").repartition("grp", "block")
+            .sortWithinPartitions("grp", "block").mapInArrow(run, "grp long, block long, c long"))
     return rows.join(left, ["grp", "block", "c"], "left_semi")
 
 
