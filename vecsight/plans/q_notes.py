@@ -23,11 +23,11 @@ def query(name):
 
 def notes(spark, sf):
     """(study, findings, impression) from documents: the text cut in the middle, impression first;
-    if one section is missing (every 7th, every 5th id) the other holds the whole text, and for
-    every 35th id both are missing."""
+    if one section is missing (every 7th, every other 5th id) the other holds the whole text, so every
+    text is read; both are missing for a null text only."""
     d = table(spark, sf, "documents")
     half = F.floor(F.length("text") / 2).cast("int")
-    no_findings, no_impression = F.col("doc_id") % 7 == 0, F.col("doc_id") % 5 == 0
+    no_findings, no_impression = F.col("doc_id") % 7 == 0, (F.col("doc_id") % 5 == 0) & (F.col("doc_id") % 7 != 0)
     return d.select(F.col("doc_id").alias("study"),
                     F.when(no_findings, F.lit(None)).when(no_impression, F.col("text"))
                     .otherwise(F.substring("text", half + 1, F.length("text"))).alias("findings"),
@@ -38,7 +38,7 @@ def notes(spark, sf):
 _NOTES_SQL = """SELECT doc_id AS study,
        CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN text
             ELSE substring(text, CAST(length(text) // 2 AS INTEGER) + 1) END AS findings,
-       CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN text
+       CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN NULL WHEN doc_id % 7 = 0 THEN text
             ELSE substring(text, 1, CAST(length(text) // 2 AS INTEGER)) END AS impression FROM documents"""
 
 
