@@ -99,7 +99,9 @@ def nearest(ids, v, q, k):
     return [(int(ids[j]), float(score[j])) for j in np.lexsort((ids, score))[:k] if j != q]
 
 
-def test_search_query_recall(spark):
+def test_search_query_recall(spark, monkeypatch):
+    seen, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda x, parts, *a: seen.append((parts, (out := fit(x, parts, *a))[1])) or out)
     p = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     ids, v = p.vec_id.to_numpy(), np.stack(p.embedding.to_numpy()).astype(float)
     got = {}
@@ -109,6 +111,8 @@ def test_search_query_recall(spark):
     assert set(got) == {int(i) for i in ids if i % 100 == 0}
     hits = sum(len({x for x, _ in nearest(ids, v, at[q], 10)} & {x for x, _ in found}) for q, found in got.items())
     assert hits >= 0.9 * 10 * len(got)
+    print("recall", hits / 10 / len(got), "parts and visits", seen)
+    assert len(seen) == 1 and seen[0][0] >= 4 and 1 <= seen[0][1] < seen[0][0]  # through parts, not by a full scan
     for q, found in got.items():
         assert all(math.isclose(s, np.linalg.norm(v[at[x]] - v[at[q]]), rel_tol=1e-12) for x, s in found)
         assert found == sorted(found, key=lambda r: (r[1], r[0])) and len(found) == 10
@@ -121,7 +125,7 @@ def test_search_routes_clustered_vectors_to_few_parts(spark):
     router, visits = ann.fit(v[:3000], 8, 0.95)
     assert visits <= 4
     df = frame(spark, range(6000), v)
-    got = ann.search(df, F.col("vec_id") % 50 == 0, sample=3000, part_rows=500, block=300).collect()
+    got = ann.search(df, F.col("vec_id") % 50 == 0, sample=3000, least=375, block=300).collect()
     ids = np.arange(6000)
     hits = sum(len({x for x, _ in nearest(ids, v, q, 10)} & {r.vec_id for r in got if r.query_id == q}) for q in range(0, 6000, 50))
     assert hits >= 0.9 * 10 * 120

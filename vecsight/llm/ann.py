@@ -6,7 +6,8 @@ the graph is cut at its median, then pairs of vertices are swapped while that lo
 edges cut.  A small network learns to predict, from a vector, the parts of its neighbours.  Every
 row is indexed in its most probable part; a query visits its most probable parts and the rows
 there are ranked by exact distance.  How many parts are visited is read off the sample: as many
-as hold ``recall`` of the sample's own neighbours.
+as hold ``recall`` of the sample's own neighbours.  The number of parts follows from the sample
+(``least`` of its vectors a part), so small and large tables are searched the same way.
 
 Parts are searched in blocks of bounded size on both sides, so a part that holds a third of all
 rows is many tasks.
@@ -143,20 +144,20 @@ def fit(x: np.ndarray, parts: int, recall: float, k: int = 10, seed: int = 0) ->
     return Router(x, soft, seed=seed), visits
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 4096, part_rows: int = 2000,
+def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 4096, least: int = 64,
            recall: float = 0.95, block: int = 4096, seed: int = 0) -> DataFrame:
     """The k nearest rows of every row for which ``is_query`` (over vec_id) holds: query_id, rank,
     vec_id, score (Euclidean distance)."""
     spark = vectors.sparkSession
-    rows = cut(packed(vectors).where("raw IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "vectors")
-    n = rows.count()
+    rows = cut(packed(vectors).where("raw IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+               .withColumn("asks", F.coalesce(is_query, F.lit(False))), "vectors")
     ids = rows.select("vec_id", "row").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "row").limit(sample).select("row")
     some = sorted(rows.join(F.broadcast(ids), "row").select("row", "dim", "raw").collect(), key=lambda r: r.row)
     dims = [r.dim for r in some]
     dim = max(sorted(set(dims)), key=dims.count) if dims else 0
     own = [r.raw for r in some if r.dim == dim]
     parts = 1
-    while parts * 2 <= min(len(own) // 64, max(1, n // part_rows)):
+    while parts * 2 * least <= len(own):
         parts *= 2
     router, visits = fit(matrix(own), parts, recall, k, seed) if parts > 1 else (None, 1)
     model = spark.sparkContext.broadcast(router)  # a fixed number of weights
@@ -167,20 +168,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 4096
             if not batch.num_rows:
                 continue
             dims = np.asarray(batch.column("dim"))
+            fits = dims == dim
+            # a row is indexed in its first part; only a query needs all that it visits
+            many = np.where(fits & np.asarray(batch.column("asks")), visits, 1)
             best = np.repeat(-dims[:, None].astype(np.int64) - 1, visits, 1)  # other lengths: a part of their own
-            best[:, 1:] = best[:, :1]
-            fits = np.flatnonzero(dims == dim)
-            if len(fits):
-                if net is None:
-                    best[fits] = 0
-                else:
-                    best[fits] = np.argsort(-net.odds(matrix(batch.column("raw").take(pa.array(fits)))), axis=1, kind="stable")[:, :visits]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * visits), pa.array(best.ravel()))
+            if fits.any():
+                best[fits] = 0 if net is None else np.argsort(
+                    -net.odds(matrix(batch.column("raw").filter(pa.array(fits)))), axis=1, kind="stable")[:, :visits]
+            ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(best[np.arange(visits) < many[:, None]]))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "parts"])
 
     routed = cut(rows.mapInArrow(route, schema_with(rows, "parts array<bigint>")), "routed")
     index = routed.select("row", "vec_id", "raw", F.col("parts")[0].alias("part"))
-    asked = (routed.where(is_query).select("row", "vec_id", "raw", F.explode(F.array_distinct("parts")).alias("part")))
+    asked = routed.where("asks").select("row", "vec_id", "raw", F.explode("parts").alias("part"))
     sizes = (index.groupBy("part").agg(F.ceil(F.count("*") / block).alias("row_blocks"))
              .join(asked.groupBy("part").agg(F.ceil(F.count("*") / block).alias("query_blocks")), "part"))
     each = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))

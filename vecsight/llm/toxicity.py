@@ -55,31 +55,79 @@ def _features(column, weights=None):
         yield i, j, (both >> U64(24)).astype(np.int64), (both & U64(SPACE - 1)).astype(np.int64)
 
 
+class Incidence:
+    """A matrix of ones at (row, column) pairs, with dense columns to the right of them."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarray):
+        self.rows, self.columns, self.width, self.dense = rows, columns, width, dense
+        self.shape = (len(dense), width + dense.shape[1])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, w[self.columns], len(self.dense)) + self.dense @ w[self.width:]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """The transposed matrix times a vector."""
+        return np.concatenate([np.bincount(self.columns, v[self.rows], self.width), self.dense.T @ v])
+
+    def squares(self, weight: np.ndarray) -> np.ndarray:
+        """Weighted sums of the squares of every column."""
+        return np.concatenate([np.bincount(self.columns, weight[self.rows], self.width), (self.dense ** 2).T @ weight])
+
+    def of(self, keep: np.ndarray) -> Incidence:
+        """Some rows, numbered anew."""
+        own = keep[self.rows]
+        return Incidence((np.cumsum(keep) - 1)[self.rows[own]], self.columns[own], self.width, self.dense[keep])
+
+    def beside(self, dense: np.ndarray) -> Incidence:
+        """With further dense columns."""
+        return Incidence(self.rows, self.columns, self.width, np.column_stack([self.dense, dense]))
+
+
+def _plain(x) -> Incidence:
+    none = np.zeros(0, np.int64)
+    return x if isinstance(x, Incidence) else Incidence(none, none, 0, np.asarray(x, float))
+
+
 class Logistic:
-    """A linear model with intercept, fitted by Newton steps with an L2 penalty."""
+    """A linear model with intercept, fitted by Newton steps with an L2 penalty; the steps are found by
+    conjugate gradients over the pairs, so the number of features isn't bounded by a dense matrix."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 10):
+    def __init__(self, x: Incidence | np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 10, steps: int = 40):
+        x = _plain(x)
         rate = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
         self.w, self.b = np.zeros(x.shape[1]), float(np.log(rate / (1 - rate)))
         if not 0 < y.sum() < len(y):
             return
-        full = np.column_stack([x, np.ones(len(x), x.dtype)])
+        full = x.beside(np.ones(x.shape[0]))
         ridge = np.full(full.shape[1], penalty)
         ridge[-1] = 1e-6
         theta = np.append(self.w, self.b)
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(full @ theta.astype(full.dtype), -30, 30).astype(float)))
-            slope = full.T @ (p - y).astype(full.dtype) + ridge * theta
-            weight = np.maximum(p * (1 - p), 1e-4).astype(full.dtype)
-            bend = (full.T @ (full * weight[:, None])).astype(float) + np.diag(ridge)
-            move = np.linalg.solve(bend, slope)
+            p = 1 / (1 + np.exp(-np.clip(full.times(theta), -30, 30)))
+            slope = full.back(p - y) + ridge * theta
+            weight = np.maximum(p * (1 - p), 1e-4)
+            scale = full.squares(weight) + ridge
+            move, left = np.zeros_like(theta), slope.copy()
+            eased = left / scale
+            way, size = eased.copy(), left @ eased
+            goal = 1e-4 * size
+            for _ in range(steps):
+                if size <= goal or size == 0:
+                    break
+                bent = full.back(weight * full.times(way)) + ridge * way
+                far = size / (way @ bent)
+                move += far * way
+                left -= far * bent
+                eased = left / scale
+                size, before = left @ eased, size
+                way = eased + size / before * way
             theta = theta - move * min(1.0, 4.0 / max(np.abs(move).max(), 1e-9))
             if np.abs(move).max() < 1e-3:
                 break
         self.w, self.b = theta[:-1], float(theta[-1])
 
-    def odds(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.w + self.b
+    def odds(self, x: Incidence | np.ndarray) -> np.ndarray:
+        return _plain(x).times(self.w) + self.b
 
 
 class Chain:
@@ -116,9 +164,10 @@ def _best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
     return float(odds[order][best] - gap[best] / 2)
 
 
-def fit_rows(rows: list[tuple[list[float], np.ndarray]], categories: list[str], per_category: int = 320,
-             folds: int = 3) -> Chain:
-    """Fit the chain on (labels, features) of a bounded number of documents."""
+def fit_rows(rows: list[tuple[list[float], np.ndarray]], categories: list[str], least: float = 4.0,
+             folds: int = 3, penalty: float = 2.0) -> Chain:
+    """Fit the chain on (labels, features) of a bounded number of documents; every feature takes part
+    whose count among the positives is more than ``least`` standard deviations from chance."""
     n = len(rows)
     y = np.array([r[0] for r in rows], np.float32).reshape(n, len(categories))
     owner = np.repeat(np.arange(n, dtype=np.int32), [len(r[1]) for r in rows]) if n else np.zeros(0, np.int32)
@@ -136,21 +185,18 @@ def fit_rows(rows: list[tuple[list[float], np.ndarray]], categories: list[str],
         positive = np.bincount(flat, y[owner, k], len(names)) if n else seen
         rate = y[:, k].mean() if n else 0.0
         score = np.abs(positive - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
-        best = np.argsort(-score, kind="stable")[:per_category]
-        chosen[best[score[best] > 2]] = True
+        chosen |= score > least
     column = np.cumsum(chosen) - 1
-    x = np.zeros((n, int(chosen.sum()) + len(categories)), np.float32)
     kept = chosen[flat]
-    x[owner[kept], column[flat[kept]]] = 1
+    x = Incidence(owner[kept].astype(np.int64), column[flat[kept]], int(chosen.sum()), np.zeros((n, 0)))
     chosen = names[chosen]
-    fold, m, models, apart = np.arange(n) % folds, len(chosen), [], np.zeros((n, len(categories)))
+    fold, models, apart = np.arange(n) % folds, [], np.zeros((n, len(categories)))
     for k in range(len(categories)):
-        own = x[:, :m + k]
         for f in range(folds):
             out = fold == f
-            apart[out, k] = Logistic(own[~out], y[~out, k]).odds(own[out])
-        models.append(Logistic(own, y[:, k]))
-        x[:, m + k] = _squash(apart[:, k])
+            apart[out, k] = Logistic(x.of(~out), y[~out, k], penalty).odds(x.of(out))
+        models.append(Logistic(x, y[:, k], penalty))
+        x = x.beside(_squash(apart[:, k]))
     both = n and 0 < y[:, -1].sum() < n
     return Chain(categories, chosen, models, _best_threshold(apart[:, -1], y[:, -1]) if both else float("inf"))
 
@@ -183,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int =
 def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """``docs`` with a probability ``p_<category>`` each and whether the document is rejected
     (``toxic``); columns with these names are replaced."""
-    spread = docs.sparkSession.sparkContext.broadcast(chain)  # at most a fixed number of features
+    spread = docs.sparkSession.sparkContext.broadcast(chain)  # its size is bounded by the sample it was fitted on
     names = [f"p_{c}" for c in chain.categories]
     kept = docs.drop(*names, "toxic")
 
