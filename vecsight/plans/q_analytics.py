@@ -194,10 +194,13 @@ def _part_sql(part: str, vec: str = "embedding::DOUBLE[]") -> str:
             f"WHERE vec_id % 4 IN ({', '.join(map(str, _PART[part]))})")
 
 
-_PATCHES = """SELECT batch, pair, item * 4 + k AS item, list_slice(q, k * 16 + 1, k * 16 + 16) AS q
-              FROM ({}), (SELECT unnest(range(4)) AS k)""".format(_part_sql("patch"))
-_SET_SQL = {part: _part_sql(part) for part in _PART} | {
-    "patches": _PATCHES, "words": _part_sql("text", "list_slice(embedding::DOUBLE[], 1, 16)")}
+def _cut_sql(part: str) -> str:
+    """Every vector of a set cut into four of equal width, the last one filled up with zeros."""
+    return f"""SELECT batch, pair, item * 4 + k AS item, list_slice(list_resize(q, 4 * w, 0), k * w + 1, (k + 1) * w) AS q
+              FROM (SELECT *, CAST(ceil(len(q) / 4) AS BIGINT) AS w FROM ({_part_sql(part)})), (SELECT unnest(range(4)) AS k)"""
+
+
+_SET_SQL = {part: _part_sql(part) for part in _PART} | {"patches": _cut_sql("first"), "words": _cut_sql("second")}
 
 
 def _sql_info_nce(first: str, second: str, t: float) -> str:
@@ -234,13 +237,21 @@ SQL["local_loss_two_way"] = (f"SELECT round(({_sql_info_nce('first', 'second', 0
                              f"{_sql_info_nce('second', 'first', 0.1)}) / 2, 6) AS loss")
 
 
+def _flat_grid(spark, sf, part):
+    """The vectors of a set as 2 x 2 grids of patches that cover all components (the last patch is
+    filled up with zeros), one row per patch."""
+    width = F.ceil(F.size("embedding") / 4).cast("int")
+    whole = F.concat("embedding", F.array_repeat(F.lit(0.0).cast("float"), 4 * width - F.size("embedding")))
+    patch = lambda k: F.slice(whole, width * k + 1, width)
+    grid = _set(spark, sf, part, F.array(F.array(patch(0), patch(1)), F.array(patch(2), patch(3)))).withColumnRenamed("vec", "grid")
+    return CT.flatten_grid(grid, "grid").select("batch", "pair", "vec")
+
+
 @query("patch_grid_loss")
 def patch_grid_loss(spark, sf):
-    """J11 + J9: every patch vector as a 2 x 2 grid of patches, flattened, against its pair's words."""
-    part = lambda k: F.slice("embedding", 16 * k + 1, 16)
-    grid = _set(spark, sf, "patch", F.array(F.array(part(0), part(1)), F.array(part(2), part(3)))).withColumnRenamed("vec", "grid")
-    patches = CT.flatten_grid(grid, "grid").select("batch", "pair", "vec")
-    out = CT.two_way_local(patches, _set(spark, sf, "text", F.slice("embedding", 1, 16)), 0.1, batch_col="batch")
+    """J11 + J9: the vectors of the first set as grids of patches, flattened, against the words of
+    their pair, which are the vectors of the second set cut the same way; all rows and components."""
+    out = CT.two_way_local(_flat_grid(spark, sf, "first"), _flat_grid(spark, sf, "second"), 0.1, batch_col="batch")
     return out.select(F.round("loss", 6).alias("loss"))
 
 
