@@ -47,6 +47,19 @@ def test_drop_all_repeated_series(spark):
     assert [r["series_uid"] for r in MF.manifest(ann, img).collect()] == [2]
 
 
+def test_resize_interpolates_and_counts_every_pixel():
+    ramp = np.arange(8, dtype=float)[None, :].repeat(4, 0)
+    assert np.allclose(EN.resize_center_crop(ramp, 4), ramp[:, 2:6])  # the same size: only the cut
+    wide = EN.resize_center_crop(ramp, 8)  # twice as large: quarters between neighbours, columns 4 to 11 of 16
+    assert np.allclose(wide, np.arange(1.75, 5.5, 0.5)[None, :].repeat(8, 0))
+    dot = np.zeros((9, 9))
+    dot[4, 1] = 9.0  # a pixel that the nearest one would miss
+    assert EN.resize_center_crop(dot, 3).sum() > 0.9
+    assert np.allclose(EN.resize_weights(9, 3).sum(1), 1) and np.allclose(EN.resize_weights(9, 3)[1], [0, 0, 1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9, 0, 0])
+    colour = np.stack([ramp, 2 * ramp], 2)
+    assert np.allclose(EN.resize_center_crop(colour, 8)[:, :, 1], 2 * wide) and EN.resize_center_crop(colour, 8).shape == (8, 8, 2)
+
+
 def test_resize_center_crop():
     img = np.arange(6 * 10).reshape(6, 10)
     out = EN.resize_center_crop(img, 4)

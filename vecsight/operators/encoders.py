@@ -47,16 +47,24 @@ def hashing_text_encoder(dim: int = 64):
     return make
 
 
+def resize_weights(old: int, new: int) -> np.ndarray:
+    """``new`` x ``old`` weights of linear interpolation along one axis; when the axis gets shorter the
+    triangle is as much wider, so that every pixel counts (no aliasing)."""
+    scale = old / new
+    gap = np.arange(old)[None, :] + 0.5 - (np.arange(new)[:, None] + 0.5) * scale
+    w = np.maximum(0.0, 1 - np.abs(gap) / max(scale, 1.0))
+    return w / w.sum(axis=1, keepdims=True)
+
+
 def resize_center_crop(img: np.ndarray, size: int) -> np.ndarray:
-    """K6: nearest-neighbour resize of the shorter side to ``size``, then a centre crop."""
+    """K6: bilinear resize of the shorter side to ``size``, then a centre crop.  Images of (h, w) or
+    (h, w, channels); one matrix product per axis."""
     h, w = img.shape[:2]
     scale = size / min(h, w)
     nh, nw = max(size, int(round(h * scale))), max(size, int(round(w * scale)))
-    rows = np.minimum((np.arange(nh) / scale).astype(int), h - 1)
-    cols = np.minimum((np.arange(nw) / scale).astype(int), w - 1)
-    r = img[rows][:, cols]
     top, left = (nh - size) // 2, (nw - size) // 2
-    return r[top:top + size, left:left + size]
+    rows, cols = resize_weights(h, nh)[top:top + size], resize_weights(w, nw)[left:left + size]
+    return np.moveaxis(np.tensordot(cols, np.tensordot(rows, img, (1, 0)), (1, 1)), 0, 1)
 
 
 def projection_image_encoder(dim: int = 64, size: int = 16, seed: int = 0):

@@ -349,6 +349,32 @@ FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n
 GROUP BY e.vec_id, p.label""", "pn")
 
 
+@query("image_resize")
+def image_resize(spark, sf):
+    """K6: every image, as 4 x 16 pixels, made smaller (2 x 2) and larger (6 x 6): the shorter side
+    resized, the middle cut out; one row per pixel."""
+    def run(batches):
+        for pdf in batches:
+            for size in (2, 6):
+                cut = [EN.resize_center_crop(np.asarray(px, dtype=np.float64).reshape(4, 16), size).reshape(-1) for px in pdf["px"]]
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "size": size, "cut": cut})
+
+    cut = _pixels(spark, sf).select("vec_id", "px").mapInPandas(run, "vec_id long, size int, cut array<double>")
+    return cut.select("vec_id", "size", F.posexplode("cut").alias("at", "value")).withColumn("value", F.round("value", 3) + F.lit(0.0))
+
+
+SQL["image_resize"] = """
+WITH w0 AS (SELECT size, old, o, i, greatest(0::DOUBLE, 1 - abs(i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * (4::DOUBLE / size)) / greatest(4::DOUBLE / size, 1::DOUBLE)) AS w
+            FROM (SELECT unnest([2, 6]) AS size), (SELECT unnest([4, 16]) AS old), (SELECT unnest(range(24)) AS o), (SELECT unnest(range(16)) AS i)
+            WHERE o < old * size // 4 AND i < old),
+w AS (SELECT size, old, o, i, w / sum(w) OVER (PARTITION BY size, old, o) AS w FROM w0 QUALIFY w0.w > 0),
+px AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS at, unnest(embedding)::DOUBLE * 4096 AS x FROM embeddings)
+SELECT vec_id, v.size, CAST(v.o * v.size + h.o - 3 * v.size // 2 AS INTEGER) AS at, round(sum(x * v.w * h.w), 3) + 0::DOUBLE AS value
+FROM px JOIN w v ON v.old = 4 AND v.i = px.at // 16 JOIN w h ON h.old = 16 AND h.size = v.size AND h.i = px.at % 16
+WHERE h.o >= 3 * v.size // 2 AND h.o < 3 * v.size // 2 + v.size
+GROUP BY vec_id, v.size, v.o, h.o"""
+
+
 @query("decode_job")
 def decode_job(spark, sf):
     """K5 + A14 + A6: write every pixel array as a file, list and decode them back."""

@@ -113,27 +113,49 @@ SQL["prevalence_all_columns"] = " UNION ALL ".join(
     for c in ("quality", "toxic"))
 
 
-@query("cluster_prevalence_rollup")
-def cluster_prevalence_rollup(spark, sf):
-    """C2 fan-out join (image rows x study labels), then D8-D10 with the total row; one row per
-    cluster and label of the table."""
+def _cluster_table(spark, sf):
+    """The prevalence table (a row per cluster and the total row), and its label columns."""
     labels = _labels(spark, sf)
     names = [str(lab) for lab in labels]
     wide = I.truth(spark, sf).groupBy("subject_id", "study_id").pivot("label", labels).agg(F.first("value"))
     rows = I.corpus(spark, sf).select("subject_id", "study_id", F.col("label").alias("cluster")) \
         .join(wide, ["subject_id", "study_id"])
-    p = PV.cluster_prevalence(rows, names)
+    return PV.cluster_prevalence(rows, names), names
+
+
+@query("cluster_prevalence_rollup")
+def cluster_prevalence_rollup(spark, sf):
+    """C2 fan-out join (image rows x study labels), then D8-D10 with the total row; one row per
+    cluster and label of the table."""
+    p, names = _cluster_table(spark, sf)
     return p.unpivot(["Cluster", "Total_Samples"], names, "label", "prevalence").select(
         "Cluster", "Total_Samples", F.col("label").cast("int").alias("label"), F.round("prevalence", 6).alias("prevalence"))
 
 
+_CLUSTER_ROWS = ("m", """SELECT c.label AS cluster, l.label, CASE WHEN t.value = 1 THEN 1 ELSE 0 END AS has
+                    FROM corpus c CROSS JOIN labelset l LEFT JOIN truth t
+                    ON t.subject_id = c.subject_id AND t.study_id = c.study_id AND t.label = l.label""")
 SQL["cluster_prevalence_rollup"] = with_ctes("""
 SELECT CASE WHEN grouping(cluster) = 1 THEN 'Weighted_Avg' ELSE CAST(cluster AS VARCHAR) END AS Cluster,
        count(*) AS Total_Samples, label, round(count(*) FILTER (WHERE has = 1) / count(*), 6) AS prevalence
-FROM m GROUP BY GROUPING SETS ((cluster, label), (label))""", "corpus", "truth", "labelset",
-    extra=[("m", """SELECT c.label AS cluster, l.label, CASE WHEN t.value = 1 THEN 1 ELSE 0 END AS has
-                    FROM corpus c CROSS JOIN labelset l LEFT JOIN truth t
-                    ON t.subject_id = c.subject_id AND t.study_id = c.study_id AND t.label = l.label""")])
+FROM m GROUP BY GROUPING SETS ((cluster, label), (label))""", "corpus", "truth", "labelset", extra=[_CLUSTER_ROWS])
+
+
+@query("cluster_prevalence_means")
+def cluster_prevalence_means(spark, sf):
+    """D12 over the prevalence table: the mean of every column over all its rows, total row included."""
+    p, names = _cluster_table(spark, sf)
+    columns = [*names, "Total_Samples"]
+    means = PV.column_means(p, columns).select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return means.unpivot([], columns, "column", "mean").withColumn("mean", F.round("mean", 6))
+
+
+SQL["cluster_prevalence_means"] = with_ctes("""
+SELECT CAST(label AS VARCHAR) AS "column", round(avg(prevalence), 6) AS mean FROM p GROUP BY label
+UNION ALL SELECT 'Total_Samples', round(avg(n), 6) FROM (SELECT cluster, any_value(n) AS n FROM p GROUP BY cluster, total)""",
+    "corpus", "truth", "labelset", extra=[_CLUSTER_ROWS, ("p", """
+SELECT cluster, grouping(cluster) AS total, label, count(*) AS n, count(*) FILTER (WHERE has = 1) / count(*) AS prevalence
+FROM m GROUP BY GROUPING SETS ((cluster, label), (label))""")])
 
 
 # ---------------------------------------------------------------- manifest / queue
