@@ -80,3 +80,29 @@ def test_trie_counts_all_sequences():
     assert len(trie.base) < 4 * len(rows) + 10_000
     got = np.bincount(np.concatenate(list(trie.accepted(text, linked, 3))), minlength=len(rows))
     assert got.tolist() == [want[p] for p in asked]
+
+
+@pytest.mark.parametrize("most_known", [7, 1 << 22])
+def test_sequences_are_listed_by_few_tasks(spark, monkeypatch, most_known):
+    """Listing takes some rows a sequence, not one for every task that holds it; what a round doesn't know is listed again, not lost."""
+    from pyspark.sql import DataFrame
+
+    rnd = random.Random(5)
+    rows = [(" ".join(rnd.choice("abcdefghijkl") for _ in range(100)), rnd.choice(["en", None])) for _ in range(640)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(16)
+    listed, made, cut, own = [], [], phrases.cut, phrases.candidates
+
+    def counting(table, tag):
+        plan = table._jdf.queryExecution().analyzed()
+        if tag in ("listed", "candidates") and "mapinarrow" in plan.toString().lower():
+            rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.children().head())
+            listed.append(DataFrame(rows, spark).count())
+        return cut(table, tag)
+
+    monkeypatch.setattr(phrases, "cut", counting)
+    monkeypatch.setattr(phrases, "candidates", lambda *a: made.append(own(*a, most_known)) or made[0])
+    got = sorted(tuple(r) for r in phrases.collocations(df, least=10, top=2000).collect())
+    assert got == brute(rows)
+    assert made[0].count() == made[0].distinct().count()
+    if most_known > 7:
+        assert 0 < sum(listed) < 4 * made[0].count()

@@ -5,7 +5,9 @@
    each pair and triple in it does: one pass adds up bucket counts (2**26 buckets a level, each held
    up to 15 only), packed as integers by range of buckets, so that reducers add arrays.  The second
    pass lists the sequences in the texts that pass both tests, by word keys; what is listed is safe
-   (nothing that could reach the count is missing), not exact.
+   (nothing that could reach the count is missing), not exact.  It goes over all rows in three
+   rounds, a small share first, and a round skips what the ones before have listed: so frequent
+   sequences are listed by a few tasks instead of all.
 3. The candidates, cut by a hash into shards of at most ``SHARD`` of them, become double-array tries,
    built in tasks, a shard each.  A symbol of the trie is half of a word's number in the shard, so a
    node has children in a short range and few slots stay empty.  A shard is broadcast (its size is
@@ -38,6 +40,9 @@ from vecsight.llm.common import Fingerprints, cut, has_bit, mix, set_bits, small
 #: Candidates of a shard: the most that is broadcast at once is about 40 bytes for each.
 SHARD = 1 << 20
 BUCKET_BITS = 26
+#: Sequences that a round of the listing knows from the rounds before, 8 bytes each; others are listed again.
+KNOWN = 1 << 22
+_ROUNDS = (0, 1, 8, 64)  # a row's place among 64, by a hash of it, says its round
 _RANGE = 1 << 20
 _HELD = 15
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -166,7 +171,34 @@ def bucket_bits(own: DataFrame, words, longest: int, least: int) -> np.ndarray:
     return out
 
 
-def candidates(own: DataFrame, words, buckets, longest: int) -> DataFrame:
+def _sequence_hashes(rows: DataFrame, most: int) -> np.ndarray:
+    """The hashes, ascending, of at most ``most`` sequences of (k1, k2, ...)."""
+    def hashes(batches):
+        for batch in batches:
+            keys = [batch.column(k) for k in range(batch.num_columns)]
+            out = keys[0].to_numpy().view(np.uint64)
+            for k in keys[1:]:
+                own = k.fill_null(0).to_numpy().view(np.uint64)
+                out = np.where(k.is_valid().to_numpy(zero_copy_only=False), mix(out * _STEP + own), out)
+            yield pa.RecordBatch.from_pydict({"h": pa.array([out.tobytes()], pa.binary())})
+
+    parts, n = [np.zeros(0, np.uint64)], 0
+    for r in rows.mapInArrow(hashes, "h binary").toLocalIterator():
+        parts.append(np.frombuffer(r.h, np.uint64)[:most - n])
+        n += len(parts[-1])
+        if n >= most:
+            break
+    return np.sort(np.concatenate(parts))
+
+
+def _within(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are in ``known`` (ascending)."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def candidates(own: DataFrame, words, buckets, longest: int, most_known: int = KNOWN) -> DataFrame:
     """Word keys (k1, k2, ... ; null beyond the last) of every sequence of 2 to ``longest`` words in the
     texts whose words and buckets are frequent."""
     names = [f"k{k + 1}" for k in range(longest)]
@@ -188,21 +220,35 @@ def candidates(own: DataFrame, words, buckets, longest: int) -> DataFrame:
             at = np.flatnonzero(some)
             yield level + 2, at, h[at]
 
-    def listed(batches):
-        seen = np.zeros(1 << 21, np.uint64)  # sequences that this task has listed, by slot: repeats mostly end here
-        for piece, _ in _pieces(batches):
-            for n, at, h in passing(piece):
-                _, first = np.unique(h, return_index=True)
-                at, h = at[first], h[first]
-                slot = (h & np.uint64(len(seen) - 1)).astype(np.int64)
-                new = seen[slot] != h
-                seen[slot[new]] = h[new]
-                at = at[new]
-                if len(at):
-                    columns = [pa.array(piece.keys[at + k].view(np.int64)) if k < n else pa.nulls(len(at), pa.int64()) for k in range(longest)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+    def lister(known) -> Callable:
+        def listed(batches):
+            seen = np.zeros(1 << 21, np.uint64)  # sequences that this task has listed, by slot: repeats mostly end here
+            for piece, _ in _pieces(batches):
+                for n, at, h in passing(piece):
+                    h, first = np.unique(h, return_index=True)
+                    at = at[first]
+                    slot = (h & np.uint64(len(seen) - 1)).astype(np.int64)
+                    new = (seen[slot] != h) & ~_within(h, known.value)
+                    seen[slot[new]] = h[new]
+                    at = at[new]
+                    if len(at):
+                        columns = [pa.array(piece.keys[at + k].view(np.int64)) if k < n else pa.nulls(len(at), pa.int64()) for k in range(longest)]
+                        yield pa.RecordBatch.from_arrays(columns, names)
+        return listed
 
-    return own.mapInArrow(listed, ", ".join(f"{n} bigint" for n in names)).distinct()
+    spark = own.sparkSession
+    known, out, over = np.zeros(0, np.uint64), None, False
+    share = F.pmod(F.xxhash64("lang", "text"), F.lit(_ROUNDS[-1]))
+    for lo, hi in zip(_ROUNDS, _ROUNDS[1:]):
+        before = spark.sparkContext.broadcast(known)  # at most 8 * ``most_known`` bytes
+        mine = own.where((share >= lo) & (share < hi))
+        found = cut(mine.mapInArrow(lister(before), ", ".join(f"{n} bigint" for n in names)).distinct(), "listed")
+        before.unpersist()
+        out = found if out is None else out.unionByName(found)
+        if hi < _ROUNDS[-1]:
+            known = np.sort(np.concatenate([known, _sequence_hashes(found, most_known - len(known))]))
+            over |= len(known) >= most_known
+    return cut(out.distinct(), "candidates") if over else out
 
 
 class Trie:
@@ -355,7 +401,6 @@ def trie_counts(own: DataFrame, found: DataFrame, longest: int, shard: int = SHA
     """``found`` (k1, k2, ...) with ``a``, how often each sequence occurs in the texts."""
     names = found.columns
     spark = own.sparkSession
-    found = cut(found, "candidates")
     n = found.count()
     shards = -(-n // shard)
     parts = []
