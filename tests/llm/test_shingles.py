@@ -153,3 +153,29 @@ def test_rows_are_known_again_in_files_and_out_of_them(spark, tmp_path):
         assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(0, rows[0][1]), (None, "a b"), (3, None), (3, None)], key=str)
     twice = read.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
     assert shingles.keep_one(twice).where("text IS NOT NULL").count() == 2
+
+
+def test_large_groups_are_split_by_size(spark, monkeypatch):
+    """Sets that only share passages make one large candidate group; those without a possible partner are not carried whole."""
+    monkeypatch.setattr(shingles, "REFINED", 8)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    passages = [[word() for _ in range(400)] for _ in range(3)]
+    texts = [passages[k % 3] + [word() for _ in range(700 if k % 2 else 3000)] + passages[(k + 1) % 3] for k in range(40)]
+    for k, words in enumerate(texts[:6]):  # near copies, and longer ones near the least similarity
+        texts.append(words[:-20] + [word() for _ in range(20)])
+        texts.append(words + [word() for _ in range(len(words) * (24 if k % 2 else 26) // 100)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    carried, cut = [], shingles.cut
+    monkeypatch.setattr(shingles, "cut", lambda df, tag: [r := cut(df, tag), tag == "members" and carried.append(r.count())][0])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in shingles.near_duplicates(df, 5, 80, 100).collect()), key=str)
+    assert got == brute(rows, 5, 80, 100)
+    linked = Counter(c for _, _, c in got)
+    assert sum(n for n in linked.values() if n > 1) <= carried[0] <= 24
+
+
+@pytest.mark.parametrize(("width", "num", "block"), [(4, 85, 512), (5, 80, 8)])
+def test_by_size_against_brute_force(spark, monkeypatch, width, num, block):
+    monkeypatch.setattr(shingles, "REFINED", 1)
+    check(spark, corpus(width + 20, 120, 30, 6), width, num, 100, block)

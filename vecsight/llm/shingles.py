@@ -11,8 +11,8 @@
    must share one of).
 2. Keys held by two different sets give candidate edges to the smallest set of the key, and the
    components of these edges are candidate groups: all links lie inside them.  A first signature
-   tree over short bitmaps (256 bytes a set) drops sets without a possible partner and splits the
-   groups, so that only few sets are shipped whole.
+   tree over short bitmaps (256 bytes a set, more for large ones) drops sets without a possible partner and splits the
+   groups, so that only few sets are shipped whole; large groups are split by size class.
 3. Every group is cut into blocks of bounded size.  Over a block a signature tree is built: leaves
    hold a bitmap of their shingles, inner nodes the OR of their children and the range of sizes.  A
    dual traversal drops node pairs whose sizes or whose largest possible overlap (common bits plus
@@ -330,19 +330,39 @@ def _by_group(batches, columns: int):
         yield held
 
 
-_SHORT_BITS, _SHORT_DEEP = 2048, 8
-#: Candidate groups of up to so many sets are split by short bitmaps first; larger ones go on as they are.
-REFINED = 4096
+_SHORT_BITS, _SHORT_DEEP = 2048, 8  # least bits; a byte of the short bitmap is a bucket
+_UNARY = np.packbits(np.arange(8) < np.arange(9)[:, None], axis=1)[:, 0]
+#: Candidate groups of up to so many sets are split by short bitmaps first, as a whole or (above the
+#: first number) by size class; larger ones go on as they are.
+REFINED, REFINED_BY_SIZE = 4096, 1 << 16
+
+
+def _short_bits(level: int, t: Threshold) -> int:
+    """The bits of the short bitmaps of a size class: two a shingle of its largest sets, in bounds."""
+    return int(min(max(_SHORT_BITS, 2 << int(t.bounds[level] - 1).bit_length()), MOST_BITS))
+
+
+def _folded(raw: list[bytes], n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Short bitmaps folded to ``bits`` (the same as if made with so many), and their spare shingles."""
+    out = []
+    for x in raw:
+        held = np.frombuffer(x, np.uint8)
+        if 8 * len(held) > bits:
+            held = _UNARY[np.minimum(np.bitwise_count(held).reshape(-1, bits // 8).sum(0), _SHORT_DEEP)]
+        out.append(held)
+    maps = np.stack(out).view(U64)
+    return maps, n - np.bitwise_count(maps).sum(1).astype(int)
 
 
 def _refine(rows: DataFrame, t: Threshold) -> DataFrame:
-    """(c, grp): the parts that possible links hold together inside every grp of (grp, c, n, spare,
+    """(c, grp): the parts that possible links hold together inside every grp of (grp, c, n,
     short), named by one of their sets; sets without a possible partner are left out."""
     def run(batches):
         for group in _by_group(batches, 1):
             own = list({r[1]: r for r in group}.values())
-            c, n, spare = (np.array([r[k] for r in own]) for k in (1, 2, 3))
-            tree = SignatureTree(np.stack([np.frombuffer(r[4], U64) for r in own]), n, spare, n)
+            c, n = (np.array([r[k] for r in own]) for k in (1, 2))
+            maps, spare = _folded([r[3] for r in own], n, _SHORT_BITS)
+            tree = SignatureTree(maps, n, spare, n)
             label = np.arange(len(own))
             for a, b in tree.pairs(t):
                 label = join_labels(label, a, b)
@@ -351,10 +371,50 @@ def _refine(rows: DataFrame, t: Threshold) -> DataFrame:
             if kept.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[kept]), pa.array(c[label[kept]])], ["c", "grp"])
 
-    return (rows.select("grp", "c", "n", "spare", "short").repartition("grp").sortWithinPartitions("grp")
+    return (rows.select("grp", "c", "n", "short").repartition("grp").sortWithinPartitions("grp")
             .mapInArrow(run, "c long, grp long"))
 
 
+def _refine_by_size(rows: DataFrame, t: Threshold) -> DataFrame:
+    """``_refine`` for large groups: a size class of a group at a time.  A set comes to all classes in
+    which it may link, so two that link meet in that of the smaller one."""
+    def classed(batches):
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            low, high = np.searchsorted(t.bounds, t.least(n)), np.searchsorted(t.bounds, n)
+            times = high - low + 1
+            row = np.repeat(np.arange(len(n)), times)
+            level = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + low[row]
+            out = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([out.columns[0], pa.array(level), *out.columns[1:]], ["grp", "level", *out.schema.names[1:]])
+
+    def run(batches):
+        for group in _by_group(batches, 2):
+            own = list({r[2]: r for r in group}.values())
+            c, n = (np.array([r[k] for r in own]) for k in (2, 3))
+            maps, spare = _folded([r[4] for r in own], n, _short_bits(own[0][1], t))
+            tree = SignatureTree(maps, n, spare, n)
+            label = np.arange(len(own))
+            sides = [tree.up(label, np.minimum), tree.up(label, np.maximum)]
+
+            def wanted(level, a, b):  # not one part already
+                least, most = (x[level] for x in sides)
+                return np.minimum(least[a], least[b]) != np.maximum(most[a], most[b])
+
+            for a, b in tree.pairs(t, wanted=wanted):
+                if (label[a] != label[b]).any():
+                    label = join_labels(label, a, b)
+                    sides[:] = tree.up(label, np.minimum), tree.up(label, np.maximum)
+            c = c[tree.order]
+            other = label != np.arange(len(label))
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[label[other]]), pa.array(c[other])], ["a", "b"])
+
+    spread = rows.select("grp", "c", "n", "short").mapInArrow(classed, "grp long, level long, c long, n long, short binary")
+    edges = spread.repartition("grp", "level").sortWithinPartitions("grp", "level").mapInArrow(run, "a long, b long")
+    return components(cut(edges, "refined-edges")).select(F.col("node").alias("c"), F.col("component").alias("grp"))
+
+
 #: Bits of the bitmaps that decide which sets are sent to other blocks: four a shingle of the group's
 #: mean set, within these bounds; larger sets only have looser bounds.
 LEAST_BITS, MOST_BITS, _LONG_DEEP = 1 << 11, 1 << 16, 2
@@ -520,16 +580,17 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
                 owner, keys = owner[order], keys[order]
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
                 held = [tokens[at[r]:at[r + 1]] if cuts[r + 1] > cuts[r] else None for r in range(j - i)]
-                short = [(None, None) if x is None else bitmap(x, _SHORT_BITS, _SHORT_DEEP) for x in held]
+                levels = np.searchsorted(t.bounds, np.diff(at)).tolist()
+                short = [None if x is None else bitmap(x, _short_bits(k, t), _SHORT_DEEP)[0].tobytes() for x, k in zip(held, levels)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(x).slice(i, j - i) for x in columns), pa.array(np.diff(at).astype(np.int64)), pa.array(c),
                      pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(keys)),
-                     pa.array([None if x is None else x.tobytes() for x, _ in short], pa.binary()), pa.array([x for _, x in short], pa.int64())],
-                    [*columns, "n_shingles", "c", "keys", "short", "spare"])
+                     pa.array(short, pa.binary())],
+                    [*columns, "n_shingles", "c", "keys", "short"])
                 if len(seen) > 200_000:
                     seen.clear()
 
-    schema = schema_with(texts.drop("__text"), "n_shingles bigint, c bigint, keys array<bigint>, short binary, spare bigint")
+    schema = schema_with(texts.drop("__text"), "n_shingles bigint, c bigint, keys array<bigint>, short binary")
     sets = cut(texts.mapInArrow(sets_of, schema), "sets")
     held = sets.where("short IS NOT NULL")
     keys = cut(held.select("c", F.explode("keys").alias("key")).join(shared, "key"), "keys")
@@ -537,9 +598,12 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
     groups = components(edges).select(F.col("node").alias("c"), F.col("component").alias("grp"))
     counts = groups.groupBy("grp").agg(F.count("*").alias("members"))
     groups = cut(groups.join(counts, "grp"), "candidates")
-    small = groups.where(F.col("members") <= REFINED)
-    refined = _refine(held.select("c", F.col("n_shingles").alias("n"), "spare", "short").join(small, "c"), t)
-    groups = cut(refined.unionByName(groups.where(F.col("members") > REFINED).select("c", "grp")), "refined")
+    short = held.select("c", F.col("n_shingles").alias("n"), "short").join(groups, "c")
+    refined = _refine(short.where(F.col("members") <= REFINED), t)
+    by_size = (F.col("members") > REFINED) & (F.col("members") <= REFINED_BY_SIZE)
+    if not groups.where(by_size).isEmpty():
+        refined = refined.unionByName(_refine_by_size(short.where(by_size), t))
+    groups = cut(refined.unionByName(groups.where(F.col("members") > REFINED_BY_SIZE).select("c", "grp")), "refined")
     weights = held.groupBy("c").agg(F.max("n_shingles").alias("n"))
     sizes = (groups.join(weights, "c").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
              .select("grp", F.ceil(F.greatest(F.col("members") / block, F.col("n") / (4 << 20))).alias("blocks"),
@@ -572,7 +636,7 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
         links = links.where("blocks > 1")
         links = _cross_blocks(members.where("blocks > 1"), keys.drop("hub"), links, components(links), t, block)
         found = found.unionByName(components(links).select(F.col("node").alias("c"), "component"))
-    return sets.drop("keys", "short", "spare"), found
+    return sets.drop("keys", "short"), found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 2048) -> DataFrame:
