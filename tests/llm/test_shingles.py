@@ -179,3 +179,40 @@ def test_large_groups_are_split_by_size(spark, monkeypatch):
 def test_by_size_against_brute_force(spark, monkeypatch, width, num, block):
     monkeypatch.setattr(shingles, "REFINED", 1)
     check(spark, corpus(width + 20, 120, 30, 6), width, num, 100, block)
+
+
+@pytest.mark.parametrize(("width", "num", "block"), [(4, 85, 512), (5, 80, 8)])
+def test_by_key_against_brute_force(spark, monkeypatch, width, num, block):
+    monkeypatch.setattr(shingles, "REFINED", 1)
+    monkeypatch.setattr(shingles, "REFINED_BY_SIZE", 1)
+    check(spark, corpus(width + 30, 120, 30, 6), width, num, 100, block)
+
+
+def test_largest_groups_are_split_by_key(spark, monkeypatch):
+    """Of a group above all bounds, sets that only share passages are not carried whole."""
+    monkeypatch.setattr(shingles, "REFINED", 4)
+    monkeypatch.setattr(shingles, "REFINED_BY_SIZE", 8)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    passages = [[word() for _ in range(400)] for _ in range(3)]
+    texts = [passages[k % 3] + [word() for _ in range(700 if k % 2 else 3000)] + passages[(k + 1) % 3] for k in range(40)]
+    texts += [words[:-20] + [word() for _ in range(20)] for words in texts[:6]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    carried, cut = [], shingles.cut
+    monkeypatch.setattr(shingles, "cut", lambda df, tag: [r := cut(df, tag), tag == "members" and carried.append(r.count())][0])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in shingles.near_duplicates(df, 5, 80, 100).collect()), key=str)
+    assert got == brute(rows, 5, 80, 100)
+    assert 12 <= carried[0] <= 20
+
+
+def test_common_shingles_stand_out_of_full_counters():
+    """A shingle of 1,000 rows is common also where every counter holds as many rare ones."""
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(1200, shingles.SKETCH)
+    counts[:50] += 1000
+    common = shingles._stand_out(counts)
+    assert common[:50].all()
+    assert common.sum() < 60
+    assert not shingles._stand_out(np.zeros(shingles.SKETCH, int)).any()
+    assert not shingles._stand_out(np.full(shingles.SKETCH, 255 * 40)).any()

@@ -12,7 +12,8 @@
 2. Keys held by two different sets give candidate edges to the smallest set of the key, and the
    components of these edges are candidate groups: all links lie inside them.  A first signature
    tree over short bitmaps (256 bytes a set, more for large ones) drops sets without a possible partner and splits the
-   groups, so that only few sets are shipped whole; large groups are split by size class.
+   groups, so that only few sets are shipped whole; large groups are split by size class, the largest
+   key by key.
 3. Every group is cut into blocks of bounded size.  Over a block a signature tree is built: leaves
    hold a bitmap of their shingles, inner nodes the OR of their children and the range of sizes.  A
    dual traversal drops node pairs whose sizes or whose largest possible overlap (common bits plus
@@ -143,8 +144,14 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     parts = {r.key: np.frombuffer(r.vec, np.int64) for r in rows.collect()}
     if not parts:
         return np.zeros(SKETCH, bool)
-    counts = np.concatenate([parts[k] for k in range(8)])
-    return counts >= max(64, 4 * counts.mean())
+    return _stand_out(np.concatenate([parts[k] for k in range(8)]))
+
+
+def _stand_out(counts: np.ndarray) -> np.ndarray:
+    """Which counters hold far more than the others do.  However many rare shingles share a counter, their
+    sums lie close together, so the bound goes by their spread: it grows with the root of the input."""
+    middle, upper = np.percentile(counts, (50, 84))
+    return counts >= max(64, min(4 * counts.mean(), middle + 8 * max(upper - middle, 1)))
 
 
 def routing_keys(tokens: np.ndarray, at: np.ndarray, t: Threshold, rows: np.ndarray, common: np.ndarray):
@@ -333,7 +340,7 @@ def _by_group(batches, columns: int):
 _SHORT_BITS, _SHORT_DEEP = 2048, 8  # least bits; a byte of the short bitmap is a bucket
 _UNARY = np.packbits(np.arange(8) < np.arange(9)[:, None], axis=1)[:, 0]
 #: Candidate groups of up to so many sets are split by short bitmaps first, as a whole or (above the
-#: first number) by size class; larger ones go on as they are.
+#: first number) by size class; larger ones key by key.
 REFINED, REFINED_BY_SIZE = 4096, 1 << 16
 
 
@@ -375,6 +382,32 @@ def _refine(rows: DataFrame, t: Threshold) -> DataFrame:
             .mapInArrow(run, "c long, grp long"))
 
 
+def _possible_edges(rows: list[tuple], t: Threshold, bits: int):
+    """Batches (a, b) that connect those of (c, n, short) which may link, by a signature tree over their
+    short bitmaps folded to ``bits``."""
+    own = list({r[0]: r for r in rows}.values())
+    if len(own) < 2:
+        return
+    c, n = (np.array([r[k] for r in own]) for k in (0, 1))
+    maps, spare = _folded([r[2] for r in own], n, bits)
+    tree = SignatureTree(maps, n, spare, n)
+    label = np.arange(len(own))
+    sides = [tree.up(label, np.minimum), tree.up(label, np.maximum)]
+
+    def wanted(level, a, b):  # not one part already
+        least, most = (x[level] for x in sides)
+        return np.minimum(least[a], least[b]) != np.maximum(most[a], most[b])
+
+    for a, b in tree.pairs(t, wanted=wanted):
+        if (label[a] != label[b]).any():
+            label = join_labels(label, a, b)
+            sides[:] = tree.up(label, np.minimum), tree.up(label, np.maximum)
+    c = c[tree.order]
+    other = label != np.arange(len(label))
+    if other.any():
+        yield pa.RecordBatch.from_arrays([pa.array(c[label[other]]), pa.array(c[other])], ["a", "b"])
+
+
 def _refine_by_size(rows: DataFrame, t: Threshold) -> DataFrame:
     """``_refine`` for large groups: a size class of a group at a time.  A set comes to all classes in
     which it may link, so two that link meet in that of the smaller one."""
@@ -390,31 +423,29 @@ def _refine_by_size(rows: DataFrame, t: Threshold) -> DataFrame:
 
     def run(batches):
         for group in _by_group(batches, 2):
-            own = list({r[2]: r for r in group}.values())
-            c, n = (np.array([r[k] for r in own]) for k in (2, 3))
-            maps, spare = _folded([r[4] for r in own], n, _short_bits(own[0][1], t))
-            tree = SignatureTree(maps, n, spare, n)
-            label = np.arange(len(own))
-            sides = [tree.up(label, np.minimum), tree.up(label, np.maximum)]
-
-            def wanted(level, a, b):  # not one part already
-                least, most = (x[level] for x in sides)
-                return np.minimum(least[a], least[b]) != np.maximum(most[a], most[b])
-
-            for a, b in tree.pairs(t, wanted=wanted):
-                if (label[a] != label[b]).any():
-                    label = join_labels(label, a, b)
-                    sides[:] = tree.up(label, np.minimum), tree.up(label, np.maximum)
-            c = c[tree.order]
-            other = label != np.arange(len(label))
-            if other.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[label[other]]), pa.array(c[other])], ["a", "b"])
+            yield from _possible_edges([r[2:] for r in group], t, _short_bits(group[0][1], t))
 
     spread = rows.select("grp", "c", "n", "short").mapInArrow(classed, "grp long, level long, c long, n long, short binary")
     edges = spread.repartition("grp", "level").sortWithinPartitions("grp", "level").mapInArrow(run, "a long, b long")
     return components(cut(edges, "refined-edges")).select(F.col("node").alias("c"), F.col("component").alias("grp"))
 
 
+def _refine_by_key(rows: DataFrame, keys: DataFrame, t: Threshold) -> DataFrame:
+    """``_refine`` for groups of any size: the sets that hold a key of (c, key) at a time, as two that link
+    share one.  Of keys that the same sets hold, as those of near copies mostly are, one is looked at."""
+    def run(batches):
+        for group in _by_group(batches, 1):
+            yield from _possible_edges([r[1:] for r in group], t, 8 * min(len(r[3]) for r in group))
+
+    own = rows.select("c", "n", "short").dropDuplicates(["c"])
+    held = cut(keys.select("key", "c").join(rows.select("c"), "c", "left_semi").distinct(), "large-keys")
+    holders = held.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
+    once = holders.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    edges = (held.join(once, "key", "left_semi").join(own, "c").select("key", "c", "n", "short").repartition("key")
+             .sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
+    return components(cut(edges, "refined-edges")).select(F.col("node").alias("c"), F.col("component").alias("grp"))
+
+
 #: Bits of the bitmaps that decide which sets are sent to other blocks: four a shingle of the group's
 #: mean set, within these bounds; larger sets only have looser bounds.
 LEAST_BITS, MOST_BITS, _LONG_DEEP = 1 << 11, 1 << 16, 2
@@ -603,7 +634,10 @@ def classes(docs: DataFrame, columns: list[str], width: int, num: int, den: int,
     by_size = (F.col("members") > REFINED) & (F.col("members") <= REFINED_BY_SIZE)
     if not groups.where(by_size).isEmpty():
         refined = refined.unionByName(_refine_by_size(short.where(by_size), t))
-    groups = cut(refined.unionByName(groups.where(F.col("members") > REFINED_BY_SIZE).select("c", "grp")), "refined")
+    largest = F.col("members") > REFINED_BY_SIZE
+    if not groups.where(largest).isEmpty():
+        refined = refined.unionByName(_refine_by_key(short.where(largest), keys, t))
+    groups = cut(refined, "refined")
     weights = held.groupBy("c").agg(F.max("n_shingles").alias("n"))
     sizes = (groups.join(weights, "c").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
              .select("grp", F.ceil(F.greatest(F.col("members") / block, F.col("n") / (4 << 20))).alias("blocks"),
