@@ -106,3 +106,32 @@ def test_sequences_are_listed_by_few_tasks(spark, monkeypatch, most_known):
     assert made[0].count() == made[0].distinct().count()
     if most_known > 7:
         assert 0 < sum(listed) < 4 * made[0].count()
+
+
+@pytest.mark.parametrize("held", [50, 1 << 21])
+def test_dealt_positions_against_brute_force(spark, monkeypatch, held):
+    """Texts of many words are gone over three times, whatever the number of candidates."""
+    monkeypatch.setattr(phrases, "DEALT", 100)
+    monkeypatch.setattr(phrases, "DEALT_WORDS", 3000)
+    monkeypatch.setattr(phrases, "DEALT_HELD", held)
+    monkeypatch.setattr(phrases, "trie_counts", None)  # a pass a shard
+    rnd = random.Random(8)
+    words = ["a", "B", "b\x01", "É", "é", "日本", "c-d", "the", "of", "x" * 300, *(f"w{k}" for k in range(60))]
+    gaps = [" ", " ", " ", "  ", "\t", ", ", ".", "\n", "\x0c"]
+    rows = [("".join(rnd.choice(words[:rnd.choice([4, 70])]) + rnd.choice(gaps) for _ in range(rnd.choice([0, 1, 3, 90]))), rnd.choice(["en", "en", "de", None, "", "und"]))
+            for _ in range(300)]
+    rows += [(None, "en"), ("", "en"), (None, None), (" \t.,", "xx"), ("the of " * 5_000, "en"), ("the of", "fr")] + [("a a a a", "es")] * 9
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    for least in (5, 20):  # below and above what a bucket tells apart
+        got = sorted(tuple(r) for r in phrases.collocations(df, least=least, top=60).collect())
+        assert got == brute(rows, least=least, top=60)
+
+
+@pytest.mark.parametrize("longest", [2, 4])
+def test_dealt_counts_of_other_lengths(spark, monkeypatch, longest):
+    monkeypatch.setattr(phrases, "DEALT_WORDS", 500)
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(" ".join(rnd.choice("abcd") for _ in range(40)), "en") for _ in range(100)], "text string, lang string").repartition(3)
+    want = sorted((tuple(r) for r in phrases.phrase_counts(df, longest=longest)[1].collect()), key=str)
+    monkeypatch.setattr(phrases, "DEALT", 0)
+    assert sorted((tuple(r) for r in phrases.phrase_counts(df, longest=longest)[1].collect()), key=str) == want

@@ -1,4 +1,4 @@
-"""Phrase collocations: counts of word sequences by broadcast double-array tries, scored by their best cut.
+"""Phrase collocations: counts of word sequences by double-array tries, scored by their best cut.
 
 1. Words are counted per language (Apriori's first level); those below the least count are out.
 2. Candidates.  A phrase can reach the least count only if its words do, and if the hash bucket of
@@ -14,6 +14,11 @@
    bounded by SHARD, not by the input), and one pass over the texts advances the states of all text
    positions at once, level by level; counts of accepting states are ``bincount``s, which Spark sums
    over the tasks.  More candidates mean more shards, each with a pass of its own.
+   Texts of more than ``DEALT`` words fill the buckets, and their shards would become too many passes.
+   There pairs alone are added up, in 2**32 buckets that only reducers hold.  One pass then deals the
+   text positions whose pair is frequent, with the words that follow, to shards by their first two
+   words.  A shard, of bounded size, is a task's: it lists the candidates among its positions, builds
+   their trie and advances the positions through it.  So the passes over the texts stay three.
 4. Scores, the drop rule and ranks are joins and windows over the counted phrases.
 
 Phrases lie within a piece: text is lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces
@@ -42,6 +47,9 @@ SHARD = 1 << 20
 BUCKET_BITS = 26
 #: Sequences that a round of the listing knows from the rounds before, 8 bytes each; others are listed again.
 KNOWN = 1 << 22
+#: Texts of more words are counted by dealt positions, in a shard for each so many words; a task deals so many at a time.
+DEALT, DEALT_WORDS, DEALT_HELD = 1 << 26, 1 << 22, 1 << 21
+_PAIR_BITS, _PAIR_RANGE, _PAIR_FOLD = 32, 1 << 24, 4
 _ROUNDS = (0, 1, 8, 64)  # a row's place among 64, by a hash of it, says its round
 _RANGE = 1 << 20
 _HELD = 15
@@ -251,6 +259,144 @@ def candidates(own: DataFrame, words, buckets, longest: int, most_known: int = K
     return cut(out.distinct(), "candidates") if over else out
 
 
+def pair_bits(own: DataFrame, words, least: int) -> np.ndarray:
+    """Bits for the pairs of words that both are frequent, by the upper bits of their hash: whether one of
+    the buckets of a bit (there are 2**_PAIR_BITS, 2**_PAIR_FOLD of them a bit) has ``least`` pairs (up to
+    15 are told apart).  A task sends what it has met, a reducer holds one range of buckets at a time."""
+    least = min(least, _HELD)
+    ranges = (1 << _PAIR_BITS) // _PAIR_RANGE
+
+    def packed(parts):
+        at, n = np.unique(np.concatenate(parts), return_counts=True)
+        cuts = np.searchsorted(at.astype(np.int64), np.arange(ranges + 1) * _PAIR_RANGE)
+        value = (at & np.uint32(_PAIR_RANGE - 1)) << np.uint32(4) | np.minimum(n, _HELD).astype(np.uint32)
+        filled = np.flatnonzero(np.diff(cuts))
+        return pa.RecordBatch.from_pydict({"r": pa.array(filled.astype(np.int32)),
+                                           "packed": pa.array([value[cuts[r]:cuts[r + 1]].tobytes() for r in filled], pa.binary())})
+
+    def count(batches):
+        parts, n = [], 0
+        for piece, _ in _pieces(batches):
+            ok = _frequent(piece, words.value)
+            some = ok[:-1] & piece.linked[:-1] & ok[1:]
+            parts.append((next(_hashes(piece.keys, 2))[some] >> np.uint64(64 - _PAIR_BITS)).astype(np.uint32))
+            n += len(parts[-1])
+            if n > 2 * DEALT_HELD:
+                yield packed(parts)
+                parts, n = [], 0
+        if n:
+            yield packed(parts)
+
+    def folded(r, total):
+        hit = (total >= least).reshape(-1, 1 << _PAIR_FOLD).any(1)
+        return pa.RecordBatch.from_pydict({"r": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(hit, bitorder="little").tobytes()], pa.binary())})
+
+    def add(batches):
+        now, total = None, None
+        for batch in batches:
+            for r, raw in zip(batch.column("r").to_pylist(), batch.column("packed"), strict=True):
+                if r != now:
+                    if now is not None:
+                        yield folded(now, total)
+                    now, total = r, np.zeros(_PAIR_RANGE, np.uint8)
+                own = np.frombuffer(raw.as_buffer(), np.uint32)
+                at = own >> np.uint32(4)
+                total[at] = np.minimum(total[at] + (own & np.uint32(15)).astype(np.uint8), _HELD)
+        if now is not None:
+            yield folded(now, total)
+
+    parts = own.mapInArrow(count, "r int, packed binary").repartition(64, "r").sortWithinPartitions("r")
+    out = np.zeros((1 << _PAIR_BITS - _PAIR_FOLD) >> 3, np.uint8)
+    step = len(out) // ranges
+    for r in cut(parts.mapInArrow(add, "r int, bits binary"), "pair-bits").toLocalIterator():
+        out[r.r * step:(r.r + 1) * step] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _listed(columns: list[np.ndarray], times: np.ndarray, least: int) -> list[np.ndarray]:
+    """Candidates among the beginnings, of two words or more, of sequences that occur ``times``: first,
+    second, ... words (0: none).  Those whose bucket has fewer than ``least`` are not among them."""
+    found = []
+    h = columns[0]
+    bits = max(10, (4 * len(times)).bit_length())
+    at = np.arange(len(times))
+    for k, column in enumerate(columns[1:], 1):
+        on = column[at] != 0
+        at = at[on]
+        h = mix(h[on] * _STEP + column[at])
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+        passed = np.flatnonzero(np.bincount(bucket, weights=times[at], minlength=1 << bits)[bucket] >= least)
+        row = at[passed[np.unique(h[passed], return_index=True)[1]]]
+        found.append([c[row] if j <= k else np.zeros(len(row), np.uint64) for j, c in enumerate(columns)])
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def dealt_counts(own: DataFrame, words, pairs, longest: int, least: int, shards: int) -> DataFrame:
+    """(k1, k2, ..., a) of every sequence of 2 to ``longest`` words whose count a reaches ``least`` (and of some
+    others): text positions whose pair is frequent go to shards by their first two words."""
+    names = [f"k{k + 1}" for k in range(longest)]
+
+    def packed(held):
+        pair, *columns = (np.concatenate(x) for x in zip(*held))
+        h = pair
+        for column in columns[2:]:
+            h = mix(h * _STEP + column)
+        _, row, times = np.unique(h, return_index=True, return_counts=True)
+        order = np.argsort(pair[row], kind="stable")  # by shard, and equal pairs together
+        row, times = row[order], times[order].astype(np.uint32)
+        shard = (pair[row] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        cuts = np.searchsorted(shard.astype(np.int64), np.arange(shards + 1))
+        filled = np.flatnonzero(np.diff(cuts))
+        parts = [*(c[row] for c in columns), times]
+        return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *(pa.array([p[cuts[s]:cuts[s + 1]].tobytes() for s in filled], pa.binary()) for p in parts)],
+                                          ["shard", *names, "times"])
+
+    def deal(batches):
+        held, n = [], 0
+        for piece, _ in _pieces(batches):
+            ok = _frequent(piece, words.value)
+            h = next(_hashes(piece.keys, 2))
+            at = np.flatnonzero(ok[:-1] & piece.linked[:-1] & ok[1:])
+            b = (h[at] >> np.uint64(64 - _PAIR_BITS + _PAIR_FOLD)).astype(np.int64)
+            at = at[(pairs.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1]
+            pair = np.zeros(len(piece.keys), bool)
+            pair[at] = True
+            columns, on = [piece.keys[at], piece.keys[at + 1]], np.ones(len(at), bool)
+            for k in range(2, longest):  # a further word if the pair that it ends is frequent
+                on &= pair[np.minimum(at + k - 1, len(pair) - 1)]
+                columns.append(np.where(on, piece.keys[np.minimum(at + k, len(pair) - 1)], np.uint64(0)))
+            held.append((h[at], *columns))
+            n += len(at)
+            if n > DEALT_HELD:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def counted(parts):
+        columns = [np.concatenate([np.frombuffer(p[k], np.uint64) for p in parts]) for k in range(longest)]
+        times = np.concatenate([np.frombuffer(p[-1], np.uint32) for p in parts]).astype(np.int64)
+        found = _listed(columns, times, least)
+        if len(found[0]):
+            total = Trie.build(found).totals(columns, times, len(found[0]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(f.view(np.int64), mask=f == 0) for f in found), pa.array(total)], [*names, "a"])
+
+    def count(batches):
+        now, held = None, []
+        for batch in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now and held:
+                    yield from counted(held)
+                    held = []
+                now = shard
+                held.append(row)
+        if held:
+            yield from counted(held)
+
+    places = own.mapInArrow(deal, ", ".join(["shard int", *(f"{n} binary" for n in names), "times binary"]))
+    return places.repartition("shard").sortWithinPartitions("shard").mapInArrow(count, ", ".join([*(f"{n} bigint" for n in names), "a bigint"]))
+
+
 class Trie:
     """A double array: from state s the symbol c leads to t = base[s] + c if check[t] == s.  A word
     is two symbols, the upper and lower half of its number (from 1) in the alphabet."""
@@ -337,6 +483,26 @@ class Trie:
                 on = np.flatnonzero(linked[at + level] & (number[np.minimum(at + level + 1, len(number) - 1)] > 0))
                 at, states = at[on], states[on]
 
+    def totals(self, columns: list[np.ndarray], times: np.ndarray, rows: int) -> np.ndarray:
+        """How often each of ``rows`` rows is accepted from the first word on of sequences, of which
+        ``columns`` has the first, second, ... words (0: none) and ``times`` how often each occurs."""
+        out = np.zeros(rows, np.int64)
+        low = (1 << self.bits) - 1
+        at = np.arange(len(times))
+        states = np.zeros(len(at), np.int64)
+        for column in columns:
+            number = self.numbers(column)
+            on = number[at] > 0
+            at, states = at[on], states[on]
+            for shift, mask in ((self.bits, -1), (0, low)):
+                states = self.step(states, number[at] >> shift & mask)
+                live = states >= 0
+                at, states = at[live], states[live]
+            row = self.answer[states]
+            hit = row >= 0
+            np.add.at(out, row[hit], times[at[hit]])
+        return out
+
 
 def _place(source: np.ndarray, symbol: np.ndarray, span: int) -> tuple[np.ndarray, int]:
     """A base for every node that has arcs (others -1) so that base + symbol is unique over all arcs
@@ -480,8 +646,13 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     small_batches(spark)
     words = cut(word_counts(own).where((F.col("n") >= least) | F.col("word").isNull()), "words")
     frequent = spark.sparkContext.broadcast(set_bits(words.where("word is not null").select("key")))
-    buckets = spark.sparkContext.broadcast(bucket_bits(own, frequent, longest, least))
-    counted = trie_counts(own, candidates(own, frequent, buckets, longest), longest, shard)
+    total = words.where("word is null").agg(F.sum("n")).first()[0] or 0
+    if total > DEALT:
+        pairs = spark.sparkContext.broadcast(pair_bits(own, frequent, least))  # 32 MB, whatever the input
+        counted = dealt_counts(own, frequent, pairs, longest, least, -(-total // DEALT_WORDS))
+    else:
+        buckets = spark.sparkContext.broadcast(bucket_bits(own, frequent, longest, least))
+        counted = trie_counts(own, candidates(own, frequent, buckets, longest), longest, shard)
     return words, cut(counted.where(F.col("a") >= least), "phrases")
 
 
